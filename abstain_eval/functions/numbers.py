@@ -62,6 +62,14 @@ def bounded_number(c, lower: float, fallback: float) -> Column:
     return F.when(is_finite(number), F.greatest(number, F.lit(lower))).otherwise(F.lit(fallback))
 
 
+def clamp(c, low: float | None = None, high: float | None = None) -> Column:
+    """Limit a value on either side; null stays null."""
+    c = _col(c)
+    limited = c if high is None else F.least(c, F.lit(high))
+    limited = limited if low is None else F.greatest(limited, F.lit(low))
+    return F.when(c.isNotNull(), limited)
+
+
 def ratio(numerator, denominator) -> Column:
     """Double ratio, null when the denominator is zero."""
     return F.try_divide(_col(numerator).cast("double"), _col(denominator).cast("double"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abstain_eval import contracts as k
-from abstain_eval.functions.numbers import bounded_number, hash_uniform, round_half_up
+from abstain_eval.functions.numbers import bounded_number, clamp, hash_uniform, round_half_up
 from abstain_eval.operators.encode import feature_columns
 
 
@@ -115,7 +115,7 @@ def with_deferral(df: DataFrame, task: str) -> DataFrame:
 
 def progression_direction(seed: int) -> Column:
     stage, index = F.col("ckd_stage"), F.col("row_idx")
-    risk = stage + F.col("htn") + F.col("dm") + F.least(F.col("al"), F.lit(5.0)) / 2.0
+    risk = stage + F.col("htn") + F.col("dm") + clamp("al", high=5.0) / 2.0
     bucket = F.pmod(F.lit(seed) + index * 17 + stage * 13, F.lit(10))
     calm = (stage <= 2) & (F.col("htn") < 0.5) & (F.col("dm") < 0.5) & (F.col("al") <= 1)
     return (
@@ -135,16 +135,15 @@ def progression_ambiguous(seed: int) -> Column:
 
 
 def _between(c: Column, marker: str) -> Column:
-    low, high = k.CONTINUOUS_BOUNDS[marker]
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    return clamp(c, *k.CONTINUOUS_BOUNDS[marker])
 
 
 def _at_least(c: Column, marker: str) -> Column:
-    return F.greatest(F.lit(k.CONTINUOUS_BOUNDS[marker][0]), c)
+    return clamp(c, low=k.CONTINUOUS_BOUNDS[marker][0])
 
 
 def _at_most(c: Column, marker: str) -> Column:
-    return F.least(F.lit(k.CONTINUOUS_BOUNDS[marker][1]), c)
+    return clamp(c, high=k.CONTINUOUS_BOUNDS[marker][1])
 
 
 def clear_baseline(direction: Column) -> dict[str, Column]:

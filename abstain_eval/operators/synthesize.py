@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from abstain_eval import contracts as k
 from abstain_eval.functions.joins import sized_side
-from abstain_eval.functions.numbers import hash_normal, hash_uniform, round_half_up
+from abstain_eval.functions.numbers import clamp, hash_normal, hash_uniform, round_half_up
 from abstain_eval.operators.clinical import egfr, require_columns, sex_from_prevalence
 from abstain_eval.operators.order import seeded_shuffle
 
@@ -81,15 +81,14 @@ def draw_number(column: str, seed: int) -> Column:
     mean, std = F.col(f"mean_{column}"), F.coalesce(F.col(f"std_{column}"), F.lit(0.0))
     draw = mean + std * hash_normal(seed, column, "ckd_stage", "draw_idx")
     value = F.when(std < MIN_STD, mean).otherwise(draw)
-    return round_half_up(F.greatest(F.lit(low), F.least(F.lit(high), value)), 4)
+    return round_half_up(clamp(value, low, high), 4)
 
 
 def draw_flag(column: str, seed: int, columns: list[str]) -> Column:
     """0/1 draw with the stage share; one half when no share was fitted."""
     name = f"mean_{column}"
     share = F.coalesce(F.col(name), F.lit(0.5)) if name in columns else F.lit(0.5)
-    chance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
-    return (hash_uniform(seed, column, "ckd_stage", "draw_idx") < chance).cast("double")
+    return (hash_uniform(seed, column, "ckd_stage", "draw_idx") < clamp(share, 0.0, 1.0)).cast("double")
 
 
 def class_of_stage() -> Column:
