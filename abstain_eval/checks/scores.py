@@ -215,16 +215,17 @@ _BINS = """b as (select run_id, bin, count(*) as n, count(*) filter (hit) as h,
 
 @register(
     "reliability_bins",
-    f"""{EV}, g as (select * replace (least(cast(trunc(confidence * 24) as int), 23) as bin) from f where case_id % 3 > 0 or confidence > 0.5),
-    b as (select run_id, bin, count(*) as n, count(*) filter (hit) as h, sum(confidence) as s from g where usable group by all),
-    grid as (select run_id, i as bin from (select distinct run_id from b), range(24) t(i))
-    select grid.run_id, cast(grid.bin as int) as bin, {q9('grid.bin / 24')} as low, {q9('(grid.bin + 1) / 24')} as high,
+    f"""{EV}, b as (select run_id, least(cast(trunc(confidence * 150) as int), 149) as bin, count(*) as n, count(*) filter (hit) as h, sum(confidence) as s
+      from f where usable group by all),
+    grid as (select run_id, i as bin from (select distinct run_id from b), range(150) t(i))
+    select grid.run_id, cast(grid.bin as int) as bin, {q9('grid.bin / 150')} as low, {q9('(grid.bin + 1) / 150')} as high,
     coalesce(n, 0) as count, {q9('h / n')} as accuracy, {q9('s / n')} as mean_confidence, {q9('abs(h / n - s / n)')} as gap
     from grid left join b on grid.run_id = b.run_id and grid.bin = b.bin""",
 )
 def _(spark, sf):
-    e = evaluations(spark, sf).filter("case_id % 3 > 0 or confidence > 0.5")
-    return rounded(m.reliability_bins(e, 24), "low", "high", "accuracy", "mean_confidence", "gap")
+    # More bins than distinct confidences, so some stay empty.
+    bins = m.reliability_bins(evaluations(spark, sf), 150)
+    return rounded(bins, "low", "high", "accuracy", "mean_confidence", "gap")
 
 
 @register(
@@ -287,10 +288,12 @@ def _(spark, sf):
 
 @register(
     "undefined_metrics",
-    f"""{EV}, g as (select *, run_id || '_' || cast(case_id % 9 as varchar) as r from f where not (case_id % 9 = 0 and not abstained) and not (case_id % 9 = 1 and confidence is not null)
-       and not (case_id % 9 = 2 and should_abstain is not null) and not (case_id % 9 = 3 and ground_truth not in ('0', '1', 'stable'))),
-    t as (select r, count(*) as n, count(*) filter (not abstained) as ans, count(should_abstain) as lab, count(*) filter (usable) as u, count(distinct ground_truth) as c,
-      count(*) filter (usable and (trim(prediction) not in ('0', '1') or ground_truth not in ('0', '1'))) as nb from g group by r)
+    f"""{EV}, g as (select * replace (case when case_id % 9 = 0 then true else abstained end as abstained,
+       case when case_id % 9 = 1 then null else confidence end as confidence, case when case_id % 9 = 2 then null else should_abstain end as should_abstain,
+       case when case_id % 9 = 3 then '1' else ground_truth end as ground_truth), run_id || '_' || cast(case_id % 9 as varchar) as r from f),
+    t as (select r, count(*) as n, count(*) filter (not abstained) as ans, count(should_abstain) as lab,
+      count(*) filter (not abstained and confidence is not null and prediction is not null) as u, count(distinct ground_truth) as c,
+      count(*) filter (not abstained and confidence is not null and prediction is not null and (trim(prediction) not in ('0', '1') or ground_truth not in ('0', '1'))) as nb from g group by r)
     select r as run_id, 'selective_accuracy' as metric, 'no_non_abstained_predictions' as reason, 0 as n_evaluated from t where ans = 0
     union all select r, 'balanced_accuracy', 'needs_at_least_two_classes_in_ground_truth', n from t where c < 2
     union all select r, 'deferral_alignment', 'no_should_abstain_metadata', 0 from t where lab = 0
@@ -300,15 +303,17 @@ def _(spark, sf):
 def _(spark, sf):
     e = evaluations(spark, sf)
     g = F.col("case_id") % 9
-    # Remainders 0 to 3 lose what one metric each needs.
-    thinned = (
-        e.filter(~((g == 0) & ~F.col("abstained")))
-        .filter(~((g == 1) & F.col("confidence").isNotNull()))
-        .filter(~((g == 2) & F.col("should_abstain").isNotNull()))
-        .filter(~((g == 3) & ~F.col("ground_truth").isin("0", "1", "stable")))
+    # Groups 0 to 3 lose what one metric each needs; every row stays.
+    changed = e.withColumns(
+        {
+            "abstained": F.when(g == 0, True).otherwise(F.col("abstained")),
+            "confidence": F.when(g == 1, None).otherwise(F.col("confidence")),
+            "should_abstain": F.when(g == 2, None).otherwise(F.col("should_abstain")),
+            "ground_truth": F.when(g == 3, "1").otherwise(F.col("ground_truth")),
+            "run_id": F.concat_ws("_", "run_id", g.cast("string")),
+        }
     )
-    named = thinned.withColumn("run_id", F.concat_ws("_", "run_id", g.cast("string")))
-    return m.undefined_metrics(m.score_runs(named))
+    return m.undefined_metrics(m.score_runs(changed))
 
 
 @register(
