@@ -254,9 +254,9 @@ def _(spark, sf):
 
 @register("chained_imputation")
 def _(spark, sf):
-    """Two linear rounds over the whole frame."""
+    """One linear round over the whole frame."""
     columns = [*k.NOMINAL_COLUMNS, *k.NUMERIC_FEATURES, "class"]
-    _, done = impute.fit_imputation(frame(spark, sf), columns, "linear", rounds=2)
+    _, done = impute.fit_imputation(frame(spark, sf), columns, "linear", rounds=1)
     return encode.round_target(done)
 
 

@@ -30,20 +30,22 @@ def hash_uniform(seed: int, stream: str, *keys) -> Column:
     return digest_uniform(draw_digest(seed, stream, *keys))
 
 
-def hash_normal(seed: int, stream: str, *keys) -> Column:
+def digest_normal(digest: Column) -> Column:
     """Standard normal draw by the Box-Muller formula on both parts of one digest."""
-    digest = draw_digest(seed, stream, *keys)
     radius = F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - digest_uniform(digest, 0)))
     return radius * F.cos(F.lit(2.0 * math.pi) * digest_uniform(digest, 1))
 
 
 def round_half_up(c, digits: int) -> Column:
-    """Decimal rounding that agrees across engines; symmetric for negative values."""
+    """Decimal rounding that agrees across engines; symmetric for negative values.
+
+    The argument is used several times: pass a column, not a costly expression.
+    """
     c = _col(c)
     scale = float(10**digits)
-    up = F.floor(F.abs(c) * scale + 0.5).cast("double") / scale
-    small = F.when(c < 0, -up).otherwise(up)
-    return F.when(F.abs(c) < TWO_POW_52 / scale, small).otherwise(c)
+    size = F.abs(c)
+    rounded = F.signum(c) * (F.floor(size * scale + 0.5).cast("double") / scale)
+    return F.when(size < TWO_POW_52 / scale, rounded).otherwise(c)
 
 
 def is_finite(c: Column) -> Column:
@@ -82,8 +84,12 @@ def number_text(c) -> Column:
     size = F.abs(c)
     plain = F.rtrim(text.try_cast("decimal(38,18)").cast("string"), F.lit("0"))
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
-    exponent = F.substring_index(text, "E", -1).try_cast("int")
+    # The JVM may print one digit more than needed; sixteen are taken when they suffice.
+    short = F.format_string("%.15e", c)
+    digits = F.rtrim(F.rtrim(F.substring_index(short, "e", 1), F.lit("0")), F.lit("."))
+    long_digits = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    mantissa = F.when(short.try_cast("double") == c, digits).otherwise(long_digits)
+    exponent = F.substring_index(short, "e", -1).try_cast("int")
     scientific = F.concat(
         mantissa,
         F.lit("e"),

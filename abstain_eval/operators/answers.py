@@ -321,17 +321,21 @@ def item_rows(batches: DataFrame, task: str = "task") -> DataFrame:
     )
 
 
-def parse_batches(responses: DataFrame, keys: tuple[str, ...] = ("run_id", "batch_id")) -> tuple[DataFrame, DataFrame]:
+def refused_batches(batches: DataFrame) -> DataFrame:
+    """Batches to be asked again, with the reason."""
+    return batches.filter("reason is not null").select(
+        "run_id", "batch_id", "size", "reason",
+        F.coalesce("missing_ids", F.array().cast("array<string>")).alias("missing_ids"),
+    )
+
+
+def parse_batches(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Case rows of sound batches, and the rejected batches with their reason.
 
     One unreadable prediction rejects its whole batch, which is then asked again in halves.
     """
     batches = responses.transform(read_batches)
-    refused = batches.filter("reason is not null").select(
-        *keys, "size", "reason",
-        F.coalesce("missing_ids", F.array().cast("array<string>")).alias("missing_ids"),
-    )
-    return item_rows(batches), refused
+    return item_rows(batches), refused_batches(batches)
 
 
 def next_round(cases: DataFrame, rejected: DataFrame) -> DataFrame:

@@ -31,17 +31,31 @@ def sex_from_prevalence(seed: int, *keys) -> Column:
     return F.when(hash_uniform(seed, "sex_prevalence", *keys) < k.MALE_PREVALENCE, "male").otherwise("female")
 
 
-def egfr(creatinine, age, sex) -> Column:
-    """Filtration rate (CKD-EPI 2021), two decimals."""
-    creatinine = bounded_number(creatinine, k.MIN_CREATININE, k.MIN_CREATININE)
-    age = bounded_number(age, k.MIN_AGE, k.MIN_AGE)
-    female = F.coalesce((F.col(sex) if isinstance(sex, str) else sex) == "female", F.lit(False))
-    scaled = creatinine / F.when(female, k.EGFR_KAPPA["female"]).otherwise(k.EGFR_KAPPA["male"])
-    low = F.when(female, k.EGFR_ALPHA["female"]).otherwise(k.EGFR_ALPHA["male"])
-    exponent = F.when(scaled < 1, low).otherwise(k.EGFR_HIGH_EXPONENT)
-    rate = k.EGFR_BASE * F.pow(scaled, exponent) * F.pow(F.lit(k.EGFR_AGE_FACTOR), age)
-    factor = F.when(female, k.EGFR_FEMALE_FACTOR).otherwise(1.0)
-    return round_half_up(rate * factor, 2)
+def with_egfr(df: DataFrame, creatinine="sc", age="age", sex="sex") -> DataFrame:
+    """Add the filtration rate (CKD-EPI 2021), two decimals.
+
+    Built in steps so that each power is taken once per row.
+    """
+    female = F.coalesce(F.col(sex) == "female", F.lit(False))
+    bounded = df.withColumns(
+        {
+            "_sc": bounded_number(creatinine, k.MIN_CREATININE, k.MIN_CREATININE),
+            "_age": bounded_number(age, k.MIN_AGE, k.MIN_AGE),
+            "_female": female,
+        }
+    )
+    kappa = F.when(F.col("_female"), k.EGFR_KAPPA["female"]).otherwise(k.EGFR_KAPPA["male"])
+    scaled = bounded.withColumn("_scaled", F.col("_sc") / kappa)
+    low = F.when(F.col("_female"), k.EGFR_ALPHA["female"]).otherwise(k.EGFR_ALPHA["male"])
+    exponent = F.when(F.col("_scaled") < 1, low).otherwise(k.EGFR_HIGH_EXPONENT)
+    by_age = F.pow(F.lit(k.EGFR_AGE_FACTOR), F.col("_age"))
+    factor = F.when(F.col("_female"), k.EGFR_FEMALE_FACTOR).otherwise(1.0)
+    rate = k.EGFR_BASE * F.pow(F.col("_scaled"), exponent) * by_age * factor
+    return (
+        scaled.withColumn("_rate", rate)
+        .withColumn("egfr", round_half_up("_rate", 2))
+        .drop("_sc", "_age", "_female", "_scaled", "_rate")
+    )
 
 
 def stage_from_egfr(rate, split_stage_3: bool = False) -> Column:
@@ -66,7 +80,7 @@ def derive_features(
     sex = F.col(sex_column) if sex_column else sex_from_creatinine(seed, key)
     return (
         df.withColumn("sex", sex)
-        .withColumn("egfr", egfr("sc", "age", "sex"))
+        .transform(with_egfr)
         .withColumn("ckd_stage", stage_from_egfr("egfr", split_stage_3))
     )
 
@@ -186,11 +200,12 @@ def with_progression(df: DataFrame, seed: int = 42, columns: list[str] | None =
     )
     clear, mixed = clear_baseline(F.col("progression_direction")), mixed_baseline()
     ambiguous = F.col("progression_ambiguous")
-    visits = {}
+    earlier = {}
     for c in columns:
         value = F.when(ambiguous, mixed[c]).otherwise(clear[c]) if c in clear else F.col(c)
-        visits[f"baseline_{c}"] = round_half_up(value.cast("double"), 4)
-    return marked.withColumns(visits)
+        earlier[f"baseline_{c}"] = value.cast("double")
+    visits = marked.withColumns(earlier)
+    return visits.withColumns({name: round_half_up(name, 4) for name in earlier})
 
 
 def override_deferral(df: DataFrame) -> DataFrame:

@@ -51,8 +51,10 @@ def encoded_frame(clean: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def fill_means(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing cells to the column mean, taken in the same query."""
     means = df.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("m"))
-    mean = means.scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), mean.getField(c)) for c in columns})
+    ready = df.withColumn("_means", means.scalar())
+    return ready.withColumns(
+        {c: F.coalesce(F.col(c), F.col("_means").getField(c)) for c in columns}
+    ).drop("_means")
 
 
 def round_target(df: DataFrame) -> DataFrame:

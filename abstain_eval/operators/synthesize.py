@@ -8,8 +8,12 @@ from pyspark.sql.window import Window
 
 from abstain_eval import contracts as k
 from abstain_eval.functions.joins import sized_side
-from abstain_eval.functions.numbers import clamp, hash_normal, hash_uniform, round_half_up
-from abstain_eval.operators.clinical import egfr, require_columns, sex_from_prevalence
+from abstain_eval.functions.numbers import (
+    clamp, digest_normal, draw_digest, hash_uniform, round_half_up,
+)
+from abstain_eval.operators.clinical import (
+    require_columns, sex_from_prevalence, stage_from_egfr, with_egfr,
+)
 from abstain_eval.operators.order import seeded_shuffle
 
 MIN_STD = 1e-6
@@ -75,13 +79,11 @@ def stage_rows(spark: SparkSession, allocation: DataFrame, n: int) -> DataFrame:
     )
 
 
-def draw_number(column: str, seed: int) -> Column:
-    """Normal draw around the stage mean, clipped to clinical bounds, four decimals."""
-    low, high = k.CONTINUOUS_BOUNDS[column]
+def clipped_value(column: str) -> Column:
+    """Stage mean plus the scaled normal draw ``_z_<column>``, clipped to clinical bounds."""
     mean, std = F.col(f"mean_{column}"), F.coalesce(F.col(f"std_{column}"), F.lit(0.0))
-    draw = mean + std * hash_normal(seed, column, "ckd_stage", "draw_idx")
-    value = F.when(std < MIN_STD, mean).otherwise(draw)
-    return round_half_up(clamp(value, low, high), 4)
+    value = mean + F.when(std < MIN_STD, F.lit(0.0)).otherwise(std * F.col(f"_z_{column}"))
+    return clamp(value, *k.CONTINUOUS_BOUNDS[column])
 
 
 def draw_flag(column: str, seed: int, columns: list[str]) -> Column:
@@ -108,14 +110,20 @@ def generate(stats: DataFrame, n: int, seed: int = 42) -> DataFrame:
     spark = stats.sparkSession
     fitted = sized_side(stats)
     rows = stage_rows(spark, allocate_rows(fitted, n), n).join(fitted.drop("n"), "ckd_stage")
-    drawn = rows.select(
-        "ckd_stage", "draw_idx",
-        *[draw_number(c, seed).alias(c) for c in k.CONTINUOUS_BOUNDS],
+    # One projection per step, so that every digest and logarithm is computed once per row.
+    numbers, keys = list(k.CONTINUOUS_BOUNDS), ["ckd_stage", "draw_idx"]
+    digests = rows.withColumns({f"_d_{c}": draw_digest(seed, c, *keys) for c in numbers})
+    normals = digests.withColumns({f"_z_{c}": digest_normal(F.col(f"_d_{c}")) for c in numbers})
+    values = normals.select(
+        *keys,
+        *[clipped_value(c).alias(c) for c in numbers],
         *[draw_flag(c, seed, stats.columns).alias(c) for c in k.BINARY_FEATURES],
         class_of_stage().alias("class"),
-        sex_from_prevalence(seed, "ckd_stage", "draw_idx").alias("sex"),
+        sex_from_prevalence(seed, *keys).alias("sex"),
+        stage_age().alias("_stage_age"),
     )
-    return drawn.withColumn("egfr", egfr("sc", stage_age(), "sex"))
+    rounded = values.withColumns({c: round_half_up(c, 4) for c in numbers})
+    return with_egfr(rounded, "sc", "_stage_age", "sex").drop("_stage_age")
 
 
 CASE_COLUMNS = [*k.FULL_FEATURES, "class", "sex", "egfr", "ckd_stage"]
@@ -179,6 +187,4 @@ def describe_cases(cases: DataFrame, records: DataFrame | None = None) -> DataFr
 
 def _stage_disagrees() -> Column:
     """The assigned stage is not the stage of the eGFR value."""
-    from abstain_eval.operators.clinical import stage_from_egfr
-
     return stage_from_egfr("egfr") != F.col("ckd_stage")

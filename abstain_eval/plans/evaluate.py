@@ -54,12 +54,12 @@ def run_rounds(
                 sent.select("run_id", "batch_id", "task", "mode", "size", "round"), ["run_id", "batch_id"]
             )
         )
-        tokens = answers.with_usage(replies).withColumn("raw", F.col("raw_response"))
-        good, rejected = answers.parse_batches(
-            tokens.filter("mode = 'batch'").drop("usage", "provider", "raw", "finish_reason")
-        )
+        tokens = answers.with_usage(replies).drop("usage", "provider", "finish_reason")
+        # Read once: the sound rows and the plan of the next round both need it.
+        batches = cut_lineage(answers.read_batches(tokens.filter("mode = 'batch'")))
+        good, rejected = answers.item_rows(batches), answers.refused_batches(batches)
         spread = answers.spread_usage(good)
-        alone = answers.parse_answers(tokens.filter("mode = 'single'").drop("usage", "provider", "raw"))
+        alone = answers.parse_answers(tokens.filter("mode = 'single'"))
         kept, bad = answers.apply_malformed_policy(alone, on_malformed)
         columns = [
             "run_id", "batch_id", "slot", "prediction", "abstained", "confidence", "raw_response",
