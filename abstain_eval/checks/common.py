@@ -45,7 +45,8 @@ def dirty_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    keys = d.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    return d.spread(keys, "k")
 
 
 EV = f"with e as ({d.EVALUATIONS}), f as (select *, lower(trim(prediction)) = ground_truth and prediction is not null as hit, coalesce(ckd_stage, -1) as stage, case when ckd_stage is null then 'unknown_stage' else 'stage_' || ckd_stage end as part, not abstained and confidence is not null and prediction is not null as usable, least(cast(trunc(confidence * 15) as int), 14) as bin from e)"

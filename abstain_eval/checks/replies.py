@@ -360,7 +360,7 @@ _B = "with o as (select distinct o_orderkey // 4 as b from orders), i as (select
     key % 7 = 0 as abstained, (10 + key % 90)::double / 100::double as confidence from i""",
 )
 def _(spark, sf):
-    good, _ = a.parse_batches(d.derive(spark, sf, d.BATCH_RESPONSES))
+    good, _ = a.parse_batches(d.derive_batches(spark, sf))
     return good.select("run_id", "batch_id", "slot", "prediction", "abstained", "confidence")
 
 
@@ -370,7 +370,7 @@ def _(spark, sf):
     case when b % 6 = 4 then 'case_2' end as missing from o""",
 )
 def _(spark, sf):
-    read = a.read_batches(d.derive(spark, sf, d.BATCH_RESPONSES))
+    read = a.read_batches(d.derive_batches(spark, sf))
     missing = F.array_join("missing_ids", ",")
     return read.select("run_id", "batch_id", "reason", F.when(missing != "", missing).alias("missing"))
 
@@ -439,7 +439,7 @@ _USAGE = """with o as (select distinct o_orderkey // 4 as b from orders), u as (
     f"{_USAGE} select b as batch_id, i as input_tokens, o as output_tokens, case when i is not null or o is not null then coalesce(i, 0) + coalesce(o, 0) end as total_tokens from u",
 )
 def _(spark, sf):
-    used = a.with_usage(d.derive(spark, sf, d.BATCH_RESPONSES))
+    used = a.with_usage(d.derive_batches(spark, sf))
     return used.select("batch_id", "input_tokens", "output_tokens", "total_tokens")
 
 
@@ -448,7 +448,7 @@ def _(spark, sf):
     f"{_USAGE} select b as batch_id, cast(s as int) as slot, i / 4 as input_tokens, o / 4 as output_tokens, case when i is not null or o is not null then (coalesce(i, 0) + coalesce(o, 0)) / 4 end as total_tokens from u, range(4) t(s) where b % 6 <> 4",
 )
 def _(spark, sf):
-    used = a.with_usage(d.derive(spark, sf, d.BATCH_RESPONSES))
+    used = a.with_usage(d.derive_batches(spark, sf))
     good, _ = a.parse_batches(used)
     return a.spread_usage(good).select("batch_id", "slot", "input_tokens", "output_tokens", "total_tokens")
 
@@ -465,7 +465,7 @@ def _asked(spark, sf):
     f"""{_B} select b as batch_id, cast(s as int) as slot, 'batch' as prompt_mode, {text(k.REDACTED_BATCH)} as user_text from i""",
 )
 def _(spark, sf):
-    good, _ = a.parse_batches(d.derive(spark, sf, d.BATCH_RESPONSES))
+    good, _ = a.parse_batches(d.derive_batches(spark, sf))
     rows = a.attach_prompts(good.select("run_id", "batch_id", "slot"), r.build_batches(_asked(spark, sf)))
     return rows.select("batch_id", "slot", "prompt_mode", F.col("prompt")[1]["content"].alias("user_text"))
 
@@ -481,7 +481,7 @@ def _(spark, sf):
     facts = asked.withColumn("label", (key % 3).cast("string")).withColumn(
         "metadata", F.struct((key % 5).cast("int").alias("ckd_stage"), (key % 4 == 0).alias("should_abstain"))
     )
-    good, _ = a.parse_batches(d.derive(spark, sf, d.BATCH_RESPONSES))
+    good, _ = a.parse_batches(d.derive_batches(spark, sf))
     placed = good.join(asked.select("run_id", "batch_id", "slot", "case_id"), ["run_id", "batch_id", "slot"])
     rows = a.evaluation_rows(placed, facts)
     return rows.select("run_id", "case_id", "prediction", "abstained", "ground_truth", "ckd_stage", "should_abstain")

@@ -50,7 +50,9 @@ def normalise_text(df: DataFrame) -> DataFrame:
 
 
 def normalised_cells(raw: DataFrame, sex_column: str | None = None) -> DataFrame:
-    return raw.transform(canonical_order, sex_column).transform(blanks_to_null).transform(normalise_text)
+    """Canonical order, trimmed lower-case text, blanks as null; each cell is trimmed once."""
+    ordered = raw.transform(canonical_order, sex_column).transform(normalise_text)
+    return ordered.select(*[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ordered.columns])
 
 
 def number_of(c: str) -> Column:

@@ -7,6 +7,7 @@ from equal rows. ``k`` is the order key.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 NL = "\n"
 
@@ -122,7 +123,7 @@ select b as batch_id, 'run_' || cast(b % 6 as string) as run_id, 'detection' as
       when b % 5 = 3 then '{{"usage":{{"prompt_tokens":' || cast(400 + b % 50 as string) || '}}}}'
       else '{{}}' end as usage,
  case b % 5 when 1 then 'anthropic' when 2 then 'gemini' else 'openai' end as provider
-from (select distinct cast((o_orderkey - o_orderkey % 4) / 4 as bigint) as b from orders) x
+from batches
 """
 
 
@@ -229,7 +230,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def derive_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived batch answers, one row per four order keys."""
+    keys = read_table(spark, sf_dir, "orders").select((F.col("o_orderkey") - F.col("o_orderkey") % 4).alias("k"))
+    batches = keys.select((F.col("k") / 4).cast("bigint").alias("b"))
+    spread_keys = batches.repartition(spark.sparkContext.defaultParallelism, "b").distinct()
+    text = BATCH_RESPONSES.replace("{", "{{").replace("}", "}}").replace("from batches", "from {batches}")
+    return spark.sql(text, batches=spread_keys)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table of one small file has one partition; spread it as many files would be."""
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    few = df.rdd.getNumPartitions() < parallelism
+    return df.repartition(parallelism, key) if few else df
+
+
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run one of the texts above over the orders table of a data folder."""
     text = sql.replace("{", "{{").replace("}", "}}").replace("from orders", "from {orders}")
-    return spark.sql(text, orders=read_table(spark, sf_dir, "orders"))
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey")
+    return spark.sql(text, orders=spread(orders, "o_orderkey"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,12 @@ from abstain_eval.operators import answers, requests
 from abstain_eval.session import cut_lineage
 
 CASE_KEYS = ("run_id", "batch_id", "task", "round")
+ROW = [
+    "run_id", "batch_id", "slot", "prediction", "abstained", "confidence", "raw_response",
+    "input_tokens", "output_tokens", "total_tokens",
+]
+QUARANTINE = "run_id string, case_id bigint, reason string, raw_response string"
+REJECTED = "run_id string, batch_id bigint, size int, reason string, missing_ids array<string>"
 
 
 @dataclass
@@ -21,12 +28,16 @@ class Evaluated:
     requests: DataFrame
 
 
-def _requests_of(cases: DataFrame) -> DataFrame:
+def plan_requests(cases: DataFrame) -> DataFrame:
     batch = requests.build_batches(cases.filter("mode = 'batch'"), CASE_KEYS)
     single = requests.single_requests(cases.filter("mode = 'single'"), CASE_KEYS)
     return batch.unionByName(single)
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def run_rounds(
     records: DataFrame,
     answer: Callable[[Iterator], Iterator],
@@ -35,59 +46,50 @@ def run_rounds(
 ) -> Evaluated:
     """Ask, read, and ask rejected batches again in halves, down to single cases.
 
-    ``records`` has run_id. Each round is written to the shared folder once, since its
-    requests and answers feed several tables and answers may cost money. The number of
-    rounds is at most log2(batch_size) + 2.
+    ``records`` has run_id. Requests and replies of a round are written to the shared folder
+    once: they feed several tables, and a lost executor must not ask a model twice. The
+    number of rounds is at most log2(batch_size) + 3.
     """
+    spark = records.sparkSession
     batched = requests.assign_batches(records, batch_size)
     sizes = batched.groupBy("run_id", "batch_id").agg(F.count(F.lit(1)).cast("int").alias("size"))
-    current = cut_lineage(
-        batched.join(sizes, ["run_id", "batch_id"]).withColumns(
-            {"round": F.lit(0), "mode": F.lit("batch")}
-        )
-    )
-    rows, quarantined, asked = None, None, None
+    first = batched.join(sizes, ["run_id", "batch_id"])
+    current = cut_lineage(first.withColumns({"round": F.lit(0), "mode": F.lit("batch")}))
+    rows, quarantined, asked = [], [spark.createDataFrame([], QUARANTINE)], []
     for _ in range(batch_size.bit_length() + 2):
-        sent = cut_lineage(_requests_of(current))
+        # At most two values.
+        modes = {r["mode"] for r in current.select("mode").distinct().collect()}
+        if not modes:
+            break
+        sent = cut_lineage(plan_requests(current))
+        facts = sent.select("run_id", "batch_id", "task", "mode", "size", "round")
+        asked.append(facts.drop("task"))
         replies = cut_lineage(
-            requests.answer_requests(sent, answer).drop("task", "mode").join(
-                sent.select("run_id", "batch_id", "task", "mode", "size", "round"), ["run_id", "batch_id"]
-            )
+            requests.answer_requests(sent, answer).drop("task", "mode").join(facts, ["run_id", "batch_id"])
         )
         tokens = answers.with_usage(replies).drop("usage", "provider", "finish_reason")
-        # Read once: the sound rows and the plan of the next round both need it.
-        batches = cut_lineage(answers.read_batches(tokens.filter("mode = 'batch'")))
-        good, rejected = answers.item_rows(batches), answers.refused_batches(batches)
-        spread = answers.spread_usage(good)
-        alone = answers.parse_answers(tokens.filter("mode = 'single'"))
-        kept, bad = answers.apply_malformed_policy(alone, on_malformed)
-        columns = [
-            "run_id", "batch_id", "slot", "prediction", "abstained", "confidence", "raw_response",
-            "input_tokens", "output_tokens", "total_tokens",
-        ]
-        got = spread.select(*columns).unionByName(
-            kept.withColumn("slot", F.lit(0)).select(*columns), allowMissingColumns=False
-        )
         places = current.select("run_id", "batch_id", "slot", "case_id")
-        found = answers.attach_prompts(got.join(places, ["run_id", "batch_id", "slot"]), sent).drop(
-            "batch_id", "slot"
-        )
-        lost = bad.select("run_id", "batch_id", F.col("malformed").alias("reason"), "raw_response").join(
-            places.drop("slot"), ["run_id", "batch_id"]
-        ).drop("batch_id")
-        calls = sent.select("run_id", "round", "batch_id", "mode", "size")
-        rows = found if rows is None else rows.unionByName(found)
-        quarantined = lost if quarantined is None else quarantined.unionByName(lost)
-        asked = calls if asked is None else asked.unionByName(calls)
+        got, rejected = [], spark.createDataFrame([], REJECTED)
+        if "batch" in modes:
+            # Read once: the sound rows and the plan of the next round both need it.
+            batches = cut_lineage(answers.read_batches(tokens.filter("mode = 'batch'")))
+            got.append(answers.spread_usage(answers.item_rows(batches)).select(*ROW))
+            rejected = answers.refused_batches(batches)
+        if "single" in modes:
+            alone = answers.parse_answers(tokens.filter("mode = 'single'"))
+            kept, bad = answers.apply_malformed_policy(alone, on_malformed)
+            got.append(kept.withColumn("slot", F.lit(0)).select(*ROW))
+            lost = bad.select("run_id", "batch_id", F.col("malformed").alias("reason"), "raw_response")
+            quarantined.append(lost.join(places.drop("slot"), ["run_id", "batch_id"]).drop("batch_id"))
+        placed = _union(got).join(places, ["run_id", "batch_id", "slot"])
+        rows.append(answers.attach_prompts(placed, sent).drop("batch_id", "slot"))
         plan = answers.next_round(
             current.select("run_id", "batch_id", "slot", "round", "mode", "case_id"), rejected
         )
-        facts = current.drop("batch_id", "slot", "size", "round", "mode", "case_ref")
+        kept_facts = current.drop("batch_id", "slot", "size", "round", "mode", "case_ref")
+        again = kept_facts.join(plan, ["run_id", "case_id"])
         current = cut_lineage(
-            facts.join(plan, ["run_id", "case_id"]).withColumn(
-                "case_ref", F.concat(F.lit("case_"), F.col("slot").cast("string"))
-            )
+            again.withColumn("case_ref", F.concat(F.lit("case_"), F.col("slot").cast("string")))
         )
-        if current.isEmpty():
-            break
-    return Evaluated(answers.evaluation_rows(rows, records), quarantined, asked)
+    evaluations = answers.evaluation_rows(_union(rows), records)
+    return Evaluated(evaluations, _union(quarantined), _union(asked))
