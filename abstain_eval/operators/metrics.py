@@ -412,31 +412,47 @@ def _brier_of(per_run: DataFrame) -> DataFrame:
     )
 
 
+def _judged(evaluations: DataFrame) -> DataFrame:
+    """Label comparisons of every row, made once and then only counted."""
+    return evaluations.withColumns(
+        {
+            "_match": label_hit(),
+            "_same_key": key_hit(),
+            "_truth_key": label_key("ground_truth"),
+            "_truth": binary_label("ground_truth"),
+            "_guess": binary_label("prediction"),
+            "_usable": usable_for_calibration(),
+            "_sure": clamped_confidence(),
+        }
+    )
+
+
 def score_cube(evaluations: DataFrame, n_bins: int = k.N_BINS) -> DataFrame:
     """Counts by run, stage, true class and confidence bin: the one pass over the rows."""
-    usable, answered = usable_for_calibration(), ~F.col("abstained")
+    usable, match, sure = F.col("_usable"), F.col("_match"), F.col("_sure")
     flag, abstained = F.col("should_abstain"), F.col("abstained")
-    brier = _brier_columns()
-    return evaluations.groupBy(
+    positive = F.when(F.col("_guess") == 1, sure).otherwise(1.0 - sure)
+    not_binary = F.col("_truth").isNull() | F.col("_guess").isNull()
+    return _judged(evaluations).groupBy(
         "run_id",
         stage_of().alias("stage"),
-        label_key("ground_truth").alias("truth_key"),
-        F.when(usable, bin_index(clamped_confidence(), n_bins)).alias("bin"),
+        F.col("_truth_key").alias("truth_key"),
+        F.when(usable, bin_index(sure, n_bins)).alias("bin"),
     ).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(abstained).alias("abstained"),
-        F.count_if(answered & label_hit()).alias("correct"),
-        F.count_if(key_hit()).alias("key_hits"),
+        F.count_if(~abstained & match).alias("correct"),
+        F.count_if("_same_key").alias("key_hits"),
         F.count("should_abstain").alias("labeled"),
         F.count_if(flag & abstained).alias("defer_when_needed"),
         F.count_if(~flag & ~abstained).alias("answer_when_safe"),
         F.count_if(~flag & abstained).alias("abstain_when_should_answer"),
         F.count_if(flag & ~abstained).alias("answer_when_should_defer"),
         F.count_if(usable).alias("count"),
-        F.count_if(usable & label_hit()).alias("hits"),
-        F.sum(F.when(usable, clamped_confidence())).alias("confidence_sum"),
-        brier["squared_error"].alias("squared_error"),
-        brier["not_binary"].alias("not_binary"),
+        F.count_if(usable & match).alias("hits"),
+        F.sum(F.when(usable, sure)).alias("confidence_sum"),
+        F.sum(F.when(usable, F.pow(positive - F.col("_truth"), F.lit(2.0)))).alias("squared_error"),
+        F.count_if(usable & not_binary).alias("not_binary"),
     )
 
 
@@ -616,28 +632,25 @@ def user_metric_in_pandas(
 ) -> DataFrame:
     """A metric in pandas that never holds a whole run.
 
-    ``partial`` turns one Arrow batch (rows of any runs) into a few rows per run, with a
-    ``run_id`` column and the columns of ``partial_schema``. ``merge`` gets all those rows
-    of a run as one frame and returns the value.
+    ``partial`` turns one Arrow batch (rows of any runs) into additive parts per run: a
+    ``run_id`` column and the numeric columns of ``partial_schema``. Spark adds the parts up,
+    and ``merge`` gets the sums of a run as a one-row frame and returns the value.
     """
-    import pandas as pd
 
-    def map_batches(batches):
-        carried = []
+    def parts_of(batches):
         for batch in batches:
-            carried.append(partial(batch))
-        if carried:
-            joined = pd.concat(carried)
-            sums = joined.groupby("run_id", as_index=False).sum(numeric_only=True)
-            yield sums[list(joined.columns)]
+            yield partial(batch)
 
-    def merge_run(key, frame):
-        return pd.DataFrame({"run_id": [key[0]], "metric": [name], "value": [float(merge(frame))]})
+    def values_of(batches):
+        import pandas as pd
 
-    parts = evaluations.mapInPandas(map_batches, f"run_id string, {partial_schema}")
-    return parts.groupBy("run_id").applyInPandas(
-        merge_run, "run_id string, metric string, value double"
-    )
+        for sums in batches:
+            values = [float(merge(sums.iloc[[i]])) for i in range(len(sums))]
+            yield pd.DataFrame({"run_id": sums["run_id"], "metric": name, "value": values})
+
+    parts = evaluations.mapInPandas(parts_of, f"run_id string, {partial_schema}")
+    sums = parts.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in parts.columns if c != "run_id"])
+    return sums.mapInPandas(values_of, "run_id string, metric string, value double")
 
 
 def with_finite_values(scores: DataFrame) -> DataFrame:

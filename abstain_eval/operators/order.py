@@ -1,7 +1,7 @@
 """Seeded order and exact quotas without a global sort.
 
-Rows are ordered by the digest of their key. Its first three hex digits split them into
-4,096 buckets of near equal size whatever the data, so ranks need only bucket counts.
+Rows are ordered by the digest of their key. Its first four hex digits split them into
+65,536 buckets of near equal size whatever the data, so ranks need only bucket counts.
 Keys must be unique; the case contract checks that.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from abstain_eval.functions.joins import sized_side
 from abstain_eval.functions.numbers import draw_digest
 
-BUCKET_DIGITS = 3
+BUCKET_DIGITS = 4
 
 
 def _with_digest(df: DataFrame, keys: Sequence[str], seed: int, stream: str) -> DataFrame:
@@ -34,7 +34,7 @@ def seeded_shuffle(
         "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset")
     )
     inside = Window.partitionBy("_bucket").orderBy("_digest", *keys)
-    # At most 4,096 offset rows, by construction of the bucket.
+    # At most 65,536 offset rows (a few MB), by construction of the bucket.
     return (
         ordered.join(F.broadcast(offsets), "_bucket")
         .withColumn(index, F.row_number().over(inside) - 1 + F.col("_offset"))

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from abstain_eval.operators import answers, requests
 from abstain_eval.session import cut_lineage
@@ -52,8 +53,8 @@ def run_rounds(
     """
     spark = records.sparkSession
     batched = requests.assign_batches(records, batch_size)
-    sizes = batched.groupBy("run_id", "batch_id").agg(F.count(F.lit(1)).cast("int").alias("size"))
-    first = batched.join(sizes, ["run_id", "batch_id"])
+    one_batch = Window.partitionBy("run_id", "batch_id")
+    first = batched.withColumn("size", F.count(F.lit(1)).over(one_batch).cast("int"))
     current = cut_lineage(first.withColumns({"round": F.lit(0), "mode": F.lit("batch")}))
     rows, quarantined, asked = [], [spark.createDataFrame([], QUARANTINE)], []
     for _ in range(batch_size.bit_length() + 2):

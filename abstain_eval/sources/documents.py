@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from abstain_eval.functions.joins import sized_side
 from abstain_eval.functions.numbers import finite_or_null
 from abstain_eval.functions.text import json_string
 from abstain_eval.operators.runs import metric_key
@@ -156,7 +157,8 @@ def full_documents(
         (finite_or_null(c).alias(c) if c == "confidence" else F.col(c))
         for c in ROW_FIELDS if c in evaluations.columns
     ]
-    first = evaluations.groupBy("run_id").agg(F.min("row_idx").alias("_first"))
+    # A run may hold most rows: its one-row side is broadcast when the runs are few.
+    first = sized_side(evaluations.groupBy("run_id").agg(F.min("row_idx").alias("_first")))
     rows = evaluations.join(first, "run_id").select(
         "run_id", F.lit(1).alias("section"), F.col("row_idx").alias("ord"),
         F.concat(
