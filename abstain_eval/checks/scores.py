@@ -600,7 +600,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Write every run's document and read its rows back."""
     e, scores, summary, table = _documents(spark, sf)
-    pieces = documents.full_documents(scores, summary, table, e)
+    pieces = documents.full_documents(scores, summary, table, e, runs.prompt_templates(e))
     path = fresh_path(spark, "run-documents")
     documents.write_documents(pieces, path)
     rows = spark.read.text(path).filter("value like '%\"case_id\":%'")

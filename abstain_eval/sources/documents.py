@@ -118,55 +118,73 @@ ROW_FIELDS = [
 ]
 
 
+def _listed(df: DataFrame, section: int, position: str, text: Column) -> DataFrame:
+    """Pieces of a JSON list: every entry but a run's first starts with a comma.
+
+    A run may hold most rows: its one-row side is broadcast when the runs are few.
+    """
+    first = sized_side(df.groupBy("run_id").agg(F.min(position).alias("_first")))
+    comma = F.when(F.col(position) == F.col("_first"), F.lit("")).otherwise(F.lit(","))
+    return df.join(first, "run_id").select(
+        "run_id", F.lit(section).alias("section"), F.col(position).cast("bigint").alias("ord"),
+        F.concat(comma, text).alias("text"),
+    )
+
+
 def full_documents(
     scores: DataFrame,
     summary: DataFrame,
     runs: DataFrame,
     evaluations: DataFrame | None = None,
+    templates: DataFrame | None = None,
 ) -> DataFrame:
     """Full document per run as ordered pieces (run_id, section, ord, text).
 
     A run can hold any number of rows, so its document is never put together in one task:
     the pieces of a run joined in (section, ord) order are one JSON document. ``runs`` has
-    run_id, model and suite (a JSON object as text).
+    run_id, model and suite (a JSON object as text); ``templates`` are the distinct prompts.
     """
     joined = (
         runs.select("run_id", "model", "suite").join(_metrics_json(scores), "run_id")
         .join(_execution_json(summary), "run_id")
         .join(summary.select("run_id", "n_input_records"), "run_id")
     )
-    opening = F.concat(F.lit('{"backend_name":'), json_string(F.coalesce("model", F.lit(""))))
-    rows_open = F.lit(',"evaluation_results":[') if evaluations is not None else F.lit("")
-    head = joined.select(
-        "run_id", F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("ord"),
-        F.concat(opening, rows_open).alias("text"),
+    extras = F.col("execution_json")
+    open_extras = F.concat(
+        F.substring(extras, F.lit(1), F.length(extras) - 1), F.lit(',"prompt_templates":[')
     )
-    closing = F.lit("]") if evaluations is not None else F.lit("")
-    tail = joined.select(
-        "run_id", F.lit(2).alias("section"), F.lit(0).cast("bigint").alias("ord"),
-        F.concat(
-            closing, F.lit(',"extras":'), F.col("execution_json"), F.lit(',"metrics":'), F.col("metrics_json"),
+    with_rows, with_templates = evaluations is not None, templates is not None
+    fixed = [
+        (0, F.concat(
+            F.lit('{"backend_name":'), json_string(F.coalesce("model", F.lit(""))),
+            F.lit(',"evaluation_results":[' if with_rows else ""),
+        )),
+        (2, F.concat(
+            F.lit("]" if with_rows else ""), F.lit(',"extras":'), open_extras if with_templates else extras
+        )),
+        (4, F.concat(
+            F.lit("]}" if with_templates else ""), F.lit(',"metrics":'), F.col("metrics_json"),
             F.lit(',"n_evaluation_results":'), F.col("n_input_records").cast("string"),
             F.lit(',"suite":'), F.col("suite"), F.lit("}"),
-        ).alias("text"),
-    )
-    pieces = head.unionByName(tail)
-    if evaluations is None:
-        return pieces
-    fields = [
-        (finite_or_null(c).alias(c) if c == "confidence" else F.col(c))
-        for c in ROW_FIELDS if c in evaluations.columns
+        )),
     ]
-    # A run may hold most rows: its one-row side is broadcast when the runs are few.
-    first = sized_side(evaluations.groupBy("run_id").agg(F.min("row_idx").alias("_first")))
-    rows = evaluations.join(first, "run_id").select(
-        "run_id", F.lit(1).alias("section"), F.col("row_idx").alias("ord"),
-        F.concat(
-            F.when(F.col("row_idx") == F.col("_first"), F.lit("")).otherwise(F.lit(",")),
-            F.to_json(F.struct(*fields), _KEEP_NULLS),
-        ).alias("text"),
+    parts = F.array(
+        *[F.struct(F.lit(n).alias("section"), F.lit(0).cast("bigint").alias("ord"), t.alias("text")) for n, t in fixed]
     )
-    return pieces.unionByName(rows)
+    pieces = joined.select("run_id", F.inline(parts))
+    if with_rows:
+        fields = [
+            (finite_or_null(c).alias(c) if c == "confidence" else F.col(c))
+            for c in ROW_FIELDS if c in evaluations.columns
+        ]
+        row = F.to_json(F.struct(*fields), _KEEP_NULLS)
+        pieces = pieces.unionByName(_listed(evaluations, 1, "row_idx", row))
+    if with_templates:
+        entry = F.concat(
+            F.lit('{"prompt_mode":'), json_string(F.col("prompt_mode")), F.lit(',"prompt":'), F.col("prompt"), F.lit("}")
+        )
+        pieces = pieces.unionByName(_listed(templates, 3, "first_row", entry))
+    return pieces
 
 
 def write_documents(pieces: DataFrame, path: str) -> None:
