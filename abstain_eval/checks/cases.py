@@ -94,9 +94,34 @@ def _(spark, sf):
     return d.derive(spark, sf, _NUMBERS).select("k", validate.number_of("t").alias("v"))
 
 
-@register("number_violations", f"with {DIRTY} select 'non_numeric' as \"check\", 'sc' as \"column\", 'high' as detail from r where sc = 'high' limit 3")
+_SOMETIMES, _HIGH = "htn = 'sometimes'", "sc = 'high'"
+
+
+def shown(findings: DataFrame) -> DataFrame:
+    return findings.withColumn("examples", F.array_join("examples", ","))
+
+
+def findings_sql(check: str, column: str, detail: str, where: str, source: str = "r") -> str:
+    """Distinct bad values of a column, their number and the first three ids."""
+    first = "array_to_string(list_slice(list(id order by try_cast(id as bigint) nulls last), 1, 3), ',')"
+    return f"""select '{check}' as "check", '{column}' as "column", {detail} as detail, count(*) as n, {first} as examples
+     from {source} where {where} group by {detail}"""
+
+
+_VARIED = f"v as (select cast(k as varchar) as id, 'bad' || cast(k % 7 as varchar) as sc, k % 101 = 9 as in_sc, 'x' || cast(k % 2 as varchar) as hemo, k % 37 = 5 as in_hemo from ({d.KEYS}))"
+
+
+@register("number_violations", f"with {_VARIED} {findings_sql('non_numeric', 'sc', 'sc', 'in_sc', 'v')} union all {findings_sql('non_numeric', 'hemo', 'hemo', 'in_hemo', 'v')}")
 def _(spark, sf):
-    return validate.number_violations(dirty_cases(spark, sf))
+    """Bad values that differ from row to row."""
+    key = F.trim("id").cast("bigint")
+    dirty = raw_cases(spark, sf).withColumns(
+        {
+            "sc": F.when(key % 101 == 9, F.concat(F.lit("bad"), key % 7)).otherwise(F.col("sc")),
+            "hemo": F.when(key % 37 == 5, F.concat(F.lit("x"), key % 2)).otherwise(F.col("hemo")),
+        }
+    )
+    return shown(validate.number_violations(dirty))
 
 
 @register(
@@ -108,51 +133,65 @@ def _(spark, sf):
     return validate.drop_shifted_values(cells).select("id", "appet", "pe")
 
 
-@register("value_violations", f"with {DIRTY} select distinct 'unsupported_value' as \"check\", 'htn' as \"column\", 'sometimes' as detail from r where htn = 'sometimes'")
+@register("value_violations", f"with {DIRTY} {findings_sql('unsupported_value', 'htn', 'htn', _SOMETIMES)}")
 def _(spark, sf):
-    return validate.value_violations(dirty_cases(spark, sf))
+    return shown(validate.value_violations(dirty_cases(spark, sf)))
+
+
+_IDS = """select 'duplicate_id' as "check", 'id' as "column", id as detail, count(*) as n, '' as examples from r where id is not null group by id having count(*) > 1
+    union all select 'missing_id', 'id', cast(count(*) as varchar), count(*), '' from r where id is null having count(*) > 0"""
 
 
 @register(
     "identifier_violations",
-    f"""with {DIRTY} select 'duplicate_id' as "check", 'id' as "column", id as detail from r where id is not null group by id having count(*) > 1
-    union all select 'missing_id', 'id', cast(count(*) as varchar) from r where id is null having count(*) > 0""",
+    f"""with {DIRTY}, big as (select case when k % 7 = 3 then 9007199254740992 + k - k % 2 else 9007199254740992 + 10000000 + k end as id from ({d.KEYS}))
+    {_IDS} union all select 'duplicate_id', 'id', cast(id as varchar), count(*), '' from big group by id having count(*) > 1""",
 )
 def _(spark, sf):
-    return validate.identifier_violations(dirty_cases(spark, sf))
+    """Ids of the dirty table, and ids that doubles could not tell apart."""
+    key = F.trim("id").cast("bigint")
+    big = F.lit(9007199254740992) + F.when(key % 7 == 3, key - key % 2).otherwise(key + 10_000_000)
+    large = raw_cases(spark, sf).withColumn("id", big.cast("string"))
+    both = validate.identifier_violations(dirty_cases(spark, sf)).unionByName(validate.identifier_violations(large))
+    return shown(both)
 
 
 @register(
     "target_violations",
-    f"""with {DIRTY} select 'missing_target' as "check", 'class' as "column", cast(count(*) as varchar) as detail from r where class is null having count(*) > 0
-    union all select 'label_not_seen', 'class', 'notckd' where not exists (select 1 from r where lower(trim(class)) = 'none')""",
+    f"""with {DIRTY} select 'missing_target' as "check", 'class' as "column", cast(count(*) as varchar) as detail, count(*) as n, '' as examples from r where class is null having count(*) > 0
+    union all select 'label_not_seen', 'class', 'notckd', 0, '' where not exists (select 1 from r where lower(trim(class)) = 'none')""",
 )
 def _(spark, sf):
     # One label is renamed so that it is never seen.
     dirty = dirty_cases(spark, sf).withColumn("class", F.when(F.col("class").isNotNull(), "ckd"))
-    return validate.target_violations(dirty)
+    return shown(validate.target_violations(dirty))
 
 
 @register(
     "all_violations",
-    f"""with {DIRTY} (select 'non_numeric' as "check", 'sc' as "column", 'high' as detail from r where sc = 'high' limit 3)
-    union all select distinct 'unsupported_value', 'htn', 'sometimes' from r where htn = 'sometimes'
-    union all select 'duplicate_id', 'id', id from r where id is not null group by id having count(*) > 1
-    union all select 'missing_id', 'id', cast(count(*) as varchar) from r where id is null having count(*) > 0
-    union all select 'missing_target', 'class', cast(count(*) as varchar) from r where class is null having count(*) > 0""",
+    f"""with {DIRTY} {findings_sql('non_numeric', 'sc', 'sc', _HIGH)}
+    union all {findings_sql('unsupported_value', 'htn', 'htn', _SOMETIMES)}
+    union all {_IDS}
+    union all select 'missing_target', 'class', cast(count(*) as varchar), count(*), '' from r where class is null having count(*) > 0""",
 )
 def _(spark, sf):
-    return validate.violations(dirty_cases(spark, sf))
+    return shown(validate.violations(dirty_cases(spark, sf)))
 
 
-@register("header_violations")
+@register(
+    "header_violations",
+    """select 'duplicate_column' as "check", 'age' as "column", null::varchar as detail, 2 as n, '' as examples
+    union all select 'missing_column', 'sc', null, 1, '' union all select 'unexpected_column', 'extra', null, 1, ''""",
+)
 def _(spark, sf):
-    """A header with a repeated, a missing and an unexpected name, read from the file."""
+    """A header with a repeated, a missing and an unexpected name, read from a file that has it."""
     path = fresh_path(spark, "header-csv")
     raw = raw_cases(spark, sf).drop("sc").withColumn("extra", F.lit("1"))
-    raw.write.option("header", True).csv(path)
-    names = header_names(spark, path)
-    return validate.header_violations(spark, names + ["age"])
+    # Each file of a table opens with its header; rows stand in files of their own here.
+    header = spark.createDataFrame([(",".join([*raw.columns, "age"]),)], "value string")
+    header.write.text(path)
+    raw.select(F.concat_ws(",", *raw.columns, "age").alias("value")).write.text(f"{path}-rows")
+    return shown(validate.header_violations(spark, header_names(spark, path)))
 
 
 _MISSING = " union all ".join(f"select '{x}' as \"column\", count(*) - count({x}) as n_missing, count(*) as n_rows from c" for x in k.RAW_COLUMNS)

@@ -573,3 +573,80 @@ def _(spark, sf):
     return done.evaluations.select(
         "run_id", "case_id", "prediction", "abstained", "confidence", "input_tokens", "ground_truth"
     )
+
+
+def gapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with holes in row_idx; one run holds most of them."""
+    key = F.col("case_id")
+    run = F.when(key % 10 < 7, "run_big").otherwise(F.concat(F.lit("run_"), (key % 3).cast("string")))
+    facts = F.struct(F.lit(1).alias("ckd_stage"), F.lit(False).alias("should_abstain"))
+    kept = records(spark, sf_dir, "detection").filter((key % 3 != 1) & (key % 11 != 5))
+    return kept.withColumns({"run_id": run, "label": (key % 2).cast("string"), "metadata": facts})
+
+
+GAPPED = f"""a as (select k, case when k % 10 < 7 then 'run_big' else 'run_' || cast(k % 3 as varchar) end as run_id
+ from ({d.KEYS}) where k % 3 <> 1 and k % 11 <> 5),
+ b as (select *, (row_number() over (partition by run_id order by k) - 1) // 8 as batch from a)"""
+
+
+def outcomes(done: evaluate.Evaluated) -> DataFrame:
+    """Every record's end: an evaluation or a row of quarantine."""
+    kept = done.evaluations.select("run_id", "case_id", "prediction", "abstained", F.lit(None).cast("string").alias("reason"))
+    lost = done.quarantine.select("run_id", "case_id", F.lit(None).cast("string").alias("prediction"), F.lit(None).cast("boolean").alias("abstained"), "reason")
+    return kept.unionByName(lost)
+
+
+def unreliable_model():
+    """Leaves requests unanswered that hold a case divisible by 17."""
+    model = parity_model()
+
+    def answer(batches):
+        for frame in batches:
+            silent = [any(int(c) % 17 == 0 for c in ids) for ids in frame["case_ids"]]
+            yield from model(iter([frame[[not s for s in silent]]]))
+
+    return answer
+
+
+def failing_model():
+    """Raises at the first attempt of some requests, and always where a case is divisible by 19."""
+    model = parity_model()
+
+    def answer(batches):
+        for frame in batches:
+            ids = [int(c) for c in frame["case_ids"].iloc[0]]
+            if any(i % 19 == 0 for i in ids):
+                raise ValueError("refused")
+            if frame["attempt"].iloc[0] == 0 and ids[0] % 4 == 0:
+                raise ConnectionError("lost")
+            yield from model(iter([frame]))
+
+    return answer
+
+
+_PARITY = "case when k % 5 <> 0 then cast(k % 2 as varchar) end as prediction, k % 5 = 0 as abstained"
+
+
+@register("evaluation_rounds_with_gaps", f"with {GAPPED} select run_id, k as case_id, {_PARITY}, null::varchar as reason from b")
+def _(spark, sf):
+    return outcomes(evaluate.run_rounds(gapped_records(spark, sf), parity_model(), 8))
+
+
+@register(
+    "evaluation_rounds_lost_replies",
+    f"""with {GAPPED}, x as (select *, k % 17 = 0 as lost from b) select run_id, k as case_id, case when not lost and k % 5 <> 0 then cast(k % 2 as varchar) end as prediction,
+     case when not lost then k % 5 = 0 end as abstained, case when lost then 'no_reply' end as reason from x""",
+)
+def _(spark, sf):
+    return outcomes(evaluate.run_rounds(gapped_records(spark, sf), unreliable_model(), 8))
+
+
+@register(
+    "evaluation_rounds_failed_calls",
+    f"""with {GAPPED}, n as (select *, row_number() over (partition by run_id, batch order by k) - 1 as place, count(*) over (partition by run_id, batch) as size from b),
+     x as (select *, bool_or(k % 19 = 0) over (partition by run_id, batch) as lost from n)
+     select run_id, k as case_id, case when not lost and k % 5 <> 0 then cast(k % 2 as varchar) end as prediction,
+     case when not lost then k % 5 = 0 end as abstained, case when lost then 'call_failed:ValueError' end as reason from x""",
+)
+def _(spark, sf):
+    return outcomes(evaluate.run_rounds(gapped_records(spark, sf), failing_model(), 8))

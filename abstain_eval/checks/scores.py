@@ -46,7 +46,7 @@ select k,
  case when k % 10 in (4, 8) then 'stable' when k % 10 = 6 then '0' when k % 10 = 7 then '10' else '1' end as truth
 from (select o_orderkey as k from orders) a
 """
-_INT = "case when regexp_full_match(trim({c}), '{p}') then cast(trim({c}) as bigint) end"
+_INT = "case when regexp_full_match(trim({c}), '{p}') then cast(replace(trim({c}), '_', '') as bigint) end"
 
 
 def _as_int(c: str, p: str) -> str:
@@ -55,7 +55,7 @@ def _as_int(c: str, p: str) -> str:
 
 @register(
     "label_match",
-    f"""with l as ({LABELS}) select k, coalesce({_as_int('prediction', '[+-]?[0-9]+')} = {_as_int('truth', '[+-]?[0-9]+')}, false)
+    f"""with l as ({LABELS}) select k, coalesce({_as_int('prediction', '[+-]?[0-9]+(_[0-9]+)*')} = {_as_int('truth', '[+-]?[0-9]+(_[0-9]+)*')}, false)
     or coalesce(lower(trim(prediction)) = lower(trim(truth)), false) as is_match from l""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,13 +14,16 @@ def _col(c) -> Column:
 
 def _integer(c: Column, pattern: str) -> Column:
     text = strip(c)
-    return F.when(text.rlike(pattern), text.try_cast("decimal(38,0)"))
+    return F.when(text.rlike(pattern), F.replace(text, F.lit("_"), F.lit("")).try_cast("decimal(38,0)"))
 
 
 def labels_match(prediction, truth) -> Column:
-    """Equal as integers when both are integers, else equal as trimmed lower-case text."""
+    """Equal as integers when both are integers, else equal as trimmed lower-case text.
+
+    Integers may have a sign, and single underscores between digits.
+    """
     prediction, truth = _col(prediction), _col(truth)
-    signed = r"^[+-]?[0-9]+$"
+    signed = r"^[+-]?[0-9]+(_[0-9]+)*$"
     as_number = _integer(prediction, signed) == _integer(truth, signed)
     as_text = normalised(prediction) == normalised(truth)
     return F.coalesce(as_number, F.lit(False)) | F.coalesce(as_text, F.lit(False))

@@ -42,6 +42,26 @@ def seeded_shuffle(
     )
 
 
+def dense_positions(
+    df: DataFrame, group: str, by: str, ties: Sequence[str], width: int = 65_536, index: str = "position"
+) -> DataFrame:
+    """Number the rows of each group 0, 1, ... by an integer column that may have gaps.
+
+    Rows are ranked only within ranges of ``width`` values, so a large group is many tasks;
+    counts of the ranges before give the rest. Nulls come last.
+    """
+    ranged = df.withColumn("_range", F.floor(F.coalesce(F.col(by), F.lit(2**62)) / width))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(group, "_range").orderBy(by, *ties)
+    return (
+        ranged.join(offsets, [group, "_range"])
+        .withColumn(index, F.row_number().over(inside) - 1 + F.col("_offset"))
+        .drop("_range", "_offset")
+    )
+
+
 def split_quotas(counts: DataFrame, stratum: str, test_size: float) -> DataFrame:
     """Rows to hold out per stratum: ceil(n * size) in all, train parts by largest remainder."""
     whole = "decimal(38,0)"
@@ -74,26 +94,36 @@ def stratified_split(
     quotas = split_quotas(buckets.groupBy(stratum).agg(F.sum("n").alias("n")), stratum, test_size)
     running = Window.partitionBy(stratum).orderBy("_bucket")
     last = (
-        buckets.join(quotas.select(stratum, "quota"), stratum)
+        _join_stratum(buckets, quotas.select(stratum, "quota"), stratum)
         .withColumn("_upto", F.sum("n").over(running))
         .filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("n") < F.col("quota")))
         .select(stratum, "_bucket", (F.col("quota") - F.col("_upto") + F.col("n")).alias("_need"))
     )
     inside = Window.partitionBy(stratum).orderBy("_digest", *keys)
     edge = (
-        ordered.select(stratum, "_bucket", "_digest", *keys)
-        .join(sized_side(last), [stratum, "_bucket"])
+        _join_stratum(ordered.select(stratum, "_bucket", "_digest", *keys), sized_side(last), stratum, ["_bucket"])
         .withColumn("_rank", F.row_number().over(inside))
         .filter(F.col("_rank") == F.col("_need"))
         .select(stratum, _position("_digest", keys).alias("_cut"))
     )
     return (
-        ordered.join(sized_side(edge), stratum, "left")
+        _join_stratum(ordered, sized_side(edge), stratum, how="left")
         .withColumn("is_test", F.coalesce(_position("_digest", keys) <= F.col("_cut"), F.lit(False)))
         .drop("_digest", "_bucket", "_cut")
     )
 
 
+def _join_stratum(
+    left: DataFrame, right: DataFrame, stratum: str, keys: Sequence[str] = (), how: str = "inner"
+) -> DataFrame:
+    """Join on the stratum, null being a stratum of its own, and on equal keys."""
+    other = right.withColumnsRenamed({c: f"_right_{c}" for c in (stratum, *keys)})
+    same = F.col(stratum).eqNullSafe(F.col(f"_right_{stratum}"))
+    for c in keys:
+        same &= F.col(c) == F.col(f"_right_{c}")
+    return left.join(other, same, how).drop(*[f"_right_{c}" for c in (stratum, *keys)])
+
+
 def _position(digest: str, keys: Sequence[str]) -> Column:
     return F.struct(F.col(digest).alias("d"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)])
 
@@ -107,6 +137,15 @@ def small_strata(counts: DataFrame, stratum: str) -> DataFrame:
     )
 
 
+def refuse_small_strata(df: DataFrame, stratum: str) -> None:
+    """Raise if a stratum has a single row, which cannot stand on both sides of a split."""
+    counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
+    found = small_strata(counts, stratum).select("detail").take(5)
+    if found:
+        named = ", ".join(str(r["detail"]) for r in found)
+        raise ValueError(f"too few rows to split by {stratum}: {named}")
+
+
 def first_cases(df: DataFrame, n: int) -> DataFrame:
     """The first n rows of the seeded order; the same ones on every run."""
     return df.filter(F.col("row_idx") < n)

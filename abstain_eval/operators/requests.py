@@ -262,17 +262,58 @@ ANSWER_SCHEMA = (
     "run_id string, batch_id bigint, task string, mode string, raw_response string, "
     "finish_reason string, usage string, provider string"
 )
+CALL_SCHEMA = ANSWER_SCHEMA + ", status int, error_name string"
+
+
+def guarded(answer: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``answer`` fed one request at a time; a call that raises becomes a row with its error.
+
+    The function is started anew with the requests that follow, so one failing call costs
+    neither the answers before it nor those after it.
+    """
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        rows = (frame.iloc[[i]] for frame in frames for i in range(len(frame)))
+        columns = [part.split()[0] for part in CALL_SCHEMA.split(", ")]
+        open_rows = []
+
+        def hand_out():
+            for row in rows:
+                open_rows[:] = [row]
+                yield row
+
+        while True:
+            open_rows.clear()
+            try:
+                for found in answer(hand_out()):
+                    yield found.reindex(columns=columns).astype(object)
+                return
+            except Exception as error:
+                if not open_rows:
+                    raise
+                request = open_rows[0].iloc[0]
+                status = getattr(error, "status_code", getattr(error, "status", None))
+                failed = {
+                    "run_id": request["run_id"], "batch_id": request["batch_id"], "task": request["task"],
+                    "mode": request["mode"], "status": status, "error_name": type(error).__name__,
+                }
+                yield pd.DataFrame([failed], columns=columns, dtype=object)
+
+    return run
 
 
 def answer_requests(
-    requests: DataFrame, answer: Callable[[Iterator], Iterator], schema: str = ANSWER_SCHEMA,
-    parallelism: int | None = None,
+    requests: DataFrame, answer: Callable[[Iterator], Iterator], max_concurrency: int = 8
 ) -> DataFrame:
-    """Run a user's answering function over the request table.
+    """Run a user's answering function over the request table, at most so many calls at a time.
 
-    ``answer`` maps an iterator of pandas frames to frames of ``schema``. Requests are spread
-    by run and batch, so a run with most of the rows still uses all tasks.
+    ``answer`` maps an iterator of pandas frames to frames with the columns of ANSWER_SCHEMA, and
+    may add status and error_name. The number of partitions is set outright: prompts are small,
+    and adaptive execution would put all calls in one task.
     """
-    keys = ["run_id", "batch_id"]
-    spread = requests.repartition(parallelism, *keys) if parallelism else requests.repartition(*keys)
-    return spread.mapInPandas(answer, schema)
+    if max_concurrency < 1:
+        raise ValueError("max_concurrency must be at least 1")
+    spread = requests.repartition(max_concurrency, "run_id", "batch_id")
+    return spread.mapInPandas(guarded(answer), CALL_SCHEMA)

@@ -1,7 +1,8 @@
 """Checks and normalisation of a raw case table.
 
-All failures are collected in one table ``(check, column, detail)`` with one row per
-finding; ``assert_valid`` raises when it is not empty.
+All failures are collected in one table ``(check, column, detail, n, examples)`` with one row
+for each distinct finding, how many rows have it, and the first ids among them;
+``assert_valid`` raises when it is not empty.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from pyspark.sql.window import Window
 
 from abstain_eval import contracts as k
 from abstain_eval.functions.text import blank_to_null, normalised
+from abstain_eval.session import cut_lineage
 
-VIOLATION_SCHEMA = "`check` string, `column` string, detail string"
+VIOLATION_SCHEMA = "`check` string, `column` string, detail string, n bigint, examples array<string>"
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-BAD_EXAMPLES = 3
+BAD_EXAMPLES = 3  # ids shown with a finding; every finding is counted
+SHOWN_FINDINGS = 20
 
 
 def contract_columns(sex_column: str | None = None) -> list[str]:
@@ -29,9 +32,9 @@ def header_violations(
 ) -> DataFrame:
     """Repeated, missing and unexpected column names."""
     names, expected = list(names), contract_columns(sex_column)
-    rows = [("duplicate_column", c, None) for c in sorted({c for c in names if names.count(c) > 1})]
-    rows += [("missing_column", c, None) for c in sorted(set(expected) - set(names))]
-    rows += [("unexpected_column", c, None) for c in sorted(set(names) - set(expected))]
+    rows = [("duplicate_column", c, None, names.count(c), []) for c in sorted({c for c in names if names.count(c) > 1})]
+    rows += [("missing_column", c, None, 1, []) for c in sorted(set(expected) - set(names))]
+    rows += [("unexpected_column", c, None, 1, []) for c in sorted(set(names) - set(expected))]
     return spark.createDataFrame(rows, VIOLATION_SCHEMA)
 
 
@@ -61,6 +64,15 @@ def number_of(c: str) -> Column:
     return F.when(cell.rlike(NUMBER_PATTERN), cell.try_cast("double"))
 
 
+def exact_id(c: str) -> Column:
+    """Canonical text of an id: whole numbers exactly, whatever their size; other text as it is, null if no number."""
+    cell = F.col(c)
+    exact = cell.try_cast("decimal(38,10)")
+    whole = exact.cast("decimal(38,0)")
+    text = F.when(exact == whole, whole.cast("string")).otherwise(cell)
+    return F.when(cell.rlike(NUMBER_PATTERN), text)
+
+
 def coerce_numbers(df: DataFrame) -> DataFrame:
     return df.withColumns({c: number_of(c) for c in k.RAW_NUMERIC})
 
@@ -116,40 +128,48 @@ def _value_checks() -> list[tuple[str, str, Column]]:
     return checks
 
 
-def _first_examples(cells: DataFrame) -> DataFrame:
-    """First three cells per column by id. Spark cuts to three per task before the shuffle."""
-    order = Window.partitionBy("check", "column").orderBy(
-        F.col("row_id").try_cast("double").asc_nulls_last(), "row_id", "detail"
-    )
-    return (
-        cells.withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= BAD_EXAMPLES)
-        .select("check", "column", "detail")
+def _counted(cells: DataFrame) -> DataFrame:
+    """Distinct findings with their number of cells and their first ids, summed in each task first.
+
+    Ids come in order of their number; the three least are kept by folding sorted arrays, so no
+    list grows with the table.
+    """
+    number = F.col("row_id").try_cast("decimal(38,10)")
+    place = F.struct(number.isNull().alias("no"), number.alias("at"), F.coalesce("row_id", F.lit("")).alias("id"))
+    keys = ["check", "column", "detail"]
+    order = Window.partitionBy(*keys).orderBy(place)
+    first = cells.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= BAD_EXAMPLES)
+    shown = first.groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("place", "row_id"))), lambda e: e["row_id"]).alias("examples")
     )
+    return cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(shown, keys).select(*keys, "n", "examples")
+
+
+def cell_violations(cells: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
+    return _counted(_bad_cells(cells, checks))
 
 
 def number_violations(raw: DataFrame, sex_column: str | None = None) -> DataFrame:
-    cells = raw.transform(normalised_cells, sex_column)
-    return _first_examples(_bad_cells(cells, _number_checks()))
+    """Every distinct text that is no number, by column."""
+    return cell_violations(raw.transform(normalised_cells, sex_column), _number_checks())
 
 
 def value_violations(raw: DataFrame, sex_column: str | None = None) -> DataFrame:
     """Every distinct value outside a column's allowed set."""
-    cells = raw.transform(normalised_cells, sex_column)
-    return _bad_cells(cells, _value_checks()).select("check", "column", "detail").distinct()
+    return cell_violations(raw.transform(normalised_cells, sex_column), _value_checks())
 
 
 def identifier_violations(raw: DataFrame, sex_column: str | None = None) -> DataFrame:
     """Missing ids (one row with their number) and every id that occurs more than once."""
-    ids = raw.transform(normalised_cells, sex_column).select(number_of(k.ID_COLUMN).alias("id"))
+    ids = raw.transform(normalised_cells, sex_column).select(exact_id(k.ID_COLUMN).alias("id"))
     counted = ids.groupBy("id").count()
     missing = F.col("id").isNull()
     return counted.filter(missing | (F.col("count") > 1)).select(
         F.when(missing, F.lit("missing_id")).otherwise(F.lit("duplicate_id")).alias("check"),
         F.lit(k.ID_COLUMN).alias("column"),
-        F.when(missing, F.col("count").cast("string"))
-        .otherwise(F.col("id").cast("decimal(38,0)").cast("string"))
-        .alias("detail"),
+        F.when(missing, F.col("count").cast("string")).otherwise(F.col("id")).alias("detail"),
+        F.col("count").alias("n"),
+        F.array().cast("array<string>").alias("examples"),
     )
 
 
@@ -162,22 +182,24 @@ def target_violations(raw: DataFrame, sex_column: str | None = None) -> DataFram
         *[F.count_if(target == label).alias(f"n_{label}") for label in k.LABEL_CLASSES],
     )
 
-    def finding(check: str, column: str | None, detail: Column, when: Column) -> Column:
+    def finding(check: str, column: str | None, detail: Column, n: Column, when: Column) -> Column:
         return F.when(
             when,
             F.struct(
                 F.lit(check).alias("check"),
                 F.lit(column).cast("string").alias("column"),
                 detail.cast("string").alias("detail"),
+                n.cast("bigint").alias("n"),
+                F.array().cast("array<string>").alias("examples"),
             ),
         )
 
     findings = [
-        finding("empty_table", None, F.lit(None), F.col("rows") == 0),
-        finding("missing_target", k.TARGET_COLUMN, F.col("missing"), F.col("missing") > 0),
+        finding("empty_table", None, F.lit(None), F.lit(0), F.col("rows") == 0),
+        finding("missing_target", k.TARGET_COLUMN, F.col("missing"), F.col("missing"), F.col("missing") > 0),
     ]
     findings += [
-        finding("label_not_seen", k.TARGET_COLUMN, F.lit(label), F.col(f"n_{label}") == 0)
+        finding("label_not_seen", k.TARGET_COLUMN, F.lit(label), F.lit(0), F.col(f"n_{label}") == 0)
         for label in k.LABEL_CLASSES
     ]
     return seen.select(F.explode(F.array_compact(F.array(*findings))).alias("f")).select("f.*")
@@ -191,21 +213,22 @@ def violations(
     if set(contract_columns(sex_column)) - set(raw.columns):
         return header
     cells = raw.transform(normalised_cells, sex_column)
-    bad = _bad_cells(cells, _number_checks())
     return (
-        header.unionByName(_first_examples(bad))
-        .unionByName(value_violations(raw, sex_column))
+        header.unionByName(cell_violations(cells, _number_checks() + _value_checks()))
         .unionByName(identifier_violations(raw, sex_column))
         .unionByName(target_violations(raw, sex_column))
     )
 
 
 def assert_valid(findings: DataFrame, source: str = "case table") -> None:
-    """Raise on the first findings, if any."""
-    shown = findings.orderBy("check", "column", "detail").take(20)
-    if shown:
-        text = "; ".join(f"{r['check']} {r['column'] or ''} {r['detail'] or ''}".strip() for r in shown)
-        raise ValueError(f"{source} does not meet the contract: {text}")
+    """Raise on findings, with their number and the first of them."""
+    found = cut_lineage(findings)
+    total = found.count()
+    if total:
+        shown = found.orderBy("check", "column", "detail").take(SHOWN_FINDINGS)
+        named = [f"{r['check']} {r['column'] or ''} {r['detail'] or ''}".strip() + f" ({r['n']})" for r in shown]
+        rest = f" and {total - len(shown)} more" if total > len(shown) else ""
+        raise ValueError(f"{source} does not meet the contract, {total} findings: {'; '.join(named)}{rest}")
 
 
 def missing_profile(clean: DataFrame) -> DataFrame:

@@ -6,14 +6,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from abstain_eval.operators import answers, requests
+from abstain_eval.operators import answers, order, requests
 from abstain_eval.session import cut_lineage
 
-CASE_KEYS = ("run_id", "batch_id", "task", "round")
+CASE_KEYS = ("run_id", "batch_id", "task", "round", "attempt")
 ROW = [
     "run_id", "batch_id", "slot", "prediction", "abstained", "confidence", "raw_response",
     "input_tokens", "output_tokens", "total_tokens",
@@ -39,58 +39,106 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _refuse_repeats(replies: DataFrame) -> None:
+    twice = replies.groupBy("run_id", "batch_id").count().filter("count > 1").take(1)
+    if twice:
+        raise ValueError(f"more than one reply to request {twice[0]['batch_id']} of run {twice[0]['run_id']}")
+
+
+def ask(
+    sent: DataFrame, answer: Callable[[Iterator], Iterator], max_concurrency: int, max_retries: int
+) -> DataFrame:
+    """Every request of ``sent`` with its reply and ``outcome``: answered, no_reply, retry or call_failed."""
+    calls = requests.answer_requests(sent, answer, max_concurrency).drop("task", "mode").withColumn("_replied", F.lit(True))
+    calls = cut_lineage(calls)
+    _refuse_repeats(calls)
+    facts = sent.select("run_id", "batch_id", "task", "mode", "size", "round", "attempt")
+    judged = answers.classify_errors(facts.join(calls, ["run_id", "batch_id"], "left"), max_retries)
+    failed = F.col("error_name").isNotNull() | F.coalesce(F.col("status") >= 400, F.lit(False))
+    outcome = (
+        F.when(F.col("_replied").isNull(), "no_reply")
+        .when(failed & F.col("will_retry"), "retry")
+        .when(failed, "call_failed")
+        .otherwise("answered")
+    )
+    return cut_lineage(judged.withColumn("outcome", outcome).drop("_replied", "retryable", "will_retry", "next_delay"))
+
+
 def run_rounds(
     records: DataFrame,
     answer: Callable[[Iterator], Iterator],
     batch_size: int = 8,
     on_malformed: str = "error",
+    max_concurrency: int = 8,
+    max_retries: int = 2,
 ) -> Evaluated:
     """Ask, read, and ask rejected batches again in halves, down to single cases.
 
-    ``records`` has run_id. Requests and replies of a round are written to the shared folder
-    once: they feed several tables, and a lost executor must not ask a model twice. The
-    number of rounds is at most log2(batch_size) + 3.
+    ``records`` has run_id, and one row per run_id and case_id. Every record ends as one
+    evaluation or as one row of quarantine with a reason. Batches are cut by the records' place
+    in their run, so ``row_idx`` may have gaps. A failed call that is worth it is repeated up to
+    ``max_retries`` times; a request without a reply is treated as a rejected one.
+
+    Requests and replies of a round are written to the shared folder once: they feed several
+    tables, and a lost executor must not ask a model twice. Rounds go on until nothing is open;
+    sizes halve, so that is after log2(batch_size) + 3 rounds and the retries.
     """
     spark = records.sparkSession
-    batched = requests.assign_batches(records, batch_size)
+    placed_records = order.dense_positions(records, "run_id", "row_idx", ["case_id"])
+    batched = requests.assign_batches(placed_records.withColumn("row_idx", F.col("position")).drop("position"), batch_size)
     one_batch = Window.partitionBy("run_id", "batch_id")
     first = batched.withColumn("size", F.count(F.lit(1)).over(one_batch).cast("int"))
-    current = cut_lineage(first.withColumns({"round": F.lit(0), "mode": F.lit("batch")}))
+    current = cut_lineage(first.withColumns({"round": F.lit(0), "mode": F.lit("batch"), "attempt": F.lit(0)}))
     rows, quarantined, asked = [], [spark.createDataFrame([], QUARANTINE)], []
-    for _ in range(batch_size.bit_length() + 2):
+    while True:
         # At most two values.
         modes = {r["mode"] for r in current.select("mode").distinct().collect()}
         if not modes:
             break
         sent = cut_lineage(plan_requests(current))
-        facts = sent.select("run_id", "batch_id", "task", "mode", "size", "round")
-        asked.append(facts.drop("task"))
-        replies = cut_lineage(
-            requests.answer_requests(sent, answer).drop("task", "mode").join(facts, ["run_id", "batch_id"])
-        )
-        tokens = answers.with_usage(replies).drop("usage", "provider", "finish_reason")
+        asked.append(sent.select("run_id", "batch_id", "mode", "size", "round"))
+        replies = ask(sent, answer, max_concurrency, max_retries)
+        answered = replies.filter("outcome = 'answered'").drop("outcome", "status", "error_name", "attempt")
+        tokens = answers.with_usage(answered).drop("usage", "provider", "finish_reason")
         places = current.select("run_id", "batch_id", "slot", "case_id")
-        got, rejected = [], spark.createDataFrame([], REJECTED)
+
+        def lost(found: DataFrame, reason: Column) -> DataFrame:
+            """Quarantine rows of all cases of some requests."""
+            named = found.select("run_id", "batch_id", reason.alias("reason"), "raw_response")
+            return named.join(places.drop("slot"), ["run_id", "batch_id"]).drop("batch_id")  # noqa: B023
+
+        why = F.concat_ws(":", F.lit("call_failed"), F.coalesce("error_name", F.col("status").cast("string")))
+        quarantined.append(lost(replies.filter("outcome = 'call_failed'"), why))
+        got, rejected = [], replies.filter("mode = 'batch' and outcome = 'no_reply'").select(
+            "run_id", "batch_id", "size", F.lit("no_reply").alias("reason"), F.array().cast("array<string>").alias("missing_ids")
+        )
         if "batch" in modes:
             # Read once: the sound rows and the plan of the next round both need it.
             batches = cut_lineage(answers.read_batches(tokens.filter("mode = 'batch'")))
             got.append(answers.spread_usage(answers.item_rows(batches)).select(*ROW))
-            rejected = answers.refused_batches(batches)
+            rejected = rejected.unionByName(answers.refused_batches(batches))
         if "single" in modes:
             alone = answers.parse_answers(tokens.filter("mode = 'single'"))
             kept, bad = answers.apply_malformed_policy(alone, on_malformed)
             got.append(kept.withColumn("slot", F.lit(0)).select(*ROW))
-            lost = bad.select("run_id", "batch_id", F.col("malformed").alias("reason"), "raw_response")
-            quarantined.append(lost.join(places.drop("slot"), ["run_id", "batch_id"]).drop("batch_id"))
+            quarantined.append(lost(bad, F.col("malformed")))
+            quarantined.append(lost(replies.filter("mode = 'single' and outcome = 'no_reply'"), F.lit("no_reply")))
         placed = _union(got).join(places, ["run_id", "batch_id", "slot"])
         rows.append(answers.attach_prompts(placed, sent).drop("batch_id", "slot"))
         plan = answers.next_round(
             current.select("run_id", "batch_id", "slot", "round", "mode", "case_id"), rejected
+        ).withColumn("attempt", F.lit(0))
+        repeated = replies.filter("outcome = 'retry'").select("run_id", "batch_id", (F.col("attempt") + 1).alias("attempt"))
+        same = current.drop("attempt").join(repeated, ["run_id", "batch_id"]).select(
+            "run_id", "case_id", (F.col("batch_id") * 2).alias("batch_id"), "slot", "size",
+            (F.col("round") + 1).cast("int").alias("round"), "mode", "attempt",
         )
-        kept_facts = current.drop("batch_id", "slot", "size", "round", "mode", "case_ref")
-        again = kept_facts.join(plan, ["run_id", "case_id"])
+        kept_facts = current.drop("batch_id", "slot", "size", "round", "mode", "attempt", "case_ref")
+        again = kept_facts.join(plan.unionByName(same), ["run_id", "case_id"])
         current = cut_lineage(
             again.withColumn("case_ref", F.concat(F.lit("case_"), F.col("slot").cast("string")))
         )
+    if not rows:
+        raise ValueError("there are no records to evaluate")
     evaluations = answers.evaluation_rows(_union(rows), records)
     return Evaluated(evaluations, _union(quarantined), _union(asked))

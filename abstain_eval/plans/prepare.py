@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -47,11 +48,16 @@ def impute_frame(
     return fitted, encode.round_target(imputed)
 
 
-def prepare(raw: DataFrame, config: PrepConfig | None = None, check: bool = True) -> Prepared:
-    """Validate, clean, encode, impute, derive, split, extend and build the records."""
+def prepare(
+    raw: DataFrame, config: PrepConfig | None = None, check: bool = True, names: Sequence[str] | None = None
+) -> Prepared:
+    """Validate, clean, encode, impute, derive, split, extend and build the records.
+
+    ``names`` is the header as the file has it (``header_names``); readers rename repeated columns.
+    """
     config = config or PrepConfig()
     if check:
-        validate.assert_valid(validate.violations(raw, sex_column=config.sex_column))
+        validate.assert_valid(validate.violations(raw, names, config.sex_column))
     clean = validate.clean_cases(raw, config.sex_column)
     keep = [config.sex_column] if config.sex_column else []
     fitted, frame = impute_frame(encode.encoded_frame(clean, keep), config)

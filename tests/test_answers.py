@@ -179,3 +179,53 @@ def test_prompt_reads_back_to_features(spark):
 def test_batch_size_is_checked(spark):
     with pytest.raises(ValueError):
         r.assign_batches(records(spark, 1), 0)
+
+
+def failing(model, error, when):
+    def answer(frames):
+        for frame in frames:
+            if any(when(q) for q in frame.itertuples()):
+                raise error("lost")
+            yield from model(iter([frame]))
+
+    return answer
+
+
+def test_gaps_and_lost_replies_end_somewhere(spark):
+    held = records(spark, 24).filter("row_idx % 3 = 0")
+    done = evaluate.run_rounds(held, echo_model(9), 4)
+    assert done.evaluations.count() == 8 and done.requests.count() == 2
+    silent = evaluate.run_rounds(held, lambda frames: (f.head(0).assign(raw_response="") for f in frames), 4)
+    assert silent.evaluations.count() == 0
+    assert [r["reason"] for r in silent.quarantine.collect()] == ["no_reply"] * 8
+
+
+def test_only_failed_calls_are_repeated(spark):
+    held = records(spark, 6)
+    once = failing(echo_model(9), ConnectionError, lambda q: q.attempt == 0 and q.batch_id == 1)
+    done = evaluate.run_rounds(held, once, 2, max_concurrency=1)
+    assert done.evaluations.count() == 6
+    assert done.requests.groupBy("round").count().orderBy("round").collect() == [(0, 3), (1, 1)]
+    never = evaluate.run_rounds(held, failing(echo_model(9), ConnectionError, lambda q: 2 in q.case_ids), 2, max_retries=1)
+    assert sorted(r["case_id"] for r in never.quarantine.collect()) == [2, 3]
+    assert {r["reason"] for r in never.quarantine.collect()} == {"call_failed:ConnectionError"}
+
+
+def test_second_replies_are_refused(spark):
+    model = echo_model(9)
+
+    def twice(frames):
+        for frame in frames:
+            for _ in range(2):
+                yield from model(iter([frame]))
+
+    with pytest.raises(ValueError, match="more than one reply"):
+        evaluate.run_rounds(records(spark, 2), twice, 2)
+
+
+def test_calls_use_several_tasks(spark):
+    many = records(spark, 200)
+    sent = r.single_requests(many.withColumn("batch_id", F.col("case_id")))
+    asked = r.answer_requests(sent, echo_model(9), 6)
+    assert asked.rdd.getNumPartitions() == 6
+    assert asked.select(F.spark_partition_id()).distinct().count() > 3

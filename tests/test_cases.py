@@ -174,3 +174,18 @@ def test_400_rows_give_84_and_90_records(spark, small):
     assert progression.count() == 90
     row = progression.first()
     assert set(row.baseline) == set(row.current) == set(k.REDUCED_FEATURES)
+
+
+def test_null_strata_and_single_rows(spark):
+    rows = [(i, None if i % 4 == 0 else "b") for i in range(40)]
+    split = order.stratified_split(spark.createDataFrame(rows, "id long, s string"), "s", ["id"], 0.2, 1)
+    got = {r["s"]: (r["n"], r["t"]) for r in split.groupBy("s").agg(F.count("*").alias("n"), F.sum(F.col("is_test").cast("int")).alias("t")).collect()}
+    assert got == {None: (10, 2), "b": (30, 6)}
+    with pytest.raises(ValueError, match="too few rows"):
+        order.refuse_small_strata(spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id long, s string"), "s")
+
+
+def test_findings_are_counted(spark, small):
+    raw = raw_cases(spark, small).withColumn("sc", F.concat(F.lit("bad"), F.col("id")))
+    with pytest.raises(ValueError, match=r"1500 findings.* and 1480 more"):
+        validate.assert_valid(validate.number_violations(raw))
