@@ -13,6 +13,7 @@ from abstain_eval.operators import clinical as c
 from abstain_eval.operators import encode, impute, order, synthesize, validate
 from abstain_eval.plans import derived as d
 from abstain_eval.plans.domain import Domain
+from abstain_eval.plans.fitted import FittedPreparation
 from abstain_eval.plans.prepare import prepare
 from abstain_eval.session import cut_lineage, fresh_path
 from abstain_eval.sources.cases import header_names, read_cases
@@ -382,6 +383,26 @@ def _(spark, sf):
     return rounded(encode.apply_scale(new, ranges, "reduced", ["case_id"]), *k.REDUCED_FEATURES)
 
 
+_LINE = "w as (select * replace (hemo * 3 + 5 as pcv) from cl)"
+_LINE_BOUNDS = ", ".join(f"min({x}) as lo_{x}, max({x}) as hi_{x}" for x in k.REDUCED_FEATURES)
+
+
+@register(
+    "fitted_preparation",
+    f"with {CLINICAL}, {_LINE}, b as (select {_LINE_BOUNDS} from w) select cast(case_id as double) as id, class, "
+    + ", ".join(f"round({_scaled_sql(x, 'lo_' + x, 'hi_' + x)}, 4) as {x}" for x in k.REDUCED_FEATURES) + " from w, b where case_id % 3 = 0",
+)
+def _(spark, sf):
+    """Fitted on complete rows, saved, loaded, and used on new rows with gaps in a column that depends on another."""
+    whole = clinical(spark, sf).withColumn("pcv", F.col("hemo") * 3 + 5)
+    frame = whole.select(F.col("case_id").cast("double").alias("id"), *k.NOMINAL_COLUMNS, *k.NUMERIC_FEATURES, "class")
+    path = fresh_path(spark, "preparation")
+    FittedPreparation().fit(frame, lambda: impute.linear(0.0), 1).save(spark, path)
+    new = frame.filter("id % 3 = 0").withColumn("pcv", F.when(F.col("id") % 2 == 1, F.col("pcv")))
+    done = FittedPreparation.load(spark, path).transform(new)
+    return done.withColumns({x: F.round(x, 4) for x in k.REDUCED_FEATURES})
+
+
 _CORR = k.NOMINAL_COLUMNS + k.NUMERIC_FEATURES
 _WITH_SIGNAL = f"w as (select * replace (hemo - class * 8 as hemo, pcv + class * 40 as pcv, rbcc + class * 5 as rbcc) from cl)"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -139,7 +140,9 @@ def save_ranges(ranges: DataFrame, path: str) -> None:
 def load_ranges(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.parquet(path)
-    except Exception as error:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise RuntimeError(f"no fitted ranges at {path!r}: fit and save them first") from error
 
 

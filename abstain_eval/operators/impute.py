@@ -1,20 +1,21 @@
 """Chained imputation with MLlib regressors.
 
-Columns with missing cells start at their mean and are then predicted from all others,
-fewest missing cells first, for several rounds. Fits run over all executors; the table is
-cut from its lineage into the shared folder every few columns, so a lost executor costs
-one segment of work.
+Missing cells start at their column's mean and are then predicted from all other columns,
+fewest missing cells first, for several rounds. Columns without missing cells get a regressor
+too, for new rows that have gaps there. Fits run over all executors; the table is cut from its
+lineage into the shared folder every few columns, so a lost executor costs one segment of work.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abstain_eval.session import cut_lineage
@@ -41,6 +42,21 @@ class FittedImputation:
     steps: list[tuple[str, Any]] = field(default_factory=list)
     rounds: int = 0
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Means and regressors, each under its place in the chain."""
+        facts = [(json.dumps({"columns": self.columns, "means": self.means, "rounds": self.rounds, "steps": [
+            (column, type(model).__name__) for column, model in self.steps]}),)]
+        spark.createDataFrame(facts, "value string").write.mode("overwrite").text(f"{path}/facts")
+        for i, (_, model) in enumerate(self.steps):
+            model.write().overwrite().save(f"{path}/step-{i}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> FittedImputation:
+        facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
+        kinds = {kind.__name__: kind for kind in (GBTRegressionModel, LinearRegressionModel)}
+        steps = [(column, kinds[kind].load(f"{path}/step-{i}")) for i, (column, kind) in enumerate(facts["steps"])]
+        return FittedImputation(facts["columns"], facts["means"], steps, facts["rounds"])
+
     def transform(self, df: DataFrame, cut_every: int = 8) -> DataFrame:
         """Impute new rows with the fitted chain."""
         current = _start(df, self.columns, self.means)
@@ -101,22 +117,26 @@ def fit_imputation(
         raise ValueError(f"columns without a single value cannot be imputed: {empty}")
     means = {c: facts[f"mean_{c}"] for c in columns}
     gaps = {c: facts["rows"] - facts[f"n_{c}"] for c in columns}
-    targets = sorted((c for c in columns if gaps[c] > 0), key=lambda c: gaps[c])
+    order = sorted(columns, key=lambda c: gaps[c])
+    targets = [c for c in order if gaps[c] > 0]
 
     fitted = FittedImputation(columns, means)
     current = cut_lineage(_start(df, columns, means))
-    for _ in range(rounds if targets else 0):
+    for _ in range(rounds if targets else min(rounds, 1)):
         before = current.withColumns({f"_was_{c}": F.col(c) for c in targets})
         current = before
-        for i, column in enumerate(targets, 1):
+        for i, column in enumerate(order, 1):
             training = _assembled(current.filter(~F.col(_mask(column))), column, columns)
             regressor = make().setFeaturesCol("_inputs").setLabelCol(column).setPredictionCol("_predicted")
             model = regressor.fit(training)
             fitted.steps.append((column, model))
-            current = _predict(current, column, model, columns)
-            if i % cut_every == 0 or i == len(targets):
-                current = cut_lineage(current)
+            if gaps[column]:
+                current = _predict(current, column, model, columns)
+                if i % cut_every == 0 or i == len(order):
+                    current = cut_lineage(current)
         fitted.rounds += 1
+        if not targets:
+            break
         moved = current.agg(
             F.greatest(*[F.max(F.abs(F.col(c) - F.col(f"_was_{c}"))) for c in targets], F.lit(0.0))
         ).first()[0]
