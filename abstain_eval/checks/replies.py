@@ -14,6 +14,7 @@ from abstain_eval.operators import answers as a
 from abstain_eval.operators import requests as r
 from abstain_eval.plans import derived as d
 from abstain_eval.plans import evaluate
+from abstain_eval.plans.run import evaluate_runs
 from abstain_eval.session import fresh_path
 from abstain_eval.sources import documents
 
@@ -650,3 +651,24 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return outcomes(evaluate.run_rounds(gapped_records(spark, sf), failing_model(), 8))
+
+
+@register(
+    "whole_run",
+    f"""with {GAPPED}, x as (select *, k % 17 = 0 as lost from b) select run_id, count(*) as n_input_records, count(*) filter (not lost) as n_evaluated,
+     count(*) filter (not lost and k % 5 = 0) as n_abstained, floor(1e6 * count(*) filter (not lost and k % 5 <> 0) / count(*) filter (not lost) + 0.5) / 1e6 as accuracy,
+     'Total patient rows: ' || count(*) as line, count(*) filter (not lost) as rows_in_document from x group by run_id""",
+)
+def _(spark, sf):
+    """Records to report and documents: lost replies count as input, not as evaluations."""
+    held = gapped_records(spark, sf)
+    table = held.select("run_id").distinct().withColumns({"model": F.lit("stand-in"), "suite": F.lit("{}")})
+    suite = table.select("run_id", F.lit("task").alias("name"), F.lit("detection").alias("text"))
+    done = evaluate_runs(held, unreliable_model(), table, suite)
+    accuracy = done.scores.filter("metric = 'accuracy'").select(
+        "run_id", "n_evaluated", "n_abstained", (F.floor(F.col("value") * 1e6 + 0.5) / 1e6).alias("accuracy")
+    )
+    line = done.report.filter("line like '%Total patient rows%'").select("run_id", F.trim("line").alias("line"))
+    listed = done.pieces.filter("section = 1").groupBy("run_id").agg(F.count("*").alias("rows_in_document"))
+    summary = done.summary.select("run_id", "n_input_records")
+    return summary.join(accuracy, "run_id").join(line, "run_id").join(listed, "run_id")

@@ -393,6 +393,35 @@ def _(spark, sf):
     return rounded(out, "records_per_second")
 
 
+@register(
+    "execution_summary_one_sided",
+    f"""{_SUMMARY.replace("from t group by run_id", "from t where run_id <> 'run_2' group by run_id")}
+    select run_id, n_input_records, input_tokens, n_prompts_captured, prompt_modes, run_id <> 'run_4' as listed from s
+    union all select * from (values ('run_2', 0, null, 0, '', true), ('run_9', 0, null, 0, '', true)) as v(a, b, c, d, e, f)""",
+)
+def _(spark, sf):
+    """A run without rows, one only in the run table, and rows of a run that is not listed."""
+    e = with_prompts(spark, sf)
+    extra = run_table(e).filter("run_id = 'run_2'").withColumn("run_id", F.lit("run_9"))
+    table = run_table(e).filter("run_id <> 'run_4'").unionByName(extra)
+    out = runs.execution_summary(e.filter("run_id <> 'run_2'"), table)
+    return out.select(
+        "run_id", "n_input_records", "input_tokens", "n_prompts_captured", "prompt_modes", F.col("batch_size").isNotNull().alias("listed")
+    )
+
+
+@register(
+    "run_findings",
+    f"""{EV} select 'rows_without_run' as "check", 'run_id' as "column", 'run_4' as detail, count(*) as n from f where run_id = 'run_4'
+    union all select * from (values ('run_without_rows', 'run_id', 'run_2', 0), ('run_without_rows', 'run_id', 'run_9', 0)) as v(a, b, c, d)""",
+)
+def _(spark, sf):
+    e = with_prompts(spark, sf)
+    extra = run_table(e).filter("run_id = 'run_2'").withColumn("run_id", F.lit("run_9"))
+    table = run_table(e).filter("run_id <> 'run_4'").unionByName(extra)
+    return runs.run_findings(e.filter("run_id <> 'run_2'"), table)
+
+
 @register(
     "token_sums",
     f"""{EV} select run_id, coalesce(ckd_stage, 0) as stage, sum(case when case_id % 6 = 0 then null else output_tokens end) as output_tokens

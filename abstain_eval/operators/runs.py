@@ -10,11 +10,13 @@ from abstain_eval.functions.numbers import finite_or_null, ratio
 from abstain_eval.operators.metrics import label_hit
 
 
-def execution_summary(evaluations: DataFrame, runs: DataFrame) -> DataFrame:
+def execution_summary(evaluations: DataFrame, runs: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """One row per run: rows, planned batches, speed, tokens and prompt counts.
 
     ``runs`` has run_id, batch_size, max_concurrency, elapsed_seconds and one row per run.
-    Prompts are counted per (mode, text) first, so equal prompts meet once per task.
+    Input rows are those of ``records``, where given, so that rows in quarantine count as well.
+    A run on one side only keeps its row; ``run_findings`` names it. Prompts are counted per
+    (mode, text) first, so equal prompts meet once per task.
     """
     has_prompt = F.coalesce(F.size("prompt") > 0, F.lit(False))
     per_prompt = evaluations.groupBy(
@@ -24,7 +26,7 @@ def execution_summary(evaluations: DataFrame, runs: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")],
     )
     per_run = per_prompt.groupBy("run_id").agg(
-        F.sum("rows").alias("n_input_records"),
+        F.sum("rows").alias("n_evaluated"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
         F.sum("total_tokens").alias("token_total"),
@@ -35,7 +37,15 @@ def execution_summary(evaluations: DataFrame, runs: DataFrame) -> DataFrame:
         ).alias("prompt_modes"),
     )
     # Summaries hold one row per run on both sides.
-    joined = runs.select("run_id", "batch_size", "max_concurrency", "elapsed_seconds").join(per_run, "run_id")
+    known = runs.select("run_id", "batch_size", "max_concurrency", "elapsed_seconds")
+    joined = known.join(per_run, "run_id", "full")
+    if records is None:
+        joined = joined.withColumn("n_input_records", F.coalesce("n_evaluated", F.lit(0)))
+    else:
+        sent = records.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_sent"))
+        joined = joined.join(sent, "run_id", "full").withColumn("n_input_records", F.coalesce("n_sent", F.lit(0)))
+    zero = dict.fromkeys(("n_prompts_captured", "prompt_templates_count"), 0)
+    joined = joined.fillna(zero).fillna("", ["prompt_modes"])
     batches = F.ceil(F.col("n_input_records") / F.col("batch_size")).cast("bigint")
     speed = F.when(F.col("elapsed_seconds") > 0, ratio("n_input_records", "elapsed_seconds"))
     return joined.select(
@@ -48,6 +58,15 @@ def execution_summary(evaluations: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def run_findings(evaluations: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs of the run table without evaluations, and evaluated runs that it does not list."""
+    seen = evaluations.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    listed = runs.select("run_id", F.lit(True).alias("listed"))
+    check = F.when(F.col("n").isNull(), "run_without_rows").when(F.col("listed").isNull(), "rows_without_run")
+    both = listed.join(seen, "run_id", "full").withColumn("check", check).filter("check is not null")
+    return both.select("check", F.lit("run_id").alias("column"), F.col("run_id").alias("detail"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def prompt_templates(evaluations: DataFrame) -> DataFrame:
     """Distinct redacted prompts of each run; ``first_row`` gives the order of appearance."""
     shown = evaluations.filter(F.size("prompt") > 0)
@@ -204,7 +223,11 @@ def report_lines(
                 F.coalesce(F.when(F.col(name).isNotNull(), F.format_string(form, name)), F.lit("None")).alias("t"),
             )
             for name, form in parts
-        ]
+        ],
+        F.struct(
+            F.lit("prompt_templates").alias("o"),
+            F.format_string("%d redacted template(s)", "prompt_templates_count").alias("t"),
+        ),
     )
     return (
         section(runs.select("run_id", F.inline(title)), 0, F.col("o"), F.col("t"))
