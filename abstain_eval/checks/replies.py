@@ -108,7 +108,7 @@ def _(spark, sf):
 
 
 _VISITS = (
-    "'Visits are 6 months apart.' || chr(10) || chr(10) || 'Baseline visit:' || chr(10) || '- al: ' || cast(al as varchar) || chr(10) || '- sc: ' || cast(bu / 2 as varchar)"
+    f"{text(k.VISIT_INTERVAL)} || '6' || chr(10) || chr(10) || 'Baseline visit:' || chr(10) || '- al: ' || cast(al as varchar) || chr(10) || '- sc: ' || cast(bu / 2 as varchar)"
     " || chr(10) || chr(10) || 'Current visit:' || chr(10) || '- al: ' || cast(al + 1 as varchar) || chr(10) || '- sc: ' || cast(bu as varchar)"
     f" || chr(10) || chr(10) || {text(k.CLOSING_LINE)}"
 )
@@ -203,11 +203,11 @@ def _(spark, sf):
 
 
 _SHAPES = """
-select k, case k % 5 when 0 then 'Evaluate the following cases as an independent batch.' || cast(k as string)
+select k, case k % 5 when 0 then '@OPENING@' || cast(k as string)
  when 1 then concat('Patient markers:', chr(10), '- x: ', cast(k as string)) when 2 then 'a Baseline visit: x Current visit: y'
  when 3 then 'Patient markers: same line' else 'free text' end as content,
  case when k % 11 = 0 then 'system' else 'user' end as role from (select o_orderkey as k from orders) a
-"""
+""".replace("@OPENING@", k.BATCH_OPENING)
 
 
 @register(

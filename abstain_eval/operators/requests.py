@@ -41,7 +41,7 @@ def marker_text(body: Column) -> Column:
 
 def visit_text(months, baseline: Column, current: Column) -> Column:
     return F.concat(
-        F.lit("Visits are "), _col(months).cast("string"), F.lit(" months apart.\n\n"),
+        F.lit(k.VISIT_INTERVAL), _col(months).cast("string"), F.lit("\n\n"),
         F.lit(k.BASELINE_HEADING + "\n"), baseline,
         F.lit("\n\n" + k.CURRENT_HEADING + "\n"), current,
         F.lit("\n\n" + k.CLOSING_LINE),
