@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from abstain_eval.session import cut_lineage
+
 SEED = 42
 TEMPERATURE = 0.5
 TAIL = 12  # standard deviations of the distribution that the table of probabilities covers
@@ -60,9 +62,10 @@ def rates(docs: DataFrame, targets: DataFrame | None = None, temperature: float
     else:
         wanted = targets.groupBy(F.col("source").alias("t")).agg(F.sum(F.greatest(F.col("weight").cast("double"), F.lit(0.0))).alias("weight"))
         weighted = sizes.join(wanted, F.col("source").eqNullSafe(F.col("t")), "left").drop("t").fillna(0.0, ["weight"])
-    total = weighted.agg(F.sum("n_source").alias("n_all"), F.sum("weight").alias("weights"))
-    share = F.when(F.col("weights") > 0, F.col("weight") / F.col("weights")).otherwise(0.0)
-    rated = weighted.join(F.broadcast(total)).withColumn("rate", share * F.col("n_all") / F.col("n_source"))
+    weighted = cut_lineage(weighted)  # a row for each source
+    total = weighted.agg(F.sum("n_source").alias("n_all"), F.sum("weight").alias("weights")).first()
+    share = F.col("weight") / F.lit(total["weights"]) if total["weights"] else F.lit(0.0)
+    rated = weighted.withColumn("rate", share * F.lit(total["n_all"]) / F.col("n_source"))
     return rated.select("source", "n_source", "rate", cumulative_poisson(F.col("rate")).alias("cumulative"))
 
 
@@ -70,7 +73,8 @@ def replicated(docs: DataFrame, targets: DataFrame | None = None, seed: int = SE
     """`row` (the whole document), copy (from 0), n_copies, rate and draw (its place in the order)."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))
     drawn = docs.select(F.struct("*").alias("row"), key.alias("key"), F.col("source").alias("of"))
-    known = rates(docs.select("source"), targets, temperature)
+    # Written first, so that Spark knows its size: a small one is broadcast, and no text moves for the join.
+    known = cut_lineage(rates(docs.select("source"), targets, temperature))
     # The condition is spelled as equal keys, so that null sources meet as well.
     known = known.select(F.struct(F.col("source").isNull().alias("no"), F.coalesce("source", F.lit("")).alias("name")).alias("k"), "rate", "cumulative")
     drawn = drawn.withColumn("k", F.struct(F.col("of").isNull().alias("no"), F.coalesce("of", F.lit("")).alias("name")))
