@@ -292,11 +292,35 @@ def _(spark, sf):
     return done.select("k", *[(F.floor(F.col(x) * 1e4 + 0.5) / 1e4).alias(x) for x in ("x", "y")])
 
 
+_TRIO = f"""select k, case when k % 7 = 2 then null else cast((k * 37) % 101 as double) end as x,
+ case when k % 5 = 1 then null else cast((k * 37) % 101 * 2 + (k * 11) % 13 as double) end as y, cast((k * 53) % 97 as double) as z from ({d.KEYS}) a"""
+
+
+def _plane(target: str, one: str, two: str, where: str) -> str:
+    """Least squares of a column on two others, from sums of deviations."""
+    u, v, w = f"covar_pop({one}, {one})", f"covar_pop({one}, {two})", f"covar_pop({two}, {two})"
+    p, q = f"covar_pop({target}, {one})", f"covar_pop({target}, {two})"
+    a, b = f"({p} * {w} - {q} * {v}) / ({u} * {w} - {v} * {v})", f"({q} * {u} - {p} * {v}) / ({u} * {w} - {v} * {v})"
+    return f"(select avg({target}) - {a} * avg({one}) - {b} * avg({two}) as c, {a} as a, {b} as b from m where {where} is not null)"
+
+
+@register(
+    "linear_rounds_of_three",
+    f"""with p as ({_TRIO}), m as (select k, x, y, coalesce(x, (select avg(x) from p)) as x0, coalesce(y, (select avg(y) from p)) as y0, z as z0 from p),
+    fx as {_plane('x0', 'y0', 'z0', 'x')}, fy as {_plane('y0', 'x0', 'z0', 'y')}
+    select k, round(coalesce(x, fx.c + fx.a * y0 + fx.b * z0), 4) as x, round(coalesce(y, fy.c + fy.a * x0 + fy.b * z0), 4) as y from m, fx, fy""",
+)
+def _(spark, sf):
+    """One round: both columns are fitted from the values before it."""
+    _, done = impute.linear_rounds(d.derive(spark, sf, _TRIO), ["x", "y", "z"], 1, regularisation=0.0)
+    return done.select("k", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
 @register("chained_imputation")
 def _(spark, sf):
-    """One linear round over the whole frame."""
+    """Linear rounds over the whole frame until they settle."""
     columns = [*k.NOMINAL_COLUMNS, *k.NUMERIC_FEATURES, "class"]
-    _, done = impute.fit_imputation(frame(spark, sf), columns, "linear", rounds=1)
+    _, done = impute.fit_imputation(frame(spark, sf), columns, "linear")
     return encode.round_target(done)
 
 
@@ -397,7 +421,7 @@ def _(spark, sf):
     whole = clinical(spark, sf).withColumn("pcv", F.col("hemo") * 3 + 5)
     frame = whole.select(F.col("case_id").cast("double").alias("id"), *k.NOMINAL_COLUMNS, *k.NUMERIC_FEATURES, "class")
     path = fresh_path(spark, "preparation")
-    FittedPreparation().fit(frame, lambda: impute.linear(0.0), 1).save(spark, path)
+    FittedPreparation().fit(frame, "linear").save(spark, path)
     new = frame.filter("id % 3 = 0").withColumn("pcv", F.when(F.col("id") % 2 == 1, F.col("pcv")))
     done = FittedPreparation.load(spark, path).transform(new)
     return done.withColumns({x: F.round(x, 4) for x in k.REDUCED_FEATURES})
@@ -790,8 +814,8 @@ def _(spark, sf):
 
 @register("prepared_records")
 def _(spark, sf):
-    """The whole preparation with one linear imputation round."""
-    config = k.PrepConfig(task="progression", estimator="linear", rounds=1)
+    """The whole preparation with linear imputation, as many rounds as it takes to settle."""
+    config = k.PrepConfig(task="progression", estimator="linear")
     records = prepare(raw_cases(spark, sf), config).records
     return records.select("case_id", "row_idx", "label", "metadata.ckd_stage", "metadata.should_abstain")
 

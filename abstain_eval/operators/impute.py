@@ -4,18 +4,25 @@ Missing cells start at their column's mean and are then predicted from all other
 fewest missing cells first, for several rounds. Columns without missing cells get a regressor
 too, for new rows that have gaps there. Fits run over all executors; the table is cut from its
 lineage into the shared folder every few columns, so a lost executor costs one segment of work.
+
+``linear_rounds`` is the cheap form of the chain: all columns of a round are fitted from the
+values of the round before, out of sums that one pass over the rows gathers.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abstain_eval.session import cut_lineage
@@ -45,23 +52,30 @@ class FittedImputation:
     def save(self, spark: SparkSession, path: str) -> None:
         """Means and regressors, each under its place in the chain."""
         facts = [(json.dumps({"columns": self.columns, "means": self.means, "rounds": self.rounds, "steps": [
-            (column, type(model).__name__) for column, model in self.steps]}),)]
+            (column, model.weights if isinstance(model, LinearRound) else type(model).__name__) for column, model in self.steps]}),)]
         spark.createDataFrame(facts, "value string").write.mode("overwrite").text(f"{path}/facts")
         for i, (_, model) in enumerate(self.steps):
-            model.write().overwrite().save(f"{path}/step-{i}")
+            if not isinstance(model, LinearRound):
+                model.write().overwrite().save(f"{path}/step-{i}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> FittedImputation:
         facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
         kinds = {kind.__name__: kind for kind in (GBTRegressionModel, LinearRegressionModel)}
-        steps = [(column, kinds[kind].load(f"{path}/step-{i}")) for i, (column, kind) in enumerate(facts["steps"])]
+        steps = [
+            (column, LinearRound(kind) if isinstance(kind, dict) else kinds[kind].load(f"{path}/step-{i}"))
+            for i, (column, kind) in enumerate(facts["steps"])
+        ]
         return FittedImputation(facts["columns"], facts["means"], steps, facts["rounds"])
 
     def transform(self, df: DataFrame, cut_every: int = 8) -> DataFrame:
         """Impute new rows with the fitted chain."""
         current = _start(df, self.columns, self.means)
         for i, (column, model) in enumerate(self.steps, 1):
-            current = _predict(current, column, model, self.columns)
+            if isinstance(model, LinearRound):
+                current = model.apply(current, self.columns, self.columns)
+            else:
+                current = _predict(current, column, model, self.columns)
             if i % cut_every == 0 and i < len(self.steps):
                 current = cut_lineage(current)
         return current.drop(*[_mask(c) for c in self.columns])
@@ -90,21 +104,109 @@ def _predict(df: DataFrame, column: str, model: Any, columns: list[str]) -> Data
     return predicted.withColumn(column, value).drop("_inputs", "_predicted")
 
 
-def fit_imputation(
-    df: DataFrame,
-    columns: list[str],
-    estimator: str | Callable[[], Any] = "gbt",
-    rounds: int = 10,
-    tolerance: float = 1e-3,
-    cut_every: int = 4,
+@dataclass
+class LinearRound:
+    """Least squares of every column on all others: an intercept and a weight for each column."""
+
+    weights: dict[str, list[float]]
+
+    def apply(self, df: DataFrame, columns: list[str], gaps: list[str]) -> DataFrame:
+        """New values of the missing cells of ``gaps``; all are read before any is written.
+
+        Done on whole batches: as expressions, the sums of all columns outgrow compiled code.
+        """
+        weights = {c: np.array(self.weights[c]) for c in gaps}
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = _matrix(batch, columns)
+                arrays = dict(zip(batch.schema.names, batch.columns, strict=True))
+                for c in gaps:
+                    missing = batch.column(_mask(c)).to_numpy(zero_copy_only=False).astype(bool)
+                    old = batch.column(c).to_numpy(zero_copy_only=False)
+                    arrays[c] = pa.array(np.where(missing, x @ weights[c], old))
+                yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+
+        return df.mapInArrow(fill, df.schema)
+
+
+def _matrix(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    """Ones and the columns of a batch."""
+    return np.column_stack([np.ones(batch.num_rows), *(batch.column(c).to_numpy(zero_copy_only=False) for c in columns)])
+
+
+def _gramians(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """For each column, the sums of products of (1, columns) over the rows that observe it.
+
+    A task sends one row for each column; the sums hold columns ** 3 numbers whatever the table.
+    """
+    width = len(columns) + 1
+    masks = [_mask(c) for c in columns]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(columns), width, width))
+        for batch in batches:
+            x = _matrix(batch, columns)
+            for i, mask in enumerate(masks):
+                seen = x[~batch.column(mask).to_numpy(zero_copy_only=False).astype(bool)]
+                total[i] += seen.T @ seen
+        place = np.arange(len(columns) * width * width)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total.ravel())], names=["place", "part"])
+
+    parts = df.select(*columns, *masks).mapInArrow(gather, "place long, part double")
+    rows = parts.groupBy("place").agg(F.sum("part").alias("total")).collect()
+    out = np.zeros(len(columns) * width * width)
+    for r in rows:
+        out[r["place"]] = r["total"]
+    return out.reshape(len(columns), width, width)
+
+
+def _solved(gramians: np.ndarray, columns: list[str], regularisation: float) -> LinearRound:
+    weights = {}
+    for i, column in enumerate(columns):
+        inputs = [0, *(j + 1 for j in range(len(columns)) if j != i)]
+        a = gramians[i][np.ix_(inputs, inputs)]
+        b = gramians[i][inputs, i + 1]
+        scale = np.sqrt(np.maximum(np.diag(a), 1e-300))  # columns differ by orders of magnitude
+        ridge = np.eye(len(inputs)) * regularisation
+        ridge[0, 0] = 0
+        solved = np.linalg.lstsq(a / np.outer(scale, scale) + ridge, b / scale, rcond=None)[0] / scale
+        all_weights = np.zeros(len(columns) + 1)
+        all_weights[inputs] = solved
+        weights[column] = all_weights.tolist()
+    return LinearRound(weights)
+
+
+def linear_rounds(
+    df: DataFrame, columns: list[str], rounds: int = 10, tolerance: float = 1e-3, regularisation: float = 1e-9
 ) -> tuple[FittedImputation, DataFrame]:
-    """Fit the chain on ``df`` and return it with the imputed table.
+    """Fit linear rounds on ``df``; two passes and one write for each round.
 
-    Stops early when no imputed cell moves by more than ``tolerance`` times the largest
-    observed magnitude.
+    Stops like ``fit_imputation``. A table without gaps still gets one round, for new rows.
     """
-    make = ESTIMATORS[estimator] if isinstance(estimator, str) else estimator
-    # One row of counts, means and the largest magnitude: the size of the column list.
+    means, gaps, largest = _facts(df, columns)
+    targets = [c for c in columns if gaps[c]]
+    fitted = FittedImputation(columns, means)
+    current = cut_lineage(_start(df, columns, means))
+    for _ in range(rounds if targets else min(rounds, 1)):
+        step = _solved(_gramians(current, columns), columns, regularisation)
+        fitted.steps.append(("", step))
+        fitted.rounds += 1
+        if not targets:
+            break
+        before = current.withColumns({f"_was_{c}": F.col(c) for c in targets})
+        moved_to = cut_lineage(step.apply(before, columns, targets))
+        moved = moved_to.agg(
+            F.greatest(*[F.max(F.abs(F.col(c) - F.col(f"_was_{c}"))) for c in targets], F.lit(0.0))
+        ).first()[0]
+        current = moved_to.drop(*[f"_was_{c}" for c in targets])
+        if moved is None or moved <= tolerance * largest:
+            break
+    return fitted, current.drop(*[_mask(c) for c in columns])
+
+
+def _facts(df: DataFrame, columns: list[str]) -> tuple[dict[str, float], dict[str, int], float]:
+    """Means, missing cells and the largest magnitude: one row, the size of the column list."""
     number = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
     facts = df.agg(
         *[F.count(number[c]).alias(f"n_{c}") for c in columns],
@@ -116,7 +218,26 @@ def fit_imputation(
     if empty:
         raise ValueError(f"columns without a single value cannot be imputed: {empty}")
     means = {c: facts[f"mean_{c}"] for c in columns}
-    gaps = {c: facts["rows"] - facts[f"n_{c}"] for c in columns}
+    return means, {c: facts["rows"] - facts[f"n_{c}"] for c in columns}, facts["largest"]
+
+
+def fit_imputation(
+    df: DataFrame,
+    columns: list[str],
+    estimator: str | Callable[[], Any] = "gbt",
+    rounds: int = 10,
+    tolerance: float = 1e-3,
+    cut_every: int = 4,
+) -> tuple[FittedImputation, DataFrame]:
+    """Fit the chain on ``df`` and return it with the imputed table.
+
+    Stops early when no imputed cell moves by more than ``tolerance`` times the largest
+    observed magnitude.
+    """
+    if estimator == "linear":
+        return linear_rounds(df, columns, rounds, tolerance)
+    make = ESTIMATORS[estimator] if isinstance(estimator, str) else estimator
+    means, gaps, largest = _facts(df, columns)
     order = sorted(columns, key=lambda c: gaps[c])
     targets = [c for c in order if gaps[c] > 0]
 
@@ -141,6 +262,6 @@ def fit_imputation(
             F.greatest(*[F.max(F.abs(F.col(c) - F.col(f"_was_{c}"))) for c in targets], F.lit(0.0))
         ).first()[0]
         current = current.drop(*[f"_was_{c}" for c in targets])
-        if moved <= tolerance * facts["largest"]:
+        if moved <= tolerance * largest:
             break
     return fitted, current.drop(*[_mask(c) for c in columns])

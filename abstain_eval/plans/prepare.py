@@ -29,6 +29,8 @@ class Prepared:
     stats: DataFrame
     cases: DataFrame
     records: DataFrame
+    description: DataFrame  # counts of cases and records
+    missing: DataFrame  # rows and missing values of the raw table
 
 
 def impute_frame(
@@ -61,13 +63,15 @@ def prepare(
     clean = validate.clean_cases(raw, config.sex_column)
     keep = [config.sex_column] if config.sex_column else []
     fitted, frame = impute_frame(encode.encoded_frame(clean, keep), config)
-    # The reduced or full frame in [0, 1], for classical models.
-    imputed = cut_lineage(order.seeded_shuffle(frame, [k.ID_COLUMN], config.seed, "impute"))
-    scaled, ranges = encode.fit_scale(imputed, config.features, ["row_idx"])
+    imputed = cut_lineage(frame)
+    # The reduced or full frame in [0, 1], for classical models; numbered only where it is used.
+    numbered = order.seeded_shuffle(imputed, [k.ID_COLUMN], config.seed, "impute")
+    scaled, ranges = encode.fit_scale(numbered, config.features, ["row_idx"])
     cased = imputed.withColumn("case_id", F.col(k.ID_COLUMN).cast("bigint"))
     engineered = clinical.derive_features(
         cased, config.seed, "case_id", config.split_stage_3, config.sex_column
     )
+    order.refuse_small_strata(engineered, STRATUM[config.task])
     split = order.stratified_split(
         engineered, STRATUM[config.task], ["case_id"], config.test_size, config.seed
     )
@@ -76,4 +80,6 @@ def prepare(
     made = synthesize.generate(stats, config.n_synthetic, config.seed) if config.n_synthetic else None
     cases = synthesize.merge_cases(test, made, config.seed)
     records = clinical.build_records(cases, config.task, config.features, config.seed)
-    return Prepared(clean, imputed, fitted, ranges, scaled, train, stats, cases, records)
+    described = synthesize.describe_cases(cases, records)
+    missing = validate.missing_profile(clean)
+    return Prepared(clean, imputed, fitted, ranges, scaled, train, stats, cases, records, described, missing)
