@@ -242,7 +242,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER,
     plan = spark.createDataFrame(runs, schema).groupBy("length").agg(
         F.sort_array(F.collect_list(F.struct("run_first", "sequence", "copies", "run_offset"))).alias("runs")
     )
-    placed = numbered(rows).join(plan, "length")
+    # At most `capacity` lengths, and few runs of each: the plan is small whatever the corpus.
+    placed = numbered(rows).join(F.broadcast(plan), "length")
     run = F.element_at(F.filter("runs", lambda r: r["run_first"] <= F.col("rank")), -1)
     placed = placed.withColumn("run", run)
     within = F.col("rank") - F.col("run.run_first")
