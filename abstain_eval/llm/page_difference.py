@@ -6,8 +6,8 @@ at once, by the element's name, role, class or id. Of the rest, lines inside an
 element stay. All others are compared: within a host pages are ordered by the path of their
 address, each is paired with the neighbour whose path has the longer common beginning (the one
 before on a tie), their lines are aligned by a longest common subsequence, and shared lines are
-deleted as the site's frame. A page all of whose compared lines are shared keeps them: a copy
-of a whole page says nothing about frames.
+deleted as the site's frame. A page that would lose all its lines keeps them: a copy of a whole
+page says nothing about frames.
 
 Lines of a marked article are not compared, since articles share passages with each other: in
 the given pages differencing would delete such passages and could not delete menus, whose
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abstain_eval.llm.common import tasks
+from abstain_eval.llm.common import tasks, written
 from abstain_eval.session import cut_lineage
 
 RAW = "script style noscript template svg iframe object textarea select option title math canvas audio video".split()
@@ -251,7 +251,7 @@ def dropped_lines(rows: pd.DataFrame) -> pd.Series:
         near.sort(key=lambda n: -common_beginning(n["path"], r.path))  # stable: the page before wins ties
         own = np.array(r.digests, np.int64)
         shared = shared_lines(own, np.array(near[0]["digests"], np.int64)) if near else np.zeros(len(own), bool)
-        if not shared.any() or shared.all():
+        if not shared.any() or (shared.all() and not any(r.marked)):
             out.append(None)
             continue
         rest = iter(shared.tolist())
@@ -282,7 +282,7 @@ def frame_lines(parsed: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     parsed = page_lines(pages)
-    frames = cut_lineage(frame_lines(parsed))
+    frames = written(frame_lines(parsed), "frame-lines")
     joined = parsed.join(frames, "code", "left")
     kept = F.filter("texts", lambda t, i: ~F.coalesce(F.get("dropped", i), F.lit(False)))
     return joined.select("page_id", "url", F.concat_ws("\n\n", kept).alias("text")).withColumn("n_chars", F.length("text").cast("long"))

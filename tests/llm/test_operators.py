@@ -192,11 +192,11 @@ def brute_model(texts):
         return kneser_ney.discounts({f"n{i}": n[i] for i in range(1, 5)})
 
     of_pairs, of_words = cuts(pairs), cuts(follows)
-    types = len(words)
-    given = sum(of_words[min(c, 3) - 1] for c in follows.values()) / sum(follows.values()) / (types + 1)
+    types, all_follows = len(words), sum(follows.values())
+    given = sum(of_words[min(c, 3) - 1] for c in follows.values()) / all_follows / (types + 1)
 
     def chance(v, w):
-        lower = (max(follows[w] - of_words[min(follows[w], 3) - 1], 0) if follows[w] else 0) / sum(follows.values()) + given
+        lower = (max(follows[w] - of_words[min(follows[w], 3) - 1], 0) if follows[w] else 0) / all_follows + given
         if v not in begun:
             return lower
         total = sum(begun[v])
@@ -393,6 +393,7 @@ def test_unmarked_pages_lose_shared_lines(spark):
     rows += [(1000, "http://alone.example/x", page("single page")), (1001, None, page("null address")), (1002, "http://h.example/z", None)]
     rows += [(1003, "http://e.example/1", ""), (1004, "http://copy.example/1", page("same")), (1005, "http://copy.example/2", page("same"))]
     rows += [(1004, "http://copy.example/1", page("same")), (None, "http://alone.example:80/x", page("other"))]
+    rows += [(2000 + i, f"http://marked.example/{i}", page(f"<article>piece {i}</article>")) for i in range(2)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("code", F.lit(1))
     found = defaultdict(list)
     for r in page_difference.main_texts(frame.repartition(7)).collect():
@@ -403,6 +404,7 @@ def test_unmarked_pages_lose_shared_lines(spark):
     assert found[1001] == ["Top of site\n\nnull address\n\nAll rights"]
     assert found[1000] == ["single page"] and found[None] == ["other"]
     assert found[1002] == [""] and found[1003] == [""]
+    assert found[2000] == ["piece 0"] and found[2001] == ["piece 1"]
     assert found[1004] == ["Top of site\n\nsame\n\nAll rights"] * 2 and found[1005] == found[1004][:1]
     assert page_difference.main_texts(frame.limit(0)).collect() == []
 
