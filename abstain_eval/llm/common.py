@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from abstain_eval.session import fresh_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,6 +30,17 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again.
+
+    Unlike after a checkpoint Spark then knows how large they are, so that it broadcasts a side of
+    a join only if it is small, and does so without shuffling the other side first.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def chunks(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `limit` characters each; a longer text is a range of its own."""
     start = size = 0

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from abstain_eval.llm.common import written
 from abstain_eval.session import cut_lineage
 
 TABLES = 8
@@ -156,7 +157,7 @@ def nearest_neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, nearest
     crowds = index.groupBy(CELL).agg(F.count("*").alias("n")).join(
         probes.groupBy(CELL).agg(F.count("*").alias("n_asked")), CELL
     ).select(*CELL, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_asked") / BLOCK).cast("int").alias("query_blocks"))
-    crowds = cut_lineage(crowds)
+    crowds = written(crowds, "crowds")
     key = [*CELL, "block", "query_block"]
     own = F.pmod(F.xxhash64("code", F.lit(1)), F.col("blocks")).cast("int")
     left = (

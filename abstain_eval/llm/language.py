@@ -27,8 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abstain_eval.llm.common import chunks, crc_part, text_or_empty
-from abstain_eval.session import cut_lineage
+from abstain_eval.llm.common import chunks, crc_part, text_or_empty, written
 
 SIGNS = 1024
 PER_LANGUAGE = 4000
@@ -125,7 +124,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Profiles:
     rates = known.groupBy("lang").agg(F.count("*").alias("n")).select(
         F.col("lang").alias("of"), F.least(F.lit(1.0), per_language / F.col("n")).alias("rate")
     )
-    rates = cut_lineage(rates)  # its size is known then: the join shuffles no texts while languages are few
+    rates = written(rates, "language-rates")
     chance = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = known.join(rates, F.col("lang") == F.col("of")).filter(chance < F.col("rate"))
 
