@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from abstain_eval.llm.common import written
 from abstain_eval.session import cut_lineage
 
 SEED = 42
@@ -73,10 +74,10 @@ def replicated(docs: DataFrame, targets: DataFrame | None = None, seed: int = SE
     """`row` (the whole document), copy (from 0), n_copies, rate and draw (its place in the order)."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))
     drawn = docs.select(F.struct("*").alias("row"), key.alias("key"), F.col("source").alias("of"))
-    # Written first, so that Spark knows its size: a small one is broadcast, and no text moves for the join.
-    known = cut_lineage(rates(docs.select("source"), targets, temperature))
+    known = rates(docs.select("source"), targets, temperature)
     # The condition is spelled as equal keys, so that null sources meet as well.
     known = known.select(F.struct(F.col("source").isNull().alias("no"), F.coalesce("source", F.lit("")).alias("name")).alias("k"), "rate", "cumulative")
+    known = written(known, "source-rates")
     drawn = drawn.withColumn("k", F.struct(F.col("of").isNull().alias("no"), F.coalesce("of", F.lit("")).alias("name")))
     counted = drawn.join(known, "k").withColumn(
         "n_copies", F.size(F.filter("cumulative", lambda c: c <= uniform(F.lit(str(seed)), F.lit("copies"), F.col("key"))))
