@@ -35,7 +35,8 @@ HELD_OUT, HELD_PARTS = 2, 4
 SEED = 3
 UNIT = 1_000_000
 UNKNOWN = "und"
-TRIPLE_BLOCK = 8192
+TRIPLE_BLOCK = 4096
+TEXT_BLOCK = 256  # texts whose vectors are held at a time
 
 
 @cache
@@ -105,15 +106,14 @@ class Profiles:
 
     def __call__(self, texts: list[str]) -> pd.DataFrame:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        if self.names:
-            vectors = text_vectors(texts)
+        own = self.prototypes - self.mean  # what all languages share is taken off, so that cosines tell them apart
+        own = at_unit_length(own)
+        for start in range(0, len(texts) if self.names else 0, TEXT_BLOCK):
+            vectors = text_vectors(texts[start : start + TEXT_BLOCK])
             some = np.flatnonzero(np.abs(vectors).max(1, initial=0) > 0)
-            unit = at_unit_length(vectors[some].astype(np.float64))
-            # What all languages share is taken off, so that cosines tell them apart.
-            cosine = (unit - self.mean) @ (self.prototypes - self.mean).T
-            cosine /= np.maximum(np.linalg.norm(unit - self.mean, axis=1, keepdims=True), 1e-12)
-            cosine /= np.maximum(np.linalg.norm(self.prototypes - self.mean, axis=1), 1e-12)
-            for i, k, c in zip(some, cosine.argmax(1), cosine.max(1), strict=True):
+            unit = at_unit_length(at_unit_length(vectors[some].astype(np.float64)) - self.mean)
+            cosine = unit @ own.T
+            for i, k, c in zip(some + start, cosine.argmax(1), cosine.max(1), strict=True):
                 names[i], scores[i] = self.names[k], (1 + c) / 2
         return pd.DataFrame({"lang_pred": names, "score": np.clip(scores, 0, 1)})
 
@@ -132,9 +132,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Profiles:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            units = np.rint(at_unit_length(text_vectors(texts)) * UNIT).astype(np.int64)
-            for lang, unit in zip(langs, units, strict=True):
-                sums[lang] = sums.get(lang, 0) + unit
+            for start in range(0, len(texts), TEXT_BLOCK):
+                units = np.rint(at_unit_length(text_vectors(texts[start : start + TEXT_BLOCK])) * UNIT).astype(np.int64)
+                for lang, unit in zip(langs[start : start + TEXT_BLOCK], units, strict=True):
+                    sums[lang] = sums.get(lang, 0) + unit
         if sums:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(list(sums), SIGNS)), pa.array(np.tile(np.arange(SIGNS, dtype=np.int32), len(sums))), pa.array(np.concatenate(list(sums.values())))],
