@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 NUMBERING_BUCKETS = 64
-CACHED_WORDS = 600_000  # of each worker, about 120 MB
+CACHED_WORDS = 450_000  # of each worker, about 90 MB
 BATCH_CHARACTERS = 8_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -59,31 +60,32 @@ class WordTokenizer:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
 
-    def keep(self, word: str, ids: list[int]) -> list[int]:
+    def keep(self, word: str, ids: bytes) -> bytes:
         if len(self.known) >= CACHED_WORDS:
             self.known.clear()
         self.known[word] = ids
         return ids
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> bytes:
         ids = self.known.get(piece)
         if ids is None:
             spelled = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
-            ids = self.keep(piece, [t.id for t in self.model.tokenize(spelled)])
+            tokens = self.model.tokenize(spelled)
+            ids = self.keep(piece, pack_ids(f"<{len(tokens)}I", *[t.id for t in tokens]))
         return ids
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         """Ids of a word that is not kept yet."""
         if not word:
-            return []
+            return b""
         if not self.plain(word):
-            return self.whole.encode(word, add_special_tokens=False).ids
+            return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         lower = word.lower()
         if lower.isalpha():
             return self.piece(lower)
-        return self.keep(word, [i for p in self.find(lower) for i in self.piece(p)])
+        return self.keep(word, b"".join([self.piece(p) for p in self.find(lower)]))
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text. Repeated words of the batch are looked up once."""
@@ -93,8 +95,8 @@ class WordTokenizer:
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         codes, words = pd.factorize(np.array([w for s in split for w in s], dtype=object))
         found = [self.word(w) if ids is None else ids for w, ids in zip(words, map(self.known.get, words), strict=True)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
         starts = np.cumsum(counts) - counts
         ends = np.cumsum(sizes)
         for a, b in zip(ends - sizes, ends, strict=True):
