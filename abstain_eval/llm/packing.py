@@ -42,7 +42,8 @@ class WordTokenizer:
     """Token ids of texts, looked up per word: the tokenizer never merges over white space.
 
     Words of plain letters and signs are cut by the tokenizer's own pattern and only pieces not
-    met before go through its merges; any other word goes through the tokenizer whole.
+    met before go through its merges; any other word, and one that holds a marker such as
+    <|endoftext|>, goes through the tokenizer whole.
     """
 
     #: The split pattern of the vocabulary file. Fixed value.
@@ -52,9 +53,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.find = regex.compile(self.PATTERN).findall
+        # Markers have ids of their own wherever they stand, also inside a word.
+        self.markers = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         # Characters that normalisation leaves alone but for their case.
         self.plain = regex.compile(r"[\x21-\x7eÀ-įı-ňŊ-ž]+").fullmatch
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -80,7 +82,7 @@ class WordTokenizer:
         """Ids of a word that is not kept yet."""
         if not word:
             return b""
-        if not self.plain(word):
+        if not self.plain(word) or any(m in word for m in self.markers):
             return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         lower = word.lower()
         if lower.isalpha():

@@ -158,6 +158,17 @@ def test_word_tokenizer_agrees(text):
     assert next(tokenizer([text])).tolist() == tokenizer.whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["hello <|endoftext|> world x<|startoftext|>y", "<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> it's<|endoftext|>é", "<|endof text|>"])
+def test_markers_are_ids_of_their_own(text):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(packing.tokenizer_path())
+    tokenizer = packing.WordTokenizer(packing.tokenizer_path())
+    for _ in range(2):  # also once words are kept
+        assert next(tokenizer([text])).tolist() == fresh.encode(text, add_special_tokens=False).ids
+    assert fresh.encode("x<|startoftext|>y<|endoftext|>", add_special_tokens=False).ids == [343, 49406, 344, 49407]
+
+
 def test_plans_use_every_piece():
     rng = np.random.default_rng(1)
     for _ in range(20):
