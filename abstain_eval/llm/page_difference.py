@@ -2,7 +2,8 @@
 
 A page is cut into lines, one for each block of text. Lines inside elements that never hold
 main text (menus, headers, footers, sidebars, forms, notices, adverts, comments of readers) go
-at once, by the element's name, role, class or id. Of the rest, lines inside an article or main
+at once, by the element's name, role, class or id. Words in a class or id frame nothing that
+holds an article or main element, nor anything inside an article. Of the rest, lines inside an article or main
 element stay. All others are compared: within a host pages are ordered by the path of their
 address, each is paired with the neighbour whose path has the longer common beginning (the one
 before on a tie), their lines are aligned by a longest common subsequence, and shared lines are
@@ -36,12 +37,13 @@ from pyspark.sql import types as T
 from abstain_eval.llm.common import tasks, written
 from abstain_eval.session import cut_lineage
 
-RAW = "script style noscript template svg iframe object textarea select option title math canvas audio video".split()
+RAW = "script style noscript template svg iframe object textarea select option title annotation canvas audio video".split()
 FRAME = set("nav header footer aside form button dialog menu head".split())
 MAIN = {"article", "main"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
-    "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img input link meta".split()
+    "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img input link meta "
+    "math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom menclose".split()
 )
 FRAME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "alert"}
 FRAME_WORDS = re.compile(
@@ -50,19 +52,23 @@ FRAME_WORDS = re.compile(
     r"respond|share|social|related|recommended|pagination|pager|tags?|toolbar|search)(?:$|[\s_-])",
     re.I,
 )
+#: Names of headers, which frame nothing inside a main element: they hold its headline there.
+HEADER_WORDS = re.compile(r"header|masthead|banner", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S
 )
 RAW_END = {name: re.compile(rf"</{name}\s*>|$", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACE = re.compile(r"\s+")
+MAIN_TAG = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 #: Elements that a start tag of the same kind closes.
 SELF_CLOSING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
 
-def is_frame(name: str, attributes: str) -> bool:
-    if name in FRAME:
+def is_frame(name: str, attributes: str, inside: str = "", holds_main: bool = False) -> bool:
+    """Whether an element frames; `inside`: "article" or "main" if it stands in one, `holds_main`: if one stands in it."""
+    if name in FRAME and not (name == "header" and inside) and not (name == "form" and holds_main):
         return True
     if not attributes or attributes.isspace() or name in ("body", "html", "article", "main"):
         return False
@@ -72,16 +78,46 @@ def is_frame(name: str, attributes: str) -> bool:
         key, value = found[1].lower(), found[2] or found[3] or found[4] or ""
         if key == "role" and value.strip().lower() in FRAME_ROLES:
             return True
-        if key in ("class", "id") and FRAME_WORDS.search(value):
-            return True
+        if key in ("class", "id") and not holds_main and inside != "article":
+            if FRAME_WORDS.search(HEADER_WORDS.sub("", value) if inside else value):
+                return True
     return False
 
 
+def holders(source: str) -> set[int]:
+    """Where the start tags of the elements end that hold an article or main element."""
+    out: set[int] = set()
+    open_elements: list[tuple[str, bool, bool, int]] = []  # name, no frame, main, place
+    at = 0
+    while found := TOKEN.search(source, at):
+        at = found.end()
+        if found[2] is None:
+            continue
+        name = found[2].lower()
+        if found[1]:
+            if any(e[0] == name for e in open_elements):
+                while open_elements.pop()[0] != name:
+                    pass
+            continue
+        if name in RAW_END and not found[3].rstrip().endswith("/"):
+            at = RAW_END[name].search(source, at).end()
+            continue
+        if name in VOID:
+            continue
+        if name in SELF_CLOSING:
+            _close_same(open_elements, name)
+        if name in MAIN:
+            out.update(e[3] for e in open_elements)
+        open_elements.append((name, False, name in MAIN, at))
+    return out
+
+
 def lines(page: str | None) -> list[tuple[str, bool]]:
     """(text, whether it stands in a marked article) of the page's blocks outside frames."""
     out: list[tuple[str, bool]] = []
     open_elements: list[tuple[str, bool, bool]] = []  # name, frame, main
-    frames = mains = 0
+    frames = mains = articles = 0
+    holding: set[int] | None = None  # found when the first element that may frame comes before an article
     buffer: list[str] = []
     source = page or ""
 
@@ -113,6 +149,7 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
                     other, frame, main = open_elements.pop()
                     frames -= frame
                     mains -= main
+                    articles -= other == "article"
                     if other == name:
                         break
             continue
@@ -127,18 +164,23 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
             continue
         if name in SELF_CLOSING:
             _close_same(open_elements, name)
-        frame, main = is_frame(name, found[3]), name in MAIN
+        frame, main = is_frame(name, found[3], "article" if articles else "main" if mains else ""), name in MAIN
+        if frame and MAIN_TAG.search(source, at):
+            holding = holders(source) if holding is None else holding
+            if at in holding:
+                frame = is_frame(name, found[3], "article" if articles else "main" if mains else "", True)
         open_elements.append((name, frame, main))
         frames += frame
         mains += main
+        articles += name == "article"
     close_block()
     return out
 
 
-def _close_same(open_elements: list[tuple[str, bool, bool]], name: str) -> None:
+def _close_same(open_elements: list[tuple], name: str) -> None:
     """Drop an open element of that kind if only inline elements stand inside it. Neither is a frame or an article."""
     for i in range(len(open_elements) - 1, -1, -1):
-        other, frame, main = open_elements[i]
+        other, frame, main = open_elements[i][:3]
         if frame or main:
             return
         if other == name:

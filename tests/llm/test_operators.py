@@ -432,6 +432,19 @@ def test_frames_and_characters():
     assert page_difference.lines(None) == []
 
 
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div id='page' class='sticky header'", "div class='widget main-column'", "form id='all'", "span class='share'"])
+@pytest.mark.parametrize("marked", ["article", "main"])
+def test_names_of_wrappers_lose_no_article(wrapper, marked):
+    page = f"<body><nav>N</nav><div class='sidebar'>S</div><{wrapper}><div class='menu'>M</div><{marked}><header class='entry-header'><h1>Title</h1></header><p>Text</p></{marked}></{wrapper.split()[0]}></body>"
+    assert page_difference.lines(page) == [("Title", True), ("Text", True)]
+
+
+def test_names_inside_articles_frame_nothing():
+    page = "<article><div class='related'>A</div><p class='tags'>B <span class='share'>C</span> <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><nav>N</nav></article><div class='tags'>T</div>"
+    assert page_difference.lines(page) == [("A", True), ("B C x=1", True)]
+    assert page_difference.lines("<main><div id='comments'>R</div><p>P</p></main>") == [("P", True)]
+
+
 # Pipeline
 
 
