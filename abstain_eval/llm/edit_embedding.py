@@ -3,8 +3,10 @@
 All texts are walked with the same random bits: at step j the walk writes the character it
 stands on and moves on if the bit of (j, character) is set. An edit lets two walks part only
 until chance brings them together again, so edit distance becomes Hamming distance of what was
-written. Walks restart every `SEGMENT` characters, which bounds how long they can stay apart
-and lets all segments of all texts of a batch walk side by side.
+written. A text is one walk from its first to its last character, so an insertion or deletion
+costs one search for the alignment; as the method has it, k characters take about k * k steps.
+Bits repeat after `STEPS` steps. A walk goes from character to character by a table of how many
+steps it stands there, so its time is in proportion to the text.
 
 A fingerprint samples the written characters at positions that all texts share, as many from
 every octave of positions: [0, 64), [64, 128), [128, 256) and so on. A sample is one hex digit,
@@ -30,89 +32,72 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abstain_eval.llm.common import chunks, tasks, text_or_empty
+from abstain_eval.llm.common import tasks, text_or_empty
 
 SEED = 20_011
-SEGMENT = 2048
-STEPS = 3 * SEGMENT
+STEPS = 8192  # a power of two
+BLOCK = 65_536  # characters of a walk that are held at a time
 PER_OCTAVE = 64
 SAME = 0.8  # likeness from which two documents count as near
 BANDS, BAND_DIGITS = 24, 6
-CLASSES = 1024  # the last one is the blank behind a segment
-BLANK = CLASSES - 1
+CLASSES = 1024
 BUCKET_LIMIT = 4000
 
 _RNG = np.random.default_rng(SEED)
 #: Whether a walk moves on at a step from a character of a class, and the digit a class writes.
 MOVES = _RNG.integers(0, 2, (STEPS, CLASSES), dtype=np.int8)
 DIGITS = _RNG.integers(1, 16, CLASSES, dtype=np.uint8)
-MOVES[:, BLANK] = 0
-DIGITS[BLANK] = 0
+
+def _waits() -> bytes:
+    """By step and class: after how many steps a walk leaves a character that it reached then."""
+    out = np.zeros((2 * STEPS + 1, CLASSES), np.uint8)
+    for step in range(2 * STEPS - 1, -1, -1):
+        out[step] = np.where(MOVES[step % STEPS], 1, out[step + 1] + 1)
+    return out[:STEPS].tobytes()
+
+
+WAITS = _waits()
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
 @cache
-def sampled(segments: int) -> dict[int, list[int]]:
-    """By step of a segment: numbers of the segments that are sampled there, of so many."""
-    reach, low = segments * STEPS, PER_OCTAVE
+def sampled(periods: int) -> np.ndarray:
+    """The sampled steps of walks of up to so many times `STEPS` steps, in ascending order."""
+    reach, low = periods * STEPS, PER_OCTAVE
     picked = list(range(PER_OCTAVE))
     while low < reach:
         drawn = np.random.default_rng((SEED, low)).choice(low, PER_OCTAVE, replace=False)
         picked += (low + np.sort(drawn)).tolist()
         low *= 2
-    steps: dict[int, list[int]] = {}
-    for position in picked:
-        if position < reach:
-            steps.setdefault(position % STEPS, []).append(position // STEPS)
-    return steps
+    return np.array([position for position in picked if position < reach], np.int64)
 
 
 def classes_of(text: str) -> np.ndarray:
-    """The class of every code point, below BLANK."""
+    """The class of every code point."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return ((points * np.uint32(2_654_435_761) >> np.uint32(12)) % np.uint32(BLANK)).astype(np.int16)
+    return ((points * np.uint32(2_654_435_761) >> np.uint32(12)) % np.uint32(CLASSES)).astype(np.int16)
 
 
 def fingerprints(texts: list[str]) -> list[str]:
     """The fingerprint of each text."""
-    return [x for a, b in chunks(texts, 4_000_000) for x in _walked(texts[a:b])]
-
-
-def _walked(texts: list[str]) -> list[str]:
-    codes = [classes_of(t) for t in texts]
-    number = np.array([-(-len(c) // SEGMENT) for c in codes])
-    if not number.sum():
-        return [""] * len(texts)
-    segment = np.concatenate([np.arange(n) for n in number])
-    parts = [c[i : i + SEGMENT] for c in codes for i in range(0, len(c), SEGMENT)]
-    order = np.argsort([-len(p) for p in parts], kind="stable")
-    size = np.array([len(parts[k]) for k in order])
-    blank = np.array([BLANK], np.int16)
-    flat = np.concatenate([x for k in order for x in (parts[k], blank)])
-    place = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    end = place + size
-    rows = [np.flatnonzero(segment[order] == s) for s in range(number.max())]
-    written: list[list[np.ndarray]] = [[] for _ in rows]
-    steps = sampled(int(number.max()))
-    live = len(place)
-    for step in range(STEPS):
-        while live and place[live - 1] >= end[live - 1]:
-            live -= 1
-        here = flat[place[:live]]
-        for s in steps.get(step, ()):
-            digits = np.zeros(len(rows[s]), np.uint8)
-            standing = rows[s][: np.searchsorted(rows[s], live)]
-            digits[: len(standing)] = DIGITS[here[standing]]
-            written[s].append(digits)
-        if live:
-            place[:live] += MOVES[step][here]
-    owner = np.repeat(np.arange(len(texts)), number)[order]
-    samples: list[list[bytes]] = [[] for _ in texts]
-    for s, of in enumerate(rows):
-        if written[s]:
-            for k, digits in zip(owner[of], HEX[np.stack(written[s], axis=1)], strict=True):
-                samples[k].append(digits.tobytes())
-    return [b"".join(x).decode().rstrip("0") for x in samples]
+    return [_walked(t) for t in texts]
+
+
+def _walked(text: str) -> str:
+    """Digits at the sampled steps of one walk over the whole text."""
+    wait, mask, step = WAITS, STEPS - 1, 0
+    digits: list[bytes] = []
+    for start in range(0, len(text), BLOCK):
+        codes = classes_of(text[start : start + BLOCK])
+        first, left = step, []  # when the walk leaves each character
+        for code in codes.tolist():
+            step += wait[(step & mask) * CLASSES + code]
+            left.append(step)
+        periods = 1 << (-(-step // STEPS) - 1).bit_length()
+        steps = sampled(periods)
+        steps = steps[np.searchsorted(steps, first) : np.searchsorted(steps, step)]
+        digits.append(HEX[DIGITS[codes[np.searchsorted(np.array(left), steps, side="right")]]].tobytes())
+    return b"".join(digits).decode()
 
 
 def digits_of(prints: list[str], width: int) -> np.ndarray:

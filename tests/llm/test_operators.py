@@ -83,6 +83,19 @@ def test_near_pairs_find_edited_copies(spark):
     assert all(r["likeness"] >= edit_embedding.SAME for r in found)
 
 
+def test_insertions_at_the_start_of_long_texts():
+    def likeness(size, k, runs=8):
+        rng = np.random.default_rng(6)
+        letters = ["".join(map(chr, rng.integers(97, 123, size + k))) for _ in range(runs)]
+        return float(np.mean(edit_embedding.likeness(edit_embedding.fingerprints(letters), edit_embedding.fingerprints([t[k:] for t in letters]))))
+
+    # Mean of runs; walks that restarted every 2,048 characters had 0.25, 0.54, 0.28 and 0.15.
+    assert likeness(20_480, 40) > 0.8
+    assert likeness(200_000, 20) > 0.9
+    assert likeness(200_000, 40) > 0.8
+    assert likeness(200_000, 200) > 0.4
+
+
 # Nearest neighbours
 
 
