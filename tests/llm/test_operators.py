@@ -328,6 +328,16 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean([r["predicted"] == y for r, y in rows]) > 0.95
 
 
+@pytest.mark.parametrize(("totals", "least"), [((1_000_000, 1_000_000), 7), ((110_000, 890_000), 3)])
+def test_rare_toxic_expressions_speak_between_equal_classes(totals, least):
+    toxic = np.array([least - 1, least, 30, 10, 0, 300, 150])
+    ordinary = np.array([0, 0, 0, 10 * totals[1] // totals[0], 300, 0, 150 * totals[1] // totals[0]])
+    gap = toxicity.ClassModels(np.arange(7, dtype=np.int64), toxic, ordinary, totals, 0.1).gap
+    assert gap[0] == 0 and np.isfinite(gap).all()
+    assert 0 < gap[1] < gap[2] < gap[5] and gap[4] < 0
+    assert abs(gap[3]) < 1e-6 and abs(gap[6]) < 1e-6
+
+
 def test_language_on_held_out_documents(spark):
     truth = dict(duckdb.sql(f"select doc_id, lang from '{MIDDLE}/documents.parquet'").fetchall())
     rows = held_out(queries.op10_language(spark, MIDDLE).collect(), truth)
