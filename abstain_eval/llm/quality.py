@@ -1,7 +1,7 @@
 """Document quality by votes of the nearest labelled documents in a latent space.
 
 A document is a vector of counts: pairs and hashed triples of character shapes (letters,
-capitals, digits, each sign), and terms for words that repeat. Counts are damped, weighted by
+capitals, digits, each sign), hashed words in lower case, and terms for words that repeat. Counts are damped, weighted by
 inverse document frequency and projected on the leading singular directions of the labelled
 documents. The labelled vectors are broadcast, each document meets all of them in one blocked
 product, and its nearest ones vote with weights that grow with their cosine.
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abstain_eval.llm.common import crc_part
+from abstain_eval.llm.common import crc_part, word_hashes, words_of
 from abstain_eval.llm.labelled import labelled_sample
 
 SAMPLE = 1500  # labelled documents of a class that are fitted on
@@ -41,7 +41,8 @@ SHAPES = 37  # letter, capital, digit, blank, line end, 32 signs
 PAIRS = SHAPES * SHAPES
 TRIPLES = 2039
 EXTRAS = 4
-WIDTH = PAIRS + TRIPLES + EXTRAS
+WORDS = 2048
+WIDTH = PAIRS + TRIPLES + WORDS + EXTRAS
 BLOCK = 256
 
 _SHAPE = np.full(256, 255, np.uint8)  # 255: inside a character, left out
@@ -68,6 +69,8 @@ def counts(texts: list[str]) -> np.ndarray:
         row[PAIRS : PAIRS + TRIPLES] = np.bincount((two[:-1] * SHAPES + shape[2:]) % TRIPLES, minlength=TRIPLES)
         words = text.split()
         if words:
+            places = word_hashes(words_of(text)) % np.uint64(WORDS)
+            row[PAIRS + TRIPLES : -EXTRAS] = np.bincount(places.astype(np.int64), minlength=WORDS)
             again = sum(map(eq, words, words[1:]))
             row[-4] = again
             row[-3] = len(words) - again
@@ -78,8 +81,12 @@ def counts(texts: list[str]) -> np.ndarray:
 
 def damped(found: np.ndarray) -> np.ndarray:
     """Square roots of term shares; long and short texts become alike."""
-    parts = np.split(found, [PAIRS, PAIRS + TRIPLES, WIDTH - 2], axis=1)
-    return np.sqrt(np.hstack([p / np.maximum(p.sum(1, keepdims=True), 1) for p in parts]))
+    out = np.empty(found.shape, np.float32)
+    bounds = [0, PAIRS, PAIRS + TRIPLES, WIDTH - EXTRAS, WIDTH - 2, WIDTH]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        part = found[:, a:b]
+        np.divide(part, np.maximum(part.sum(1, keepdims=True), 1), out=out[:, a:b])
+    return np.sqrt(out, out=out)
 
 
 class NearestVotes:
@@ -91,12 +98,12 @@ class NearestVotes:
         self.usable = len(found) > 0
         if not self.usable:
             return
-        damp = damped(found)
         self.inverse = (np.log((1 + len(found)) / (1 + (found > 0).sum(0))) + 0.3).astype(np.float32)
         self.inverse[-EXTRAS:] = 2.0
-        weighted = damp * self.inverse
+        weighted = damped(found)
+        weighted *= self.inverse
         self.centre = weighted.mean(0)
-        weighted = weighted - self.centre
+        weighted -= self.centre
         rng = np.random.default_rng(SEED)
         k = min(DIRECTIONS, *weighted.shape)
         span = weighted @ rng.standard_normal((WIDTH, min(k + 8, WIDTH))).astype(np.float32)

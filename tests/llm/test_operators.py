@@ -321,6 +321,18 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([r["predicted"] == y for r, y in rows]) > 0.97
 
 
+def test_quality_hears_words():
+    rng = np.random.default_rng(8)
+    good, junk = (["".join(map(chr, rng.integers(97, 123, 5))) for _ in range(200)] for _ in range(2))
+    texts = [" ".join(rng.choice(words, 80)) for words in (good, junk) for _ in range(60)]
+    labels = np.repeat([1, 0], 60)
+    learned = np.arange(120) % 3 > 0
+    found = np.vstack([quality.counts([t]) for t in texts])
+    model = quality.NearestVotes(found[learned], labels[learned], {0: 0.5, 1: 0.5})
+    score = model([t for t, k in zip(texts, learned, strict=True) if not k])
+    assert np.mean((score > 0.5) == labels[~learned]) > 0.95
+
+
 def test_toxicity_on_held_out_labels(spark):
     # Junk documents (quality 0) are marked toxic here without a toxic word in them.
     truth = dict(duckdb.sql(f"select doc_id, toxic from '{MIDDLE}/labels.parquet' where quality = 1").fetchall())
