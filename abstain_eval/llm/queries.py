@@ -1,4 +1,4 @@
-"""Queries of the corpus operators over the whole given tables, and the SQL that checks one of them."""
+"""Queries of the corpus operators over the whole given tables, and the SQL that checks some of them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abstain_eval.llm import (
-    cross_polytope, edit_embedding, kneser_ney, language, mixing, packing, page_difference, quality, simhash, toxicity,
+    cross_polytope, edit_embedding, kneser_ney, language, mixing, packing, page_difference, quality, simhash, substrings,
+    toxicity,
 )
 from abstain_eval.llm.common import table
 
@@ -57,11 +58,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_edit_embedding, op2_cross_polytope, op3_best_fit_packing, op4_kneser_ney, op5_simhash, op6_quality,
-        op7_toxicity, op8_source_mix, op9_page_difference, op10_language,
+        op7_toxicity, op8_source_mix, op9_page_difference, op10_language, op13_substrings,
     )
 }
 
@@ -80,4 +86,17 @@ select doc_id, source, text, c.copy::int as copy, n_copies,
 from counted, unnest(range(0, n_copies)) as c(copy)
 """
 
-ORACLES = {"op8_source_mix": SOURCE_MIX}
+SUBSTRINGS = r"""
+with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+placed as (select doc_id, i, words[i] as word, case when i + 34 <= len(words) then md5(array_to_string(words[i:i + 34], ' ')) end as key
+    from texts, unnest(range(1, len(words) + 1)) as r(i)),
+marked as (select doc_id, i, word, key is not null and count(*) over (partition by key) > 1 as repeated from placed),
+covered as (select doc_id, i, word,
+    bool_or(repeated) over (partition by doc_id order by i rows between 34 preceding and current row) as gone from marked),
+kept as (select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed,
+    string_agg(word, ' ' order by i) filter (where not gone) as text from covered group by doc_id)
+select d.doc_id, coalesce(k.n_words, 0) as n_words, coalesce(k.n_removed, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from documents d left join kept k on k.doc_id = d.doc_id
+"""
+
+ORACLES = {"op8_source_mix": SOURCE_MIX, "op13_substrings": SUBSTRINGS}
