@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abstain_eval.llm import (
-    cross_polytope, edit_embedding, kneser_ney, language, mixing, packing, page_difference, quality, simhash, substrings,
-    toxicity,
+    cross_polytope, edit_embedding, hard_negatives, kneser_ney, language, mixing, packing, page_difference, quality,
+    simhash, substrings, toxicity,
 )
 from abstain_eval.llm.common import table
 
@@ -58,6 +58,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), moved)
+
+
 def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.without_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -67,7 +72,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_edit_embedding, op2_cross_polytope, op3_best_fit_packing, op4_kneser_ney, op5_simhash, op6_quality,
-        op7_toxicity, op8_source_mix, op9_page_difference, op10_language, op13_substrings,
+        op7_toxicity, op8_source_mix, op9_page_difference, op10_language, op12_hard_negatives,
+        op13_substrings,
     )
 }
 
@@ -99,4 +105,21 @@ select d.doc_id, coalesce(k.n_words, 0) as n_words, coalesce(k.n_removed, 0) as
 from documents d left join kept k on k.doc_id = d.doc_id
 """
 
-ORACLES = {"op8_source_mix": SOURCE_MIX, "op13_substrings": SUBSTRINGS}
+HARD_NEGATIVES = """
+with rows as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [floor(256 * x::double) for x in embedding] as q from embeddings
+    where vec_id is not null and label is not null and len(embedding) > 0
+        and list_bool_and([coalesce(isfinite(x), false) for x in embedding])),
+scored as (select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, list_dot_product(a.q, r.q)::bigint as score
+    from rows a join rows r on a.vec_id % 50 = 0 and r.vec_id <> a.vec_id and len(a.q) = len(r.q)),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id,
+    (row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id))::int as rank,
+    s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from positives p join scored s on s.anchor_id = p.anchor_id and not s.same
+    and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score
+qualify rank <= 3
+"""
+
+ORACLES = {"op8_source_mix": SOURCE_MIX, "op12_hard_negatives": HARD_NEGATIVES, "op13_substrings": SUBSTRINGS}
