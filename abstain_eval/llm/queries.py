@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abstain_eval.llm import (
-    cross_polytope, edit_embedding, hard_negatives, kneser_ney, language, mixing, packing, page_difference, quality,
-    simhash, substrings, toxicity,
+    conversations, cross_polytope, edit_embedding, hard_negatives, kneser_ney, language, mixing, packing, page_difference,
+    quality, simhash, substrings, toxicity,
 )
 from abstain_eval.llm.common import table
 
@@ -58,6 +58,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(*conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), moved)
@@ -72,8 +76,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_edit_embedding, op2_cross_polytope, op3_best_fit_packing, op4_kneser_ney, op5_simhash, op6_quality,
-        op7_toxicity, op8_source_mix, op9_page_difference, op10_language, op12_hard_negatives,
-        op13_substrings,
+        op7_toxicity, op8_source_mix, op9_page_difference, op10_language, op11_conversations,
+        op12_hard_negatives, op13_substrings,
     )
 }
 
