@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from abstain_eval import contracts as k
 from abstain_eval.checks.common import Query, clinical, orders
@@ -17,6 +18,7 @@ from abstain_eval.plans import evaluate
 from abstain_eval.plans.run import evaluate_runs
 from abstain_eval.session import fresh_path
 from abstain_eval.sources import documents
+from abstain_eval.sources.ledger import CallLedger
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -653,6 +655,68 @@ def _(spark, sf):
     return outcomes(evaluate.run_rounds(gapped_records(spark, sf), failing_model(), 8))
 
 
+LOST = f"""{GAPPED}, x as (select *, k % 17 = 0 as lost from b)"""
+_LOST_ROWS = """select run_id, k as case_id, case when not lost and k % 5 <> 0 then cast(k % 2 as varchar) end as prediction,
+     case when not lost then k % 5 = 0 end as abstained, case when lost then 'no_reply' end as reason from x"""
+
+
+def resumed(spark: SparkSession, sf_dir: str) -> tuple[evaluate.Evaluated, CallLedger]:
+    """A job that ends after its first round, and one that is started again with its ledger."""
+    ledger = CallLedger(fresh_path(spark, "ledger"))
+    held = gapped_records(spark, sf_dir)
+    evaluate.run_rounds(held, unreliable_model(), 8, ledger=ledger, pause_after=1)
+    return evaluate.run_rounds(held, unreliable_model(), 8, ledger=ledger), ledger
+
+
+@register("evaluation_rounds_resumed", f"with {LOST} {_LOST_ROWS}")
+def _(spark, sf):
+    return outcomes(resumed(spark, sf)[0])
+
+
+@register(
+    "resumed_calls",
+    f"""with recursive {LOST}, n as (select *, row_number() over (partition by run_id order by k) - 1 as place from x),
+     t(run_id, lo, size, round, mode) as (
+      select run_id, min(place), count(*), 0, 'batch' from n group by run_id, batch
+      union all
+      select t.run_id, t.lo + case when side = 1 then t.size // 2 else 0 end,
+       case when t.size = 1 then 1 when side = 1 then t.size - t.size // 2 else t.size // 2 end, t.round + 1,
+       case when t.size = 1 then 'single' else 'batch' end
+      from t join (values (0), (1)) s(side) on t.mode = 'batch' and (t.size > 1 or side = 0)
+      where exists (select 1 from n where n.run_id = t.run_id and n.place >= t.lo and n.place < t.lo + t.size
+       and (n.lost or t.size > 1 and n.place = t.lo and n.k % 24 = 0)))
+     select cast(case when round = 0 then 1 else 2 end as int) as job, run_id, cast(round as int) as round, mode, count(*) as calls,
+      cast(sum(size) as bigint) as cases from t group by all""",
+)
+def _(spark, sf):
+    """What each job asked: the second one nothing of the round that the first one paid for."""
+    _, ledger = resumed(spark, sf)
+    entries = ledger.entries(spark)
+    first = entries.groupBy("job").agg(F.min("asked_at").alias("began"))
+    # One row for each job.
+    numbered = first.select("job", F.row_number().over(Window.orderBy("began")).alias("number"))
+    asked = entries.join(F.broadcast(numbered), "job").groupBy(F.col("number").alias("job"), "run_id", "round", "mode")
+    return asked.agg(F.count(F.lit(1)).alias("calls"), F.sum("size").alias("cases"))
+
+
+@register(
+    "evaluation_rounds_bad_keys",
+    f"""with {GAPPED}, z as (select case when k % 10 = 9 then null else run_id end as run_id,
+      case when k % 13 = 0 then null when k % 16 in (1, 2) then k - k % 16 + 15 else k end as case_id from b),
+     y as (select *, case when run_id is null then 'no_run_id' when case_id is null then 'no_case_id'
+      when count(*) over (partition by run_id, case_id) > 1 then 'repeated_case_id' end as reason from z)
+     select run_id, case_id, case when reason is null and case_id % 5 <> 0 then cast(case_id % 2 as varchar) end as prediction,
+      case when reason is null then case_id % 5 = 0 end as abstained, reason from y""",
+)
+def _(spark, sf):
+    """Records that answers could not be matched to are quarantined, and all others evaluated once."""
+    key = F.col("case_id")
+    run = F.when(key % 10 != 9, F.col("run_id"))
+    case = F.when(key % 13 == 0, None).when((key % 16).isin(1, 2), key - key % 16 + 15).otherwise(key)
+    held = gapped_records(spark, sf).withColumn("run_id", run).withColumn("case_id", case)
+    return outcomes(evaluate.run_rounds(held, parity_model(), 8))
+
+
 @register(
     "whole_run",
     f"""with {GAPPED}, x as (select *, k % 17 = 0 as lost from b) select run_id, count(*) as n_input_records, count(*) filter (not lost) as n_evaluated,

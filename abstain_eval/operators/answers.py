@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abstain_eval import contracts as k
+from abstain_eval.functions.joins import sized_side
 from abstain_eval.functions.numbers import clamp
 from abstain_eval.functions.steps import add_once
 from abstain_eval.functions.text import normalised, strip
 from abstain_eval.operators.requests import redact
+from abstain_eval.session import cut_lineage
 
 FENCE = "```"
 END = "~end~"
@@ -412,6 +414,26 @@ def attach_prompts(rows: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.join(prompts, ["run_id", "batch_id"], "left")
 
 
+def refuse_bad_keys(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records that can be told apart, and those that can't, with a reason.
+
+    Answers are matched to records by run_id and case_id: both must be there, and no two records
+    may share them. Repeated keys are few or none, so records are not shuffled to find them.
+    """
+    absent = F.when(F.col("run_id").isNull(), "no_run_id").when(F.col("case_id").isNull(), "no_case_id")
+    keys = records.filter(absent.isNull()).groupBy("run_id", "case_id").agg(F.count(F.lit(1)).alias("n"))
+    twice = sized_side(keys.filter("n > 1").select("run_id", "case_id", F.lit("repeated_case_id").alias("_twice")))
+    judged = cut_lineage(
+        records.withColumn("_absent", absent).join(twice, ["run_id", "case_id"], "left")
+        .withColumn("_fault", F.coalesce("_absent", "_twice")).drop("_absent", "_twice")
+    )
+    refused = judged.filter("_fault is not null").select(
+        "run_id", F.col("case_id").cast("bigint").alias("case_id"), F.col("_fault").alias("reason"),
+        F.lit(None).cast("string").alias("raw_response"),
+    )
+    return judged.filter("_fault is null").drop("_fault"), refused
+
+
 def evaluation_rows(answers: DataFrame, cases: DataFrame) -> DataFrame:
     """Answers with the truth and the hidden metadata of their case."""
     truth = cases.select(

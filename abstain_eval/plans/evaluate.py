@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -12,21 +13,29 @@ from pyspark.sql.window import Window
 
 from abstain_eval.operators import answers, order, requests
 from abstain_eval.session import cut_lineage
+from abstain_eval.sources.ledger import CallLedger
 
 CASE_KEYS = ("run_id", "batch_id", "task", "round", "attempt")
 ROW = [
     "run_id", "batch_id", "slot", "prediction", "abstained", "confidence", "raw_response",
     "input_tokens", "output_tokens", "total_tokens",
 ]
-QUARANTINE = "run_id string, case_id bigint, reason string, raw_response string"
+SENT = "run_id string, batch_id bigint, mode string, size int, round int"
 REJECTED = "run_id string, batch_id bigint, size int, reason string, missing_ids array<string>"
+ANSWERED = (
+    "run_id string, prediction string, abstained boolean, confidence double, raw_response string, input_tokens double, "
+    f"output_tokens double, total_tokens double, case_id bigint, prompt {requests.MESSAGES}, prompt_mode string"
+)
 
 
 @dataclass
 class Evaluated:
+    """``open`` holds the keys of records that wait for rounds after ``pause_after``."""
+
     evaluations: DataFrame
     quarantine: DataFrame
     requests: DataFrame
+    open: DataFrame
 
 
 def plan_requests(cases: DataFrame) -> DataFrame:
@@ -46,12 +55,25 @@ def _refuse_repeats(replies: DataFrame) -> None:
 
 
 def ask(
-    sent: DataFrame, answer: Callable[[Iterator], Iterator], max_concurrency: int, max_retries: int
+    sent: DataFrame,
+    answer: Callable[[Iterator], Iterator],
+    max_concurrency: int,
+    max_retries: int,
+    ledger: CallLedger | None = None,
+    job: str = "",
 ) -> DataFrame:
-    """Every request of ``sent`` with its reply and ``outcome``: answered, no_reply, retry or call_failed."""
-    calls = requests.answer_requests(sent, answer, max_concurrency).drop("task", "mode").withColumn("_replied", F.lit(True))
-    calls = cut_lineage(calls)
-    _refuse_repeats(calls)
+    """Every request of ``sent`` with its reply and ``outcome``: answered, no_reply, retry or call_failed.
+
+    What ``ledger`` has on record is not asked again.
+    """
+
+    def call(some: DataFrame) -> DataFrame:
+        replies = cut_lineage(requests.answer_requests(some, answer, max_concurrency))
+        _refuse_repeats(replies)
+        return replies
+
+    calls = ledger.calls(sent, call, job) if ledger else call(sent)
+    calls = calls.drop("task", "mode").withColumn("_replied", F.lit(True))
     facts = sent.select("run_id", "batch_id", "task", "mode", "size", "round", "attempt")
     judged = answers.classify_errors(facts.join(calls, ["run_id", "batch_id"], "left"), max_retries)
     failed = F.col("error_name").isNotNull() | F.coalesce(F.col("status") >= 400, F.lit(False))
@@ -71,33 +93,41 @@ def run_rounds(
     on_malformed: str = "error",
     max_concurrency: int = 8,
     max_retries: int = 2,
+    ledger: CallLedger | None = None,
+    pause_after: int | None = None,
 ) -> Evaluated:
     """Ask, read, and ask rejected batches again in halves, down to single cases.
 
-    ``records`` has run_id, and one row per run_id and case_id. Every record ends as one
-    evaluation or as one row of quarantine with a reason. Batches are cut by the records' place
-    in their run, so ``row_idx`` may have gaps. A failed call that is worth it is repeated up to
-    ``max_retries`` times; a request without a reply is treated as a rejected one.
+    Every record ends as one evaluation or as one row of quarantine with a reason; records
+    without run_id or case_id, and all that share both, are quarantined before the first call.
+    Batches are cut by the records' place in their run, so ``row_idx`` may have gaps. A failed
+    call that is worth it is repeated up to ``max_retries`` times; a request without a reply is
+    treated as a rejected one.
+
+    With a ``ledger`` every call is on record once it is answered: a job that is started again
+    with the same records and ledger asks only what is not. ``pause_after`` ends the job after so
+    many rounds.
 
     Requests and replies of a round are written to the shared folder once: they feed several
     tables, and a lost executor must not ask a model twice. Rounds go on until nothing is open;
     sizes halve, so that is after log2(batch_size) + 3 rounds and the retries.
     """
-    spark = records.sparkSession
+    spark, job = records.sparkSession, uuid.uuid4().hex
+    records, refused = answers.refuse_bad_keys(records)
     placed_records = order.dense_positions(records, "run_id", "row_idx", ["case_id"])
     batched = requests.assign_batches(placed_records.withColumn("row_idx", F.col("position")).drop("position"), batch_size)
     one_batch = Window.partitionBy("run_id", "batch_id")
     first = batched.withColumn("size", F.count(F.lit(1)).over(one_batch).cast("int"))
     current = cut_lineage(first.withColumns({"round": F.lit(0), "mode": F.lit("batch"), "attempt": F.lit(0)}))
-    rows, quarantined, asked = [], [spark.createDataFrame([], QUARANTINE)], []
-    while True:
+    rows, quarantined, asked = [], [refused], []
+    while pause_after is None or len(asked) < pause_after:
         # At most two values.
         modes = {r["mode"] for r in current.select("mode").distinct().collect()}
         if not modes:
             break
         sent = cut_lineage(plan_requests(current))
         asked.append(sent.select("run_id", "batch_id", "mode", "size", "round"))
-        replies = ask(sent, answer, max_concurrency, max_retries)
+        replies = ask(sent, answer, max_concurrency, max_retries, ledger, job)
         answered = replies.filter("outcome = 'answered'").drop("outcome", "status", "error_name", "attempt")
         tokens = answers.with_usage(answered).drop("usage", "provider", "finish_reason")
         places = current.select("run_id", "batch_id", "slot", "case_id")
@@ -138,7 +168,9 @@ def run_rounds(
         current = cut_lineage(
             again.withColumn("case_ref", F.concat(F.lit("case_"), F.col("slot").cast("string")))
         )
-    if not rows:
+    if not rows and not refused.take(1):
         raise ValueError("there are no records to evaluate")
-    evaluations = answers.evaluation_rows(_union(rows), records)
-    return Evaluated(evaluations, _union(quarantined), _union(asked))
+    answered = _union(rows) if rows else spark.createDataFrame([], ANSWERED)
+    sent_rows = _union(asked) if asked else spark.createDataFrame([], SENT)
+    evaluations = answers.evaluation_rows(answered, records)
+    return Evaluated(evaluations, _union(quarantined), sent_rows, current.select("run_id", "case_id"))

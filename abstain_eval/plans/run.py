@@ -13,6 +13,7 @@ from abstain_eval.operators import metrics, runs, validate
 from abstain_eval.plans.evaluate import Evaluated, run_rounds
 from abstain_eval.session import cut_lineage
 from abstain_eval.sources import documents
+from abstain_eval.sources.ledger import CallLedger
 
 
 @dataclass
@@ -34,6 +35,7 @@ def evaluate_runs(
     batch_size: int = 8,
     max_concurrency: int = 8,
     on_malformed: str = "error",
+    ledger: CallLedger | None = None,
 ) -> RunResult:
     """Run all of ``models`` (run_id, model, suite as JSON text); ``suite`` has (run_id, name, text).
 
@@ -41,7 +43,7 @@ def evaluate_runs(
     Scores, summary and evaluations are written once and feed the report and the documents.
     """
     started = time.monotonic()
-    done = run_rounds(records, answer, batch_size, on_malformed, max_concurrency)
+    done = run_rounds(records, answer, batch_size, on_malformed, max_concurrency, ledger=ledger)
     evaluations = cut_lineage(done.evaluations)
     elapsed = time.monotonic() - started
     table = cut_lineage(

@@ -10,6 +10,7 @@ from abstain_eval.operators import answers as a
 from abstain_eval.operators import requests as r
 from abstain_eval.operators import runs
 from abstain_eval.plans import evaluate
+from abstain_eval.sources.ledger import CallLedger
 
 
 def parsed(spark, raw, task="detection"):
@@ -229,3 +230,64 @@ def test_calls_use_several_tasks(spark):
     asked = r.answer_requests(sent, echo_model(9), 6)
     assert asked.rdd.getNumPartitions() == 6
     assert asked.select(F.spark_partition_id()).distinct().count() > 3
+
+
+def counting(model, folder):
+    """A model that leaves a file for every call."""
+
+    def answer(frames):
+        import os
+        import uuid
+
+        for frame in frames:
+            open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+            yield from model(iter([frame]))
+
+    return answer
+
+
+def test_a_second_job_asks_nothing_that_is_on_record(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    held, ledger = records(spark, 10), CallLedger(str(tmp_path / "ledger"), calls_per_commit=2)
+    model = counting(echo_model(3), str(calls))
+    first = evaluate.run_rounds(held, model, 4, ledger=ledger)
+    ends = lambda done: sorted(map(tuple, done.evaluations.select("case_id", "prediction", "raw_response").collect()))
+    asked, want = len(list(calls.iterdir())), ends(first)
+    assert asked == first.requests.count() == ledger.entries(spark).count()
+    again = evaluate.run_rounds(held, model, 4, ledger=ledger)
+    assert ends(again) == want and len(list(calls.iterdir())) == asked
+    more = evaluate.run_rounds(records(spark, 12), model, 4, ledger=ledger)
+    assert more.evaluations.count() == 12 and len(list(calls.iterdir())) > asked  # the last batch is another one now
+
+
+def test_failed_calls_stand_or_are_asked_again(spark, tmp_path):
+    held, path = records(spark, 4), str(tmp_path / "ledger")
+    broken = failing(echo_model(9), ValueError, lambda q: q.batch_id == 1)
+    first = evaluate.run_rounds(held, broken, 2, ledger=CallLedger(path))
+    assert first.evaluations.count() == 2 and first.quarantine.count() == 2
+    stands = evaluate.run_rounds(held, echo_model(9), 2, ledger=CallLedger(path))
+    assert stands.evaluations.count() == 2 and stands.quarantine.count() == 2
+    mended = evaluate.run_rounds(held, echo_model(9), 2, ledger=CallLedger(path, ask_failed_again=True))
+    assert mended.evaluations.count() == 4 and mended.quarantine.count() == 0
+    assert evaluate.run_rounds(held, broken, 2, ledger=CallLedger(path)).evaluations.count() == 4  # the last entry counts
+
+
+def test_paused_rounds_say_what_is_open(spark):
+    done = evaluate.run_rounds(records(spark, 6), echo_model(1), 2, pause_after=1)
+    rest = evaluate.run_rounds(records(spark, 6), echo_model(1), 2)
+    assert done.open.count() + done.evaluations.count() + done.quarantine.count() == 6
+    assert done.open.count() > 0 and rest.open.count() == 0
+
+
+def test_records_that_cannot_be_told_apart_are_refused(spark):
+    held = records(spark, 6)
+    case, run = F.col("case_id"), F.col("run_id")
+    bad = held.withColumns({"case_id": F.when(case == 0, None).when(case == 1, 2).otherwise(case), "run_id": F.when(case != 5, run)})
+    done = evaluate.run_rounds(bad, echo_model(9), 2)
+    assert sorted(r["case_id"] for r in done.evaluations.collect()) == [3, 4]
+    assert sorted(r["reason"] for r in done.quarantine.collect()) == ["no_case_id", "no_run_id", "repeated_case_id", "repeated_case_id"]
+    none = evaluate.run_rounds(held.withColumn("run_id", F.lit(None).cast("string")), echo_model(9), 2)
+    assert none.evaluations.count() == none.requests.count() == 0 and none.quarantine.count() == 6
+    with pytest.raises(ValueError, match="no records"):
+        evaluate.run_rounds(held.limit(0), echo_model(9), 2)
