@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -267,6 +269,8 @@ def _(spark, sf):
     return rounded(encode.fill_means(frame(spark, sf), _FILLED).select("id", *_FILLED), *_FILLED)
 
 
+IMPUTED = [*k.NOMINAL_COLUMNS, *k.NUMERIC_FEATURES, k.TARGET_COLUMN]
+
 _PAIR = """
 select k, case when k % 10 = 3 then null else cast(k % 97 as double) end as x,
  case when k % 10 = 7 then null else cast((k % 97) * 2 + (k * k) % 11 as double) end as y from (select o_orderkey as k from orders) a
@@ -326,12 +330,51 @@ def _(spark, sf):
 
 @register("chained_imputation_trees")
 def _(spark, sf):
-    """One boosted round over two of the columns with all rows."""
-    columns = ["sc", "bu", "hemo", "class"]
-    _, done = impute.fit_imputation(
-        frame(spark, sf).select("id", *columns), columns, lambda: impute.gbt(trees=3), rounds=1
-    )
-    return done
+    """The default: boosted trees for all 25 columns, 100 trees and up to 10 rounds."""
+    _, done = impute.fit_imputation(frame(spark, sf), IMPUTED)
+    return encode.round_target(done)
+
+
+def _stacked(prefix: str) -> str:
+    """One row for each imputed column of every row, with its place in the list."""
+    return " union all ".join(f"select id, {i} as place, cast({prefix}{c} as double) as v from m" for i, c in enumerate(IMPUTED))
+
+
+@register(
+    "boosted_first_splits",
+    f"""with {FRAME}, m as materialized (select id, {', '.join(IMPUTED)}, {', '.join(f'coalesce({c}, avg({c}) over ()) as f_{c}' for c in IMPUTED)} from fr),
+    f as materialized ({_stacked('f_')}), y as ({_stacked('')}),
+    t as materialized (select id, place, v - avg(v) over (partition by place) as residual from y where v is not null),
+    s as (select t.place as target, f.place as feature, f.v, sum(residual) as total, count(*) as n from t join f on f.id = t.id and f.place <> t.place group by all),
+    c as (select target, feature, v, lead(v) over w as after, sum(total) over w as l, sum(n) over w as nl,
+      sum(total) over (partition by target, feature) as a, sum(n) over (partition by target, feature) as na from s window w as (partition by target, feature order by v)),
+    g as (select target, feature, (v + after) / 2 as threshold, l * l / nl + (a - l) * (a - l) / (na - nl) as gain from c where after is not null)
+    select list_extract({IMPUTED}, target + 1) as "column", list_extract({IMPUTED}, feature + 1) as feature, round(threshold, 6) as threshold
+    from g qualify row_number() over (partition by target order by round(gain, 6) desc, feature, threshold) = 1""",
+)
+def _(spark, sf):
+    """The first split of every column's first tree, on all rows: the one that explains most."""
+    stumps = impute.Boosting(trees=1, depth=1, fit_rows=10_000_000)
+    fitted, _ = impute.fit_imputation(frame(spark, sf), IMPUTED, stumps, rounds=1)
+    names = F.array(*[F.lit(c) for c in IMPUTED])
+    first = fitted.node_table(spark).filter("round = 0 and tree = 0 and place = 0")
+    return first.select("column", F.element_at(names, F.col("feature") + 1).alias("feature"), F.round("threshold", 6).alias("threshold"))
+
+
+@register("boosted_chain_on_new_rows", f"with {FRAME} select count(*) as n_rows, 0 as n_missing, 0 as n_other from fr")
+def _(spark, sf):
+    """A chain that is saved and loaded fills new rows as the fitted one does."""
+    held = frame(spark, sf).select("id", *IMPUTED)
+    fitted, _ = impute.fit_imputation(held, IMPUTED, impute.Boosting(trees=20), rounds=2)
+    path = fresh_path(spark, "chain")
+    fitted.save(spark, path)
+    new = held.withColumns({c: F.when(F.col("id") % 3 != i % 3, F.col(c)) for i, c in enumerate(("hemo", "htn", "class"))})
+    loaded = impute.FittedImputation.load(spark, path).transform(new)
+    both = loaded.join(fitted.transform(new).withColumnsRenamed({c: f"f_{c}" for c in IMPUTED}), "id")
+    missing = reduce(lambda x, y: x + y, [F.col(c).isNull().cast("int") for c in IMPUTED])
+    other = reduce(lambda x, y: x + y, [(~F.col(c).eqNullSafe(F.col(f"f_{c}"))).cast("int") for c in IMPUTED])
+    counted = both.agg(F.count("*").alias("n_rows"), F.sum(missing).alias("n_missing"), F.sum(other).alias("n_other"))
+    return counted.select("n_rows", *[F.col(c).cast("int").alias(c) for c in ("n_missing", "n_other")])
 
 
 @register("rounded_target", f"with a as ({d.KEYS}) select k, cast(round_even(k / 4, 0) as int) as class from a")
@@ -814,8 +857,8 @@ def _(spark, sf):
 
 @register("prepared_records")
 def _(spark, sf):
-    """The whole preparation with linear imputation, as many rounds as it takes to settle."""
-    config = k.PrepConfig(task="progression", estimator="linear")
+    """The whole preparation with its defaults."""
+    config = k.PrepConfig(task="progression")
     records = prepare(raw_cases(spark, sf), config).records
     return records.select("case_id", "row_idx", "label", "metadata.ckd_stage", "metadata.should_abstain")
 

@@ -1,12 +1,16 @@
-"""Chained imputation with MLlib regressors.
-
-Missing cells start at their column's mean and are then predicted from all other columns,
-fewest missing cells first, for several rounds. Columns without missing cells get a regressor
-too, for new rows that have gaps there. Fits run over all executors; the table is cut from its
-lineage into the shared folder every few columns, so a lost executor costs one segment of work.
-
-``linear_rounds`` is the cheap form of the chain: all columns of a round are fitted from the
-values of the round before, out of sums that one pass over the rows gathers.
+"""Chained imputation.
+
+Missing cells start at their column's mean and are then predicted from all other columns for
+several rounds. Columns without missing cells get a regressor too, for new rows that have gaps
+there.
+
+``boosted_rounds`` is the default. All columns of a round are fitted side by side, one task for
+each, from the values of the round before, on a bounded sample of rows; the forests of all
+rounds are then one table of nodes, and the whole chain runs over all rows in a single pass.
+``linear_rounds`` is the cheap form: every round is fitted out of sums that one pass over the
+rows gathers. ``fit_imputation`` with an MLlib regressor fits column after column, fewest
+missing cells first, on all rows; the table is cut from its lineage into the shared folder
+every few columns, so a lost executor costs one segment of work.
 """
 
 from __future__ import annotations
@@ -25,9 +29,21 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegres
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from abstain_eval.operators import boost
 from abstain_eval.session import cut_lineage
 
 
+@dataclass(frozen=True)
+class Boosting:
+    """Boosted trees for every column, fitted on at most ``fit_rows`` rows chosen by digest."""
+
+    trees: int = 100
+    depth: int = 3
+    step: float = 0.1
+    fit_rows: int = 10_000
+    seed: int = 42
+
+
 def gbt(trees: int = 100, depth: int = 3, step: float = 0.1, seed: int = 42) -> GBTRegressor:
     return GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=step, seed=seed)
 
@@ -37,23 +53,70 @@ def linear(regularisation: float = 1e-6) -> LinearRegression:
     return LinearRegression(solver="normal", regParam=regularisation)
 
 
-ESTIMATORS: dict[str, Callable[[], Any]] = {"gbt": gbt, "linear": linear}
+NODES = "round int, column string, tree int, place int, feature int, threshold double, value double"
+
+
+def _node_rows(forests: list[dict[str, boost.Forest]]) -> pa.Table:
+    """Forests as one table: splits and then leaves in heap order, and a row without tree for the base."""
+    parts: dict[str, list] = {c.split()[0]: [] for c in NODES.split(", ")}
+    for number, forest_of in enumerate(forests):
+        for column, forest in forest_of.items():
+            trees, splits = forest.features.shape
+            size = splits + forest.leaves.shape[1]
+            none = np.full(forest.leaves.shape, np.nan)
+            parts["round"].append(np.full(trees * size + 1, number))
+            parts["column"].append(np.full(trees * size + 1, column, object))
+            parts["tree"].append(np.append(np.repeat(np.arange(trees), size), -1))
+            parts["place"].append(np.append(np.tile(np.arange(size), trees), 0))
+            features = np.hstack([forest.features, np.full(forest.leaves.shape, boost.NO_SPLIT)])
+            parts["feature"].append(np.append(features.ravel(), boost.NO_SPLIT))
+            parts["threshold"].append(np.append(np.hstack([forest.thresholds, none]).ravel(), np.nan))
+            values = np.hstack([np.full(forest.features.shape, np.nan), forest.leaves])
+            parts["value"].append(np.append(values.ravel(), forest.base))
+    kinds = {"round": pa.int32(), "column": pa.string(), "tree": pa.int32(), "place": pa.int32(), "feature": pa.int32()}
+    arrays = {n: pa.array(np.concatenate(v), kinds.get(n, pa.float64())) for n, v in parts.items()}
+    return pa.table(arrays)
+
+
+def _forests_of(nodes: pa.Table) -> list[dict[str, boost.Forest]]:
+    found = nodes.to_pandas().sort_values(["round", "column", "tree", "place"])
+    forests: list[dict[str, boost.Forest]] = [{} for _ in range(found["round"].max() + 1)] if len(found) else []
+    for (number, column), rows in found.groupby(["round", "column"], sort=True):
+        base, rest = rows["value"].iloc[0], rows.iloc[1:]
+        size = rest["place"].max() + 1
+        splits = size // 2
+        take = lambda name: rest[name].to_numpy().reshape(-1, size)  # noqa: B023,E731
+        forests[number][column] = boost.Forest(
+            base, take("feature")[:, :splits].astype(np.int32), take("threshold")[:, :splits], take("value")[:, splits:]
+        )
+    return forests
 
 
 @dataclass
 class FittedImputation:
-    """Column means and the fitted regressors in the order they were used."""
+    """Column means and the fitted regressors in the order they were used.
+
+    ``forests`` has the boosted trees of each round by column, ``steps`` all other regressors.
+    """
 
     columns: list[str]
     means: dict[str, float]
     steps: list[tuple[str, Any]] = field(default_factory=list)
     rounds: int = 0
+    forests: list[dict[str, boost.Forest]] = field(default_factory=list)
+
+    def node_table(self, spark: SparkSession) -> DataFrame:
+        """The nodes of all boosted trees; bounded by columns, rounds and trees."""
+        if not self.forests:
+            return spark.createDataFrame([], NODES)
+        return spark.createDataFrame(_node_rows(self.forests), NODES)
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Means and regressors, each under its place in the chain."""
         facts = [(json.dumps({"columns": self.columns, "means": self.means, "rounds": self.rounds, "steps": [
             (column, model.weights if isinstance(model, LinearRound) else type(model).__name__) for column, model in self.steps]}),)]
         spark.createDataFrame(facts, "value string").write.mode("overwrite").text(f"{path}/facts")
+        self.node_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
         for i, (_, model) in enumerate(self.steps):
             if not isinstance(model, LinearRound):
                 model.write().overwrite().save(f"{path}/step-{i}")
@@ -66,11 +129,14 @@ class FittedImputation:
             (column, LinearRound(kind) if isinstance(kind, dict) else kinds[kind].load(f"{path}/step-{i}"))
             for i, (column, kind) in enumerate(facts["steps"])
         ]
-        return FittedImputation(facts["columns"], facts["means"], steps, facts["rounds"])
+        forests = _forests_of(spark.read.schema(NODES).parquet(f"{path}/nodes").toArrow())
+        return FittedImputation(facts["columns"], facts["means"], steps, facts["rounds"], forests)
 
     def transform(self, df: DataFrame, cut_every: int = 8) -> DataFrame:
         """Impute new rows with the fitted chain."""
         current = _start(df, self.columns, self.means)
+        if self.forests:
+            current = _boosted(current, self.columns, self.forests)
         for i, (column, model) in enumerate(self.steps, 1):
             if isinstance(model, LinearRound):
                 current = model.apply(current, self.columns, self.columns)
@@ -184,7 +250,7 @@ def linear_rounds(
 
     Stops like ``fit_imputation``. A table without gaps still gets one round, for new rows.
     """
-    means, gaps, largest = _facts(df, columns)
+    means, gaps, largest, _ = _facts(df, columns)
     targets = [c for c in columns if gaps[c]]
     fitted = FittedImputation(columns, means)
     current = cut_lineage(_start(df, columns, means))
@@ -205,8 +271,97 @@ def linear_rounds(
     return fitted, current.drop(*[_mask(c) for c in columns])
 
 
-def _facts(df: DataFrame, columns: list[str]) -> tuple[dict[str, float], dict[str, int], float]:
-    """Means, missing cells and the largest magnitude: one row, the size of the column list."""
+def _boosted(df: DataFrame, columns: list[str], forests: list[dict[str, boost.Forest]]) -> DataFrame:
+    """Run all rounds over started rows; within a round all cells are read before any is written."""
+    chain = df.sparkSession.sparkContext.broadcast(forests)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch, columns)[:, 1:]
+            gaps = {c: np.flatnonzero(batch.column(_mask(c)).to_numpy(zero_copy_only=False).astype(bool)) for c in columns}
+            for forest_of in chain.value:
+                filled = {c: forest_of[c].predict(x[at]) for c, at in gaps.items() if len(at)}
+                for i, c in enumerate(columns):
+                    if c in filled:
+                        x[gaps[c], i] = filled[c]
+            arrays = dict(zip(batch.schema.names, batch.columns, strict=True))
+            arrays |= {c: pa.array(x[:, i]) for i, c in enumerate(columns)}
+            yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+
+    return df.mapInArrow(fill, df.schema)
+
+
+def _fitting_rows(df: DataFrame, columns: list[str], n: int, settings: Boosting) -> np.ndarray:
+    """At most ``fit_rows`` rows as a matrix, the first by digests of their atomic columns; NaN where missing."""
+    atomic = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "array", "struct", "variant")]
+    digest = F.xxhash64(F.lit(settings.seed), *[F.col(c) for c in atomic])
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns], digest.alias("_digest"))
+    scale, least = 1 << 30, min(n, settings.fit_rows)
+    share = (least + 10 * least**0.5) / max(n, 1)
+    some = rows.filter(F.pmod("_digest", F.lit(scale)) < int(share * scale)) if share < 1 else rows
+    found = some.orderBy("_digest").limit(settings.fit_rows).drop("_digest").toArrow()
+    if found.num_rows < least // 2:  # most rows are equal, and the digests of the others too many
+        found = rows.orderBy("_digest").limit(settings.fit_rows).drop("_digest").toArrow()
+    return np.column_stack([found[c].to_numpy().astype(float) for c in columns])
+
+
+FITTED = "place int, base double, features binary, thresholds binary, leaves binary, filled binary"
+
+
+def _fit_columns(spark: SparkSession, rows: np.ndarray, missing: np.ndarray, settings: Boosting) -> list[tuple[boost.Forest, np.ndarray]]:
+    """A forest for each column and its values for the column's missing cells; a task for each column."""
+    width = rows.shape[1]
+    shared = spark.sparkContext.broadcast((rows, missing))  # at most fit_rows rows
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, gaps = shared.value
+        for batch in batches:
+            for place in batch.column(0).to_pylist():
+                seen, others = ~gaps[:, place], [i for i in range(width) if i != place]
+                forest = boost.grown(x[seen], others, x[seen, place], settings.trees, settings.depth, settings.step)
+                filled = forest.predict(x[~seen])
+                arrays = [forest.features.astype("<i4"), forest.thresholds, forest.leaves, filled]
+                columns = [pa.array([place], pa.int32()), pa.array([forest.base]), *(pa.array([a.tobytes()]) for a in arrays)]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FITTED.split(", ")])
+
+    found = spark.range(0, width, 1, width).mapInArrow(fit, FITTED).collect()  # a row for each column
+    splits, out = (1 << settings.depth) - 1, {}
+    for r in found:
+        features = np.frombuffer(r["features"], "<i4").reshape(-1, splits)
+        thresholds, leaves = (np.frombuffer(r[c]).reshape(len(features), -1) for c in ("thresholds", "leaves"))
+        out[r["place"]] = boost.Forest(r["base"], features, thresholds, leaves), np.frombuffer(r["filled"])
+    shared.unpersist()
+    return [out[i] for i in range(width)]
+
+
+def boosted_rounds(
+    df: DataFrame, columns: list[str], rounds: int = 10, tolerance: float = 1e-3, settings: Boosting | None = None
+) -> tuple[FittedImputation, DataFrame]:
+    """Fit boosted rounds on a bounded sample of ``df`` and impute all of it; one job for each round.
+
+    Means and the largest magnitude come from all rows. Stops like ``fit_imputation``, by the
+    sample's cells.
+    """
+    settings, df = settings or Boosting(), cut_lineage(df)  # read three times
+    means, gaps, largest, n = _facts(df, columns)
+    rows = _fitting_rows(df, columns, n, settings)
+    missing = np.isnan(rows)
+    rows = np.where(missing, np.array([means[c] for c in columns]), rows)
+    fitted = FittedImputation(columns, means)
+    for _ in range(rounds if any(gaps.values()) else min(rounds, 1)):
+        found = _fit_columns(df.sparkSession, rows, missing, settings)
+        fitted.forests.append({c: forest for c, (forest, _) in zip(columns, found, strict=True)})
+        fitted.rounds += 1
+        before, rows = rows, rows.copy()
+        for i, (_, filled) in enumerate(found):
+            rows[missing[:, i], i] = filled
+        if np.abs(rows - before).max(initial=0.0) <= tolerance * largest:
+            break
+    return fitted, cut_lineage(fitted.transform(df))
+
+
+def _facts(df: DataFrame, columns: list[str]) -> tuple[dict[str, float], dict[str, int], float, int]:
+    """Means, missing cells, the largest magnitude and the number of rows: one row, the size of the column list."""
     number = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
     facts = df.agg(
         *[F.count(number[c]).alias(f"n_{c}") for c in columns],
@@ -218,26 +373,31 @@ def _facts(df: DataFrame, columns: list[str]) -> tuple[dict[str, float], dict[st
     if empty:
         raise ValueError(f"columns without a single value cannot be imputed: {empty}")
     means = {c: facts[f"mean_{c}"] for c in columns}
-    return means, {c: facts["rows"] - facts[f"n_{c}"] for c in columns}, facts["largest"]
+    return means, {c: facts["rows"] - facts[f"n_{c}"] for c in columns}, facts["largest"], facts["rows"]
 
 
 def fit_imputation(
     df: DataFrame,
     columns: list[str],
-    estimator: str | Callable[[], Any] = "gbt",
+    estimator: str | Boosting | Callable[[], Any] = "gbt",
     rounds: int = 10,
     tolerance: float = 1e-3,
     cut_every: int = 4,
 ) -> tuple[FittedImputation, DataFrame]:
     """Fit the chain on ``df`` and return it with the imputed table.
 
-    Stops early when no imputed cell moves by more than ``tolerance`` times the largest
+    ``estimator`` is "gbt" or a ``Boosting`` for boosted rounds, "linear" for linear ones, or a
+    function that makes an MLlib regressor for a chain of single columns. Stops early when no imputed cell moves by more than ``tolerance`` times the largest
     observed magnitude.
     """
     if estimator == "linear":
         return linear_rounds(df, columns, rounds, tolerance)
-    make = ESTIMATORS[estimator] if isinstance(estimator, str) else estimator
-    means, gaps, largest = _facts(df, columns)
+    if estimator == "gbt" or isinstance(estimator, Boosting):
+        return boosted_rounds(df, columns, rounds, tolerance, None if estimator == "gbt" else estimator)
+    if isinstance(estimator, str):
+        raise ValueError(f"unknown estimator: {estimator}")
+    make = estimator
+    means, gaps, largest, _ = _facts(df, columns)
     order = sorted(columns, key=lambda c: gaps[c])
     targets = [c for c in order if gaps[c] > 0]
 

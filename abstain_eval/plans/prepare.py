@@ -38,7 +38,7 @@ def impute_frame(
 ) -> tuple[impute.FittedImputation, DataFrame]:
     """Imputed clinical frame, rows keyed by id, target rounded."""
     columns = [*k.NOMINAL_COLUMNS, *k.NUMERIC_FEATURES, k.TARGET_COLUMN]
-    make = (lambda: impute.gbt(seed=config.seed)) if config.estimator == "gbt" else config.estimator
+    make = impute.Boosting(seed=config.seed) if config.estimator == "gbt" else config.estimator
     if config.fit_on == "all":
         fitted, imputed = impute.fit_imputation(frame, columns, make, config.rounds)
     else:
