@@ -16,7 +16,10 @@ share of equal characters in the embeddings. Near pairs are found by bands of sa
 and verified by likeness.
 
 Null and empty texts have an empty fingerprint; two empty fingerprints have likeness 1. Equal
-texts have equal fingerprints. The whole text counts, however long it is.
+texts have equal fingerprints. The whole text counts, however long it is. Rows with a null id
+come before all others; rows with equal ids follow each other by a digest of their texts, and
+repeated rows stay, each with its own result. An empty table gives an empty result. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -80,12 +83,16 @@ def classes_of(text: str) -> np.ndarray:
 
 def fingerprints(texts: list[str]) -> list[str]:
     """The fingerprint of each text."""
-    return [_walked(t) for t in texts]
+    return [walked(t, 0)[0] for t in texts]
 
 
-def _walked(text: str) -> str:
-    """Digits at the sampled steps of one walk over the whole text."""
-    wait, mask, step = WAITS, STEPS - 1, 0
+def walked(text: str, step: int) -> tuple[str, int]:
+    """Digits at the sampled steps of a walk that enters ``text`` at a step, and the step at which it leaves.
+
+    A walk over two texts, one after the other, is the walk over both: samples of a step are the
+    same however far a walk goes.
+    """
+    wait, mask = WAITS, STEPS - 1
     digits: list[bytes] = []
     for start in range(0, len(text), BLOCK):
         codes = classes_of(text[start : start + BLOCK])
@@ -97,7 +104,7 @@ def _walked(text: str) -> str:
         steps = sampled(periods)
         steps = steps[np.searchsorted(steps, first) : np.searchsorted(steps, step)]
         digits.append(HEX[DIGITS[codes[np.searchsorted(np.array(left), steps, side="right")]]].tobytes())
-    return b"".join(digits).decode()
+    return b"".join(digits).decode(), step
 
 
 def digits_of(prints: list[str], width: int) -> np.ndarray:
@@ -171,30 +178,72 @@ def class_members(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return docs.select(F.col(id_column).alias("doc_id"), fingerprint_column(text_or_empty(text_column)).alias("fingerprint"))
 
 
+LEAST = -(2**63)
+
+
+def text_digest(text: str) -> Column:
+    """52 bits of a digest of a text."""
+    return F.shiftrightunsigned(F.xxhash64(text), 12)
+
+
+def places(orders: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    out = np.empty(len(orders), [("order", np.int64), ("digest", np.int64)])
+    out["order"], out["digest"] = orders, digests
+    return out
+
+
+def range_starts(rows: DataFrame, ranges: int) -> np.ndarray:
+    """First places (order, digest) of about ``ranges`` ranges; a key with many rows is cut by their digests."""
+    shares = [i / ranges for i in range(1, ranges)]
+    found = rows.select(F.min("order"), F.percentile_approx("order", F.lit(shares), F.lit(10_000))).first()
+    # Percentiles are found in floating point, which holds whole numbers up to 2 ** 53.
+    keys, times = np.unique(np.array([k for k in [found[0], *(found[1] or [])] if k is not None], np.int64), return_counts=True)
+    if (np.abs(keys[keys != LEAST].astype(float)) >= 2.0**53).any():
+        bounds = keys.copy()
+
+        @F.pandas_udf("int")
+        def between(orders: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(bounds, orders.to_numpy(), side="right").astype(np.int32))
+
+        there = rows.groupBy(between("order").alias("at")).agg(F.min("order").alias("least")).collect()
+        keys = np.array(sorted(r["least"] for r in there), np.int64)
+        times = np.ones(len(keys), int)
+    hot = {int(k): int(n) for k, n in zip(keys, times, strict=True) if n > 2}  # at most a third of the ranges
+    starts = {(int(k), LEAST) for k in keys if int(k) not in hot}
+    if hot:  # every range begins with a row that is there
+        digest = (F.min("digest"), F.percentile_approx("digest", F.lit(shares), F.lit(10_000)))
+        for key, least, digests in rows.filter(F.col("order").isin(list(hot))).groupBy("order").agg(*digest).collect():
+            step = max(1, len(digests) // hot[key])
+            starts |= {(key, d) for d in (least, *digests[step - 1 :: step])}
+    ordered = sorted(starts)
+    return places(np.array([k for k, _ in ordered], np.int64), np.array([d for _, d in ordered], np.int64))
+
+
 def with_next(docs: DataFrame, key: Column, text: Column, schema: str, function) -> DataFrame:
     """`function` over streams of (doc_id, text, next text), the next in ascending order of `key`.
 
-    Rows go to ranges of keys by a shuffle; the first row of a range also goes to the range
-    before it, and the first of all to the last range, so no row of a range waits for another.
+    Rows without a key come first, and rows of one key are ordered by a digest of their text. Rows go
+    to ranges of both by a shuffle; the first row of a range also goes to the range before it, and
+    the first of all to the last range, so no row of a range waits for another.
     """
     keyed = docs.select(key.cast("long").alias("doc_id"), text.alias("text"))
-    order = F.coalesce("doc_id", F.lit(-(2**63)))  # rows without a key come first
-    ranges = min(4 * tasks(docs), BUCKET_LIMIT)
-    shares = [i / ranges for i in range(1, ranges)]
-    found = keyed.select(F.min(order), F.percentile_approx(order, F.lit(shares), F.lit(10_000))).first()
-    firsts = np.array(sorted({found[0], *(found[1] or [])} - {None}), np.int64)
+    placed = keyed.withColumns({"order": F.coalesce("doc_id", F.lit(-(2**63))), "digest": text_digest("text")})
+    firsts = range_starts(placed.select("order", "digest"), min(4 * tasks(docs), BUCKET_LIMIT))
 
     @F.pandas_udf("range int, first boolean")
-    def range_of(keys: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(firsts, keys.to_numpy(), side="right") - 1
-        return pd.DataFrame({"range": at.astype(np.int32), "first": firsts[at] == keys.to_numpy()})
+    def range_of(orders: pd.Series, digests: pd.Series) -> pd.DataFrame:
+        rows = places(orders.to_numpy(), digests.to_numpy())
+        at = np.maximum(np.searchsorted(firsts, rows, side="right") - 1, 0)
+        start = firsts[at]
+        first = (start["order"] == rows["order"]) & ((start["digest"] == rows["digest"]) | (start["digest"] == LEAST))
+        return pd.DataFrame({"range": at.astype(np.int32), "first": first})
 
     before = F.when(F.col("r.range") > 0, F.col("r.range") - 1).otherwise(F.lit(len(firsts) - 1))
     own = F.struct(F.col("r.range").alias("range"), F.lit(False).alias("extra"))
     copy = F.struct(before.alias("range"), F.lit(True).alias("extra"))
-    placed = keyed.withColumn("order", order).withColumn("r", range_of("order"))
-    dealt = placed.select("doc_id", "text", "order", F.inline(F.when(F.col("r.first"), F.array(own, copy)).otherwise(F.array(own))))
-    shuffled = dealt.repartition(tasks(docs), "range").sortWithinPartitions("range", "extra", "order", "text")
+    placed = placed.withColumn("r", range_of("order", "digest"))
+    dealt = placed.select("doc_id", "text", "order", "digest", F.inline(F.when(F.col("r.first"), F.array(own, copy)).otherwise(F.array(own))))
+    shuffled = dealt.repartition(tasks(docs), "range").sortWithinPartitions("range", "extra", "order", "digest", "text")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the last row of a batch waits for the next one
@@ -216,18 +265,30 @@ COMPARED = (
 
 
 def compare_edited(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
-    """Fingerprints of texts, of their edited forms, and of the texts that follow them."""
-    texts = [t for _, t, _ in rows]
-    following = [n for _, _, n in rows]
-    edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts, following, strict=True)]
-    walked = list(dict.fromkeys([*texts, *following, *edited]))
-    known = dict(zip(walked, fingerprints(walked), strict=True))
-    own, other, after = ([known[t] for t in of] for of in (texts, edited, following))
+    """Fingerprints of texts, of their edited forms, and of the texts that follow them.
+
+    An edited text begins as its text does, so its walk goes on from where that beginning ends.
+    """
+    own, other, edited = [], [], []
+    known: dict[str, tuple[str, int, str]] = {}  # the beginning's digits and last step, and the rest's digits
+    ends: dict[tuple[str, str], str] = {}
+    for _, text, following in rows:
+        cut = len(text) // 4
+        if text not in known:
+            head, step = walked(text[: len(text) - cut], 0)
+            known[text] = head, step, walked(text[len(text) - cut :], step)[0]
+        head, step, tail = known[text]
+        if (text, following[:cut]) not in ends:
+            ends[text, following[:cut]] = walked(following[:cut], step)[0]
+        own.append(head + tail)
+        other.append(head + ends[text, following[:cut]])
+        edited.append(hashlib.sha256((text[: len(text) - cut] + following[:cut]).encode()).hexdigest())
+    after = ["".join(known[n][::2]) if n in known else fingerprints([n])[0] for _, _, n in rows]
     return pa.RecordBatch.from_pydict(
         {
             "doc_id": pa.array([k for k, _, _ in rows], pa.int64()),
-            "n_chars": pa.array([len(t) for t in texts], pa.int64()),
-            "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edited],
+            "n_chars": pa.array([len(t) for _, t, _ in rows], pa.int64()),
+            "edited_sha256": edited,
             "fingerprint": own,
             "edited_fingerprint": other,
             "near_edited": likeness(own, other),
