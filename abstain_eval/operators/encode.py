@@ -8,45 +8,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from abstain_eval import contracts as k
+from abstain_eval.operators.order import numbered
+from abstain_eval.schema import KIDNEY, Contract
 
 
-def code_of(column: str) -> Column:
+def code_of(column: str, contract: Contract = KIDNEY) -> Column:
     """Ordinal code of a nominal cell; missing and unknown values stay missing."""
-    codes = k.ORDINAL_CODES[column]
     chain = None
-    for value, code in codes.items():
+    for value, code in contract.by_name[column].codes:
         hit = F.col(column) == value
         chain = F.when(hit, float(code)) if chain is None else chain.when(hit, float(code))
     return chain
 
 
-def encode_nominal(clean: DataFrame) -> DataFrame:
-    return clean.withColumns({c: code_of(c) for c in k.NOMINAL_COLUMNS})
+def encode_nominal(clean: DataFrame, contract: Contract = KIDNEY) -> DataFrame:
+    return clean.withColumns({c: code_of(c, contract) for c in contract.nominal})
 
 
 def label_classes(df: DataFrame, column: str) -> DataFrame:
-    """Distinct labels in sorted order with their codes 0, 1, ..."""
+    """Distinct labels in sorted order with their codes 0, 1, ...; there may be any number of them."""
     labels = df.select(F.col(column).alias("label")).filter("label is not null").distinct()
-    code = F.row_number().over(Window.orderBy("label")) - 1
-    return labels.select("label", code.alias("code"))
+    return numbered(labels, ["label"], "code").select("label", F.col("code").cast("int").alias("code"))
 
 
-def encode_target(clean: DataFrame) -> DataFrame:
-    """Class label to its code (0 = disease present, 1 = absent)."""
+def encode_target(clean: DataFrame, contract: Contract = KIDNEY) -> DataFrame:
+    """Label to its code, 0, 1, ... in the contract's order."""
     chain = None
-    for code, label in enumerate(k.LABEL_CLASSES):
-        hit = F.col(k.TARGET_COLUMN) == label
+    for code, label in enumerate(contract.labels):
+        hit = F.col(contract.target) == label
         chain = F.when(hit, code) if chain is None else chain.when(hit, code)
-    return clean.withColumn(k.TARGET_COLUMN, chain)
+    return clean.withColumn(contract.target, chain)
 
 
-def encoded_frame(clean: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def encoded_frame(clean: DataFrame, keep: list[str] | None = None, contract: Contract = KIDNEY) -> DataFrame:
     """Nominal codes, numbers and target code, in this order, behind the id."""
-    encoded = clean.transform(encode_nominal).transform(encode_target)
-    numbers = [F.col(c).cast("double").alias(c) for c in k.NUMERIC_FEATURES]
-    return encoded.select(
-        k.ID_COLUMN, *(keep or []), *k.NOMINAL_COLUMNS, *numbers, k.TARGET_COLUMN
-    )
+    encoded = clean.transform(encode_nominal, contract).transform(encode_target, contract)
+    numbers = [F.col(c).cast("double").alias(c) for c in contract.numbers]
+    return encoded.select(contract.id, *(keep or []), *contract.nominal, *numbers, contract.target)
 
 
 def fill_means(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -58,22 +56,24 @@ def fill_means(df: DataFrame, columns: list[str]) -> DataFrame:
     ).drop("_means")
 
 
-def round_target(df: DataFrame) -> DataFrame:
+def round_target(df: DataFrame, target: str = k.TARGET_COLUMN) -> DataFrame:
     """Nearest integer class, halves to even."""
-    return df.withColumn(k.TARGET_COLUMN, F.bround(k.TARGET_COLUMN, 0).cast("int"))
+    return df.withColumn(target, F.bround(target, 0).cast("int"))
 
 
 def feature_columns(features: str) -> list[str]:
     return k.REDUCED_FEATURES if features == "reduced" else k.FULL_FEATURES
 
 
-def scaled_columns(features: str) -> list[str]:
-    """Order of the scaled frame: the reduced order, or nominal before numeric."""
-    return k.REDUCED_FEATURES if features == "reduced" else k.NOMINAL_COLUMNS + k.NUMERIC_FEATURES
+def scaled_columns(features: str, contract: Contract = KIDNEY) -> list[str]:
+    """Order of the scaled frame: that of the feature set, or nominal before numeric."""
+    return contract.feature_set(features)
 
 
-def project_features(df: DataFrame, features: str, keep: list[str] | None = None) -> DataFrame:
-    return df.select(*(keep or []), *scaled_columns(features), k.TARGET_COLUMN)
+def project_features(
+    df: DataFrame, features: str, keep: list[str] | None = None, contract: Contract = KIDNEY
+) -> DataFrame:
+    return df.select(*(keep or []), *scaled_columns(features, contract), contract.target)
 
 
 def fit_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -113,24 +113,26 @@ def scale(df: DataFrame, ranges: DataFrame, columns: list[str]) -> DataFrame:
     return ready.withColumns({c: scaled(c) for c in columns}).drop("_ranges")
 
 
-def ceil_binary(df: DataFrame) -> DataFrame:
-    present = [c for c in k.CEILED_COLUMNS if c in df.columns]
+def ceil_binary(df: DataFrame, contract: Contract = KIDNEY) -> DataFrame:
+    present = [r.name for r in contract.rules if r.ceiled and r.name in df.columns]
     return df.withColumns({c: F.ceil(c).cast("double") for c in present})
 
 
-def fit_scale(df: DataFrame, features: str, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def fit_scale(
+    df: DataFrame, features: str, keep: list[str] | None = None, contract: Contract = KIDNEY
+) -> tuple[DataFrame, DataFrame]:
     """Scaled frame and the fitted ranges."""
-    frame = project_features(df, features, keep)
-    ranges = fit_ranges(frame, scaled_columns(features))
-    return apply_scale(frame, ranges, features, keep), ranges
+    frame = project_features(df, features, keep, contract)
+    ranges = fit_ranges(frame, scaled_columns(features, contract))
+    return apply_scale(frame, ranges, features, keep, contract), ranges
 
 
 def apply_scale(
-    df: DataFrame, ranges: DataFrame, features: str, keep: list[str] | None = None
+    df: DataFrame, ranges: DataFrame, features: str, keep: list[str] | None = None, contract: Contract = KIDNEY
 ) -> DataFrame:
     """Scale new rows with fitted ranges."""
-    frame = scale(project_features(df, features, keep), ranges, scaled_columns(features))
-    return ceil_binary(frame) if features == "reduced" else frame
+    frame = scale(project_features(df, features, keep, contract), ranges, scaled_columns(features, contract))
+    return frame if features == "full" else ceil_binary(frame, contract)
 
 
 def save_ranges(ranges: DataFrame, path: str) -> None:

@@ -1,12 +1,14 @@
-"""Seeded order and exact quotas without a global sort.
+"""Seeded order, numbering and exact quotas without a single-task sort.
 
 Rows are ordered by the digest of their key. Its first four hex digits split them into
 65,536 buckets of near equal size whatever the data, so ranks need only bucket counts.
-Keys must be unique; the case contract checks that.
+Keys must be unique; the case contract checks that. Rows are numbered in two steps: sorted parts
+are written once, and a number is a row's place in its part behind the rows of the parts before.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,7 @@ from pyspark.sql.window import Window
 
 from abstain_eval.functions.joins import sized_side
 from abstain_eval.functions.numbers import draw_digest
+from abstain_eval.session import cut_lineage
 
 BUCKET_DIGITS = 4
 
@@ -24,21 +27,41 @@ def _with_digest(df: DataFrame, keys: Sequence[str], seed: int, stream: str) ->
     return digest.withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS))
 
 
+PLACE_BITS = 33  # of a row's running id, below those of its task
+
+
 def seeded_shuffle(
     df: DataFrame, keys: Sequence[str], seed: int, stream: str = "shuffle", index: str = "row_idx"
 ) -> DataFrame:
-    """Number all rows 0, 1, ... in seeded order."""
-    ordered = _with_digest(df, keys, seed, stream)
+    """Number all rows 0, 1, ... in seeded order; the input is read once."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = _with_digest(df, keys, seed, stream).repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_digest", *keys)
+    held = cut_lineage(ordered.withColumn("_id", F.monotonically_increasing_id()))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ordered.groupBy("_bucket").count().select(
-        "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy("_bucket").orderBy("_digest", *keys)
+    counts = held.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("_first"))
+    offsets = counts.select("_bucket", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     # At most 65,536 offset rows (a few MB), by construction of the bucket.
+    return held.join(F.broadcast(offsets), "_bucket").withColumn(index, F.col("_id") + F.col("_shift")).drop(
+        "_digest", "_bucket", "_id", "_shift"
+    )
+
+
+def numbered(df: DataFrame, by: Sequence[Column | str], index: str = "position") -> DataFrame:
+    """Number all rows 0, 1, ... in the order of some columns: ranges are sorted, and counts of those before added."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    held = cut_lineage(ordered.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", PLACE_BITS)
+    counts = sorted((r["part"], r["n"]) for r in held.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    shifts, so_far = [], 0
+    for number, n in counts:  # one for each range
+        shifts.append((number, so_far - (number << PLACE_BITS)))
+        so_far += n
+    small = spark.createDataFrame(shifts, "_range long, _shift long")
     return (
-        ordered.join(F.broadcast(offsets), "_bucket")
-        .withColumn(index, F.row_number().over(inside) - 1 + F.col("_offset"))
-        .drop("_digest", "_bucket", "_offset")
+        held.withColumn("_range", part).join(F.broadcast(small), "_range")
+        .withColumn(index, F.col("_id") + F.col("_shift")).drop("_range", "_id", "_shift")
     )
 
 
@@ -62,23 +85,40 @@ def dense_positions(
     )
 
 
+REST_BUCKETS = 65_536
+
+
 def split_quotas(counts: DataFrame, stratum: str, test_size: float) -> DataFrame:
-    """Rows to hold out per stratum: ceil(n * size) in all, train parts by largest remainder."""
+    """Rows to hold out per stratum: ceil(n * size) in all, train parts by largest remainder.
+
+    The strata that get one more are found by counting buckets of remainders; only the bucket in
+    which the spare rows end is ranked, over all tasks.
+    """
     whole = "decimal(38,0)"
-    everything = Window.partitionBy()
-    n = F.sum("n").over(everything)
-    sized = counts.withColumn("_all", n).withColumn(
-        "_train", F.col("_all") - F.ceil(F.col("_all") * test_size)
+    held = cut_lineage(counts.select(stratum, F.col("n").cast("bigint").alias("n")))
+    every = int(held.agg(F.sum("n")).first()[0] or 0)
+    if not every:
+        return held.select(stratum, "n", F.lit(0).cast("bigint").alias("quota"))
+    train = every - math.ceil(every * test_size)
+    share = F.col("n").cast(whole) * F.lit(train).cast(whole)
+    part = F.floor(share / F.lit(every).cast(whole)).cast("bigint")
+    parts = held.withColumn("_part", part).withColumn(
+        "_rest", (share - F.col("_part").cast(whole) * F.lit(every).cast(whole)).cast("bigint")
     )
-    share = F.col("n").cast(whole) * F.col("_train").cast(whole)
-    parts = sized.withColumn("_part", F.floor(share / F.col("_all")).cast("bigint"))
-    exact = parts.withColumn(
-        "_rest", share - F.col("_part").cast(whole) * F.col("_all").cast(whole)
+    bucketed = parts.withColumn("_bucket", F.floor(F.col("_rest") / F.lit(every) * REST_BUCKETS).cast("int"))
+    buckets = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("_part").alias("given")).collect()
+    spare = train - sum(r["given"] for r in buckets)
+    last = -1
+    for r in sorted(buckets, key=lambda r: -r["_bucket"]):  # at most REST_BUCKETS
+        last = r["_bucket"]
+        if r["n"] >= spare:
+            break
+        spare -= r["n"]
+    edge = numbered(bucketed.filter(F.col("_bucket") == last), [F.col("_rest").desc(), F.col(stratum)], "_place")
+    got = edge.withColumn("_more", (F.col("_place") < spare).cast("int")).drop("_place").unionByName(
+        bucketed.filter(F.col("_bucket") != last).withColumn("_more", (F.col("_bucket") > last).cast("int"))
     )
-    spare = F.col("_train") - F.sum("_part").over(everything)
-    rank = F.row_number().over(Window.orderBy(F.col("_rest").desc(), stratum))
-    train = F.col("_part") + F.when(rank <= spare, 1).otherwise(0)
-    return exact.select(stratum, "n", (F.col("n") - train).cast("bigint").alias("quota"))
+    return got.select(stratum, "n", (F.col("n") - F.col("_part") - F.col("_more")).cast("bigint").alias("quota"))
 
 
 def stratified_split(

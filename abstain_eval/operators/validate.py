@@ -1,4 +1,4 @@
-"""Checks and normalisation of a raw case table.
+"""Checks and normalisation of a raw case table, by the contract of its domain.
 
 All failures are collected in one table ``(check, column, detail, n, examples)`` with one row
 for each distinct finding, how many rows have it, and the first ids among them;
@@ -7,14 +7,14 @@ for each distinct finding, how many rows have it, and the first ids among them;
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from abstain_eval import contracts as k
 from abstain_eval.functions.text import blank_to_null, normalised
+from abstain_eval.schema import KIDNEY, Contract
 from abstain_eval.session import cut_lineage
 
 VIOLATION_SCHEMA = "`check` string, `column` string, detail string, n bigint, examples array<string>"
@@ -23,23 +23,23 @@ BAD_EXAMPLES = 3  # ids shown with a finding; every finding is counted
 SHOWN_FINDINGS = 20
 
 
-def contract_columns(sex_column: str | None = None) -> list[str]:
-    return k.RAW_COLUMNS + ([sex_column] if sex_column else [])
+def contract_columns(sex_column: str | None = None, contract: Contract = KIDNEY) -> list[str]:
+    return contract.columns + ([sex_column] if sex_column else [])
 
 
 def header_violations(
-    spark: SparkSession, names: Sequence[str], sex_column: str | None = None
+    spark: SparkSession, names: Sequence[str], sex_column: str | None = None, contract: Contract = KIDNEY
 ) -> DataFrame:
     """Repeated, missing and unexpected column names."""
-    names, expected = list(names), contract_columns(sex_column)
+    names, expected = list(names), contract_columns(sex_column, contract)
     rows = [("duplicate_column", c, None, names.count(c), []) for c in sorted({c for c in names if names.count(c) > 1})]
     rows += [("missing_column", c, None, 1, []) for c in sorted(set(expected) - set(names))]
     rows += [("unexpected_column", c, None, 1, []) for c in sorted(set(names) - set(expected))]
     return spark.createDataFrame(rows, VIOLATION_SCHEMA)
 
 
-def canonical_order(raw: DataFrame, sex_column: str | None = None) -> DataFrame:
-    return raw.select(*contract_columns(sex_column))
+def canonical_order(raw: DataFrame, sex_column: str | None = None, contract: Contract = KIDNEY) -> DataFrame:
+    return raw.select(*contract_columns(sex_column, contract))
 
 
 def blanks_to_null(df: DataFrame) -> DataFrame:
@@ -52,9 +52,9 @@ def normalise_text(df: DataFrame) -> DataFrame:
     return df.select(*[(normalised(c) if c in text else F.col(c)).alias(c) for c in df.columns])
 
 
-def normalised_cells(raw: DataFrame, sex_column: str | None = None) -> DataFrame:
+def normalised_cells(raw: DataFrame, sex_column: str | None = None, contract: Contract = KIDNEY) -> DataFrame:
     """Canonical order, trimmed lower-case text, blanks as null; each cell is trimmed once."""
-    ordered = raw.transform(canonical_order, sex_column).transform(normalise_text)
+    ordered = raw.transform(canonical_order, sex_column, contract).transform(normalise_text)
     return ordered.select(*[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ordered.columns])
 
 
@@ -73,26 +73,30 @@ def exact_id(c: str) -> Column:
     return F.when(cell.rlike(NUMBER_PATTERN), text)
 
 
-def coerce_numbers(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: number_of(c) for c in k.RAW_NUMERIC})
+def coerce_numbers(df: DataFrame, contract: Contract = KIDNEY) -> DataFrame:
+    return df.withColumns({c: number_of(c) for c in contract.numeric})
 
 
-def drop_shifted_values(df: DataFrame) -> DataFrame:
+def drop_shifted_values(df: DataFrame, contract: Contract = KIDNEY) -> DataFrame:
     """Values of the neighbouring column count as missing."""
-    return df.withColumns(
-        {c: F.when(~F.col(c).isin(values), F.col(c)) for c, values in k.SHIFTED_VALUES.items()}
-    )
+    shifted = {r.name: list(r.shifted) for r in contract.rules if r.shifted}
+    return df.withColumns({c: F.when(~F.col(c).isin(values), F.col(c)) for c, values in shifted.items()})
 
 
-def clean_cases(raw: DataFrame, sex_column: str | None = None) -> DataFrame:
+def clean_cases(raw: DataFrame, sex_column: str | None = None, contract: Contract = KIDNEY) -> DataFrame:
     """Canonical, normalised and typed case table."""
-    return raw.transform(normalised_cells, sex_column).transform(coerce_numbers).transform(drop_shifted_values)
+    cells = raw.transform(normalised_cells, sex_column, contract)
+    return cells.transform(coerce_numbers, contract).transform(drop_shifted_values, contract)
+
 
+Check = tuple[str, str, Column]
 
-def _bad_cells(cells: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
-    """Rows (check, column, detail, id) of the cells for which a check holds.
 
-    Each row opens only its bad cells, so the table is never unpivoted as a whole.
+def _bad_cells(cells: DataFrame, checks: list[Check], id_column: str) -> DataFrame:
+    """Rows (check, column, detail, row_id, at) of the cells for which a check holds.
+
+    Each row opens only its bad cells, so the table is never unpivoted as a whole. ``at`` is the
+    number of a row's id, if it has one.
     """
     found = F.array_compact(
         F.array(
@@ -109,78 +113,123 @@ def _bad_cells(cells: DataFrame, checks: list[tuple[str, str, Column]]) -> DataF
             ]
         )
     )
-    return cells.select(F.col(k.ID_COLUMN).alias("row_id"), F.explode(found).alias("f")).select(
-        "f.*", "row_id"
-    )
+    opened = cells.select(F.col(id_column).cast("string").alias("row_id"), F.explode(found).alias("f"))
+    return opened.select("f.*", "row_id", F.col("row_id").try_cast("decimal(38,10)").alias("at"))
 
 
-def _number_checks() -> list[tuple[str, str, Column]]:
+def _number_checks(contract: Contract = KIDNEY) -> list[Check]:
+    return [("non_numeric", c, F.col(c).isNotNull() & number_of(c).isNull()) for c in contract.numeric]
+
+
+def _value_checks(contract: Contract = KIDNEY) -> list[Check]:
     return [
-        ("non_numeric", c, F.col(c).isNotNull() & number_of(c).isNull()) for c in k.RAW_NUMERIC
+        ("unsupported_value", r.name, ~F.col(r.name).isin([value for value, _ in r.codes] + list(r.shifted)))
+        for r in contract.rules if r.codes
     ]
 
 
-def _value_checks() -> list[tuple[str, str, Column]]:
-    checks = []
-    for column, allowed in k.ALLOWED_VALUES.items():
-        accepted = allowed + k.SHIFTED_VALUES.get(column, [])
-        checks.append(("unsupported_value", column, ~F.col(column).isin(accepted)))
-    return checks
+FINDING = ["check", "column", "detail"]
+PARTIAL = (
+    "`check` string, `column` string, detail string, n bigint, "
+    "places array<struct<no: boolean, at: decimal(38,10), id: string, row_id: string>>"
+)
+HELD_FINDINGS = 100_000  # distinct findings that a task holds before it hands them on
+LANES = 64
+
+
+def _partial_findings(cells: DataFrame) -> DataFrame:
+    """Distinct findings of each task with their number and their first places."""
+    place = pa.struct([("no", pa.bool_()), ("at", pa.decimal128(38, 10)), ("id", pa.string()), ("row_id", pa.string())])
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(place)]
+
+    def batch_of(held: dict) -> pa.RecordBatch:
+        rows = [(*key, n, [dict(zip(("no", "at", "id", "row_id"), p[1:], strict=True)) for p in places]) for key, (n, places) in held.items()]
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=[*FINDING, "n", "places"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[int, list]] = {}
+        for batch in batches:
+            for *key, row_id, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, places = held.get(tuple(key), (0, []))
+                mine = ((at is None, at or 0, row_id or ""), at is None, at, row_id or "", row_id)
+                if len(places) < BAD_EXAMPLES or mine[0] < places[-1][0]:
+                    places = sorted([*places, mine], key=lambda p: p[0])[:BAD_EXAMPLES]
+                held[tuple(key)] = n + 1, places
+                if len(held) >= HELD_FINDINGS:
+                    yield batch_of(held)
+                    held = {}
+        if held:
+            yield batch_of(held)
+
+    return cells.select(*FINDING, "row_id", "at").mapInArrow(fold, PARTIAL)
 
 
 def _counted(cells: DataFrame) -> DataFrame:
-    """Distinct findings with their number of cells and their first ids, summed in each task first.
+    """Distinct findings with their number of cells and their first ids, in one pass over the cells.
 
-    Ids come in order of their number; the three least are kept by folding sorted arrays, so no
-    list grows with the table.
+    Every task folds its cells to counts and the three first ids of each finding; these are
+    merged in two steps, so that a finding that every task has meets in no long list.
     """
-    number = F.col("row_id").try_cast("decimal(38,10)")
-    place = F.struct(number.isNull().alias("no"), number.alias("at"), F.coalesce("row_id", F.lit("")).alias("id"))
-    keys = ["check", "column", "detail"]
-    order = Window.partitionBy(*keys).orderBy(place)
-    first = cells.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= BAD_EXAMPLES)
-    shown = first.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("place", "row_id"))), lambda e: e["row_id"]).alias("examples")
-    )
-    return cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(shown, keys).select(*keys, "n", "examples")
+
+    def merged(parts: DataFrame, *keys: str) -> DataFrame:
+        first = F.slice(F.sort_array(F.flatten(F.collect_list("places"))), 1, BAD_EXAMPLES)
+        return parts.groupBy(*FINDING, *keys).agg(F.sum("n").alias("n"), first.alias("places"))
+
+    lane = F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("lane")
+    once = merged(_partial_findings(cells).select("*", lane), "lane")
+    return merged(once).select(*FINDING, "n", F.transform("places", lambda p: p["row_id"]).alias("examples"))
 
 
-def cell_violations(cells: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
-    return _counted(_bad_cells(cells, checks))
+def cell_violations(cells: DataFrame, checks: list[Check], id_column: str = KIDNEY.id) -> DataFrame:
+    return _counted(_bad_cells(cells, checks, id_column))
 
 
-def number_violations(raw: DataFrame, sex_column: str | None = None) -> DataFrame:
+def number_violations(raw: DataFrame, sex_column: str | None = None, contract: Contract = KIDNEY) -> DataFrame:
     """Every distinct text that is no number, by column."""
-    return cell_violations(raw.transform(normalised_cells, sex_column), _number_checks())
+    return cell_violations(raw.transform(normalised_cells, sex_column, contract), _number_checks(contract), contract.id)
 
 
-def value_violations(raw: DataFrame, sex_column: str | None = None) -> DataFrame:
+def value_violations(raw: DataFrame, sex_column: str | None = None, contract: Contract = KIDNEY) -> DataFrame:
     """Every distinct value outside a column's allowed set."""
-    return cell_violations(raw.transform(normalised_cells, sex_column), _value_checks())
+    return cell_violations(raw.transform(normalised_cells, sex_column, contract), _value_checks(contract), contract.id)
 
 
-def identifier_violations(raw: DataFrame, sex_column: str | None = None) -> DataFrame:
-    """Missing ids (one row with their number) and every id that occurs more than once."""
-    ids = raw.transform(normalised_cells, sex_column).select(exact_id(k.ID_COLUMN).alias("id"))
-    counted = ids.groupBy("id").count()
-    missing = F.col("id").isNull()
-    return counted.filter(missing | (F.col("count") > 1)).select(
-        F.when(missing, F.lit("missing_id")).otherwise(F.lit("duplicate_id")).alias("check"),
-        F.lit(k.ID_COLUMN).alias("column"),
-        F.when(missing, F.col("count").cast("string")).otherwise(F.col("id")).alias("detail"),
-        F.col("count").alias("n"),
+def _target_counts(contract: Contract) -> list[Column]:
+    target = F.col(contract.target)
+    seen = [F.count_if(target == label).alias(f"n_{i}") for i, label in enumerate(contract.labels)]
+    return [F.count(F.lit(1)).alias("rows"), F.count_if(target.isNull()).alias("missing"), *seen]
+
+
+def _by_id(cells: DataFrame, contract: Contract) -> DataFrame:
+    """Rows, missing targets and labels of every missing or repeated id, and of all other ids together.
+
+    Two findings tables read it, so it is written; it has a row for each finding and one more.
+    """
+    by_id = cells.groupBy(exact_id(contract.id).alias("id")).agg(*_target_counts(contract))
+    counts = [c for c in by_id.columns if c != "id"]
+    check = F.when(F.col("id").isNull(), "missing_id").when(F.col("rows") > 1, "duplicate_id")
+    named = by_id.withColumn("check", check).withColumn("id", F.when(F.col("check").isNotNull(), F.col("id")))
+    return cut_lineage(named.groupBy("check", "id").agg(*[F.sum(c).alias(c) for c in counts]))
+
+
+def _id_findings(by_id: DataFrame, contract: Contract) -> DataFrame:
+    return by_id.filter("check is not null").select(
+        "check",
+        F.lit(contract.id).alias("column"),
+        F.coalesce("id", F.col("rows").cast("string")).alias("detail"),
+        F.col("rows").alias("n"),
         F.array().cast("array<string>").alias("examples"),
     )
 
 
-def target_violations(raw: DataFrame, sex_column: str | None = None) -> DataFrame:
-    """An empty table, missing targets and labels that never occur."""
-    target = F.col(k.TARGET_COLUMN)
-    seen = raw.transform(normalised_cells, sex_column).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(target.isNull()).alias("missing"),
-        *[F.count_if(target == label).alias(f"n_{label}") for label in k.LABEL_CLASSES],
-    )
+def identifier_violations(raw: DataFrame, sex_column: str | None = None, contract: Contract = KIDNEY) -> DataFrame:
+    """Missing ids (one row with their number) and every id that occurs more than once."""
+    return _id_findings(_by_id(raw.transform(normalised_cells, sex_column, contract), contract), contract)
+
+
+def _target_findings(seen: DataFrame, contract: Contract) -> DataFrame:
+    """Findings from one row of counts."""
 
     def finding(check: str, column: str | None, detail: Column, n: Column, when: Column) -> Column:
         return F.when(
@@ -196,27 +245,35 @@ def target_violations(raw: DataFrame, sex_column: str | None = None) -> DataFram
 
     findings = [
         finding("empty_table", None, F.lit(None), F.lit(0), F.col("rows") == 0),
-        finding("missing_target", k.TARGET_COLUMN, F.col("missing"), F.col("missing"), F.col("missing") > 0),
+        finding("missing_target", contract.target, F.col("missing"), F.col("missing"), F.col("missing") > 0),
     ]
     findings += [
-        finding("label_not_seen", k.TARGET_COLUMN, F.lit(label), F.lit(0), F.col(f"n_{label}") == 0)
-        for label in k.LABEL_CLASSES
+        finding("label_not_seen", contract.target, F.lit(label), F.lit(0), F.col(f"n_{i}") == 0)
+        for i, label in enumerate(contract.labels)
     ]
     return seen.select(F.explode(F.array_compact(F.array(*findings))).alias("f")).select("f.*")
 
 
+def target_violations(raw: DataFrame, sex_column: str | None = None, contract: Contract = KIDNEY) -> DataFrame:
+    """An empty table, missing targets and labels that never occur."""
+    return _target_findings(raw.transform(normalised_cells, sex_column, contract).agg(*_target_counts(contract)), contract)
+
+
 def violations(
-    raw: DataFrame, names: Sequence[str] | None = None, sex_column: str | None = None
+    raw: DataFrame, names: Sequence[str] | None = None, sex_column: str | None = None, contract: Contract = KIDNEY
 ) -> DataFrame:
-    """All findings on a raw table. Cell checks need the whole header."""
-    header = header_violations(raw.sparkSession, names or raw.columns, sex_column)
-    if set(contract_columns(sex_column)) - set(raw.columns):
+    """All findings on a raw table, from two scans: cells, and one count by id. Cell checks need the whole header."""
+    header = header_violations(raw.sparkSession, names or raw.columns, sex_column, contract)
+    if set(contract_columns(sex_column, contract)) - set(raw.columns):
         return header
-    cells = raw.transform(normalised_cells, sex_column)
+    cells = raw.transform(normalised_cells, sex_column, contract)
+    by_id = _by_id(cells, contract)
+    counts = [c for c in by_id.columns if c not in ("check", "id")]
+    seen = by_id.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
     return (
-        header.unionByName(cell_violations(cells, _number_checks() + _value_checks()))
-        .unionByName(identifier_violations(raw, sex_column))
-        .unionByName(target_violations(raw, sex_column))
+        header.unionByName(cell_violations(cells, _number_checks(contract) + _value_checks(contract), contract.id))
+        .unionByName(_id_findings(by_id, contract))
+        .unionByName(_target_findings(seen, contract))
     )
 
 

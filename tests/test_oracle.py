@@ -3,10 +3,10 @@
 import pytest
 from compare import connect, difference
 
-from abstain_eval.checks import cases, replies, scores
+from abstain_eval.checks import cases, domains, replies, scores
 
-QUERIES = {**scores.QUERIES, **replies.QUERIES, **cases.QUERIES}
-ORACLES = {**scores.ORACLES, **replies.ORACLES, **cases.ORACLES}
+QUERIES = {**scores.QUERIES, **replies.QUERIES, **cases.QUERIES, **domains.QUERIES}
+ORACLES = {**scores.ORACLES, **replies.ORACLES, **cases.ORACLES, **domains.ORACLES}
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +15,7 @@ def duck(small):
 
 
 def test_names_are_registered_once():
-    total = len(scores.QUERIES) + len(replies.QUERIES) + len(cases.QUERIES)
+    total = len(scores.QUERIES) + len(replies.QUERIES) + len(cases.QUERIES) + len(domains.QUERIES)
     assert len(QUERIES) == total
     assert set(ORACLES) <= set(QUERIES)
 
