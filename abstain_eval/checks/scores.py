@@ -12,7 +12,7 @@ from abstain_eval.operators import metrics as m
 from abstain_eval.operators import requests, runs
 from abstain_eval.operators.answers import total_tokens
 from abstain_eval.plans import derived as d
-from abstain_eval.session import fresh_path
+from abstain_eval.session import cut_lineage, fresh_path
 from abstain_eval.sources import documents
 
 QUERIES: dict[str, Query] = {}
@@ -616,26 +616,80 @@ def _documents(spark, sf):
     return e, m.score_runs(e), runs.execution_summary(e, table), table
 
 
-@register("metric_documents")
-def _(spark, sf):
-    _, scores, summary, _ = _documents(spark, sf)
-    return documents.metric_documents(scores, summary)
+def one_sided(spark: SparkSession, sf: str) -> documents.SavedRuns:
+    """Full documents written and read back: run_4 is not listed, run_2 and run_9 have no rows."""
+    every = with_prompts(spark, sf)
+    table = run_table(every).withColumn("suite", F.to_json(F.struct("task", "batch_size")))
+    extra = table.filter("run_id = 'run_2'").withColumn("run_id", F.lit("run_9"))
+    table = cut_lineage(table.filter("run_id <> 'run_4'").unionByName(extra))
+    e = every.filter("run_id <> 'run_2'")
+    pieces = documents.full_documents(m.score_runs(e), runs.execution_summary(e, table), table, e, runs.prompt_templates(e))
+    path = fresh_path(spark, "run-documents")
+    documents.write_documents(pieces, path)
+    return documents.read_full_documents(spark, path)
+
+
+_TOTAL = "case when input_tokens is null and output_tokens is null then null else coalesce(input_tokens, 0) + coalesce(output_tokens, 0) end"
+_PROMPT = """case when case_id % 5 = 0 then '[]' else '[{"role":"system","content":"prompt ' || case_id % 2 || '"}]' end"""
 
 
 @register(
     "full_run_documents",
-    f"""{EV} select run_id, case_id, prediction, confidence, abstained, ground_truth, ckd_stage from f""",
+    f"""{EV} select run_id, case_id, task, ckd_stage, ground_truth, prediction, abstained, confidence, should_abstain, null::varchar as raw_response,
+     {_PROMPT} as prompt, prompt_mode, input_tokens, output_tokens, {_TOTAL} as total_tokens from f where run_id <> 'run_2'""",
 )
 def _(spark, sf):
-    """Write every run's document and read its rows back."""
-    e, scores, summary, table = _documents(spark, sf)
-    pieces = documents.full_documents(scores, summary, table, e, runs.prompt_templates(e))
-    path = fresh_path(spark, "run-documents")
-    documents.write_documents(pieces, path)
-    rows = spark.read.text(path).filter("value like '%\"case_id\":%'")
-    fields = "case_id bigint, prediction string, confidence double, abstained boolean, ground_truth string, ckd_stage int"
-    text = F.regexp_replace("value", "^,", "")
-    return rows.select("run_id", F.from_json(text, fields).alias("r")).select("run_id", "r.*")
+    """All rows of all documents, as they come back."""
+    return one_sided(spark, sf).rows.withColumn("prompt", F.to_json("prompt"))
+
+
+@register(
+    "run_document_heads",
+    f"""{EV}, n as (select run_id, count(*) as n from f group by run_id), g as (select distinct run_id, model, task from f where run_id <> 'run_4'),
+     l as (select * from g union all select 'run_9', model, task from g where run_id = 'run_2')
+     select coalesce(l.run_id, n.run_id) as run_id, coalesce(l.model, '') as backend_name, case when l.task is null then '{{}}' else '{{"batch_size":8,"task":"' || l.task || '"}}' end as suite,
+      coalesce(n.n, 0) as n_evaluation_results from l full join (select * from n where run_id <> 'run_2') n on n.run_id = l.run_id""",
+)
+def _(spark, sf):
+    """Every run that is listed or has rows has a document."""
+    return one_sided(spark, sf).heads
+
+
+@register("run_document_scores", f"select * from ({_BUNDLE}) x where run_id <> 'run_2'")
+def _(spark, sf):
+    scores = one_sided(spark, sf).scores
+    return scores.select("run_id", "metric", r9("value").alias("value"), "n_evaluated", "n_abstained", "reason")
+
+
+@register(
+    "run_document_templates",
+    f"""{EV} select distinct run_id, case when prompt_mode = '' then 'unknown' else prompt_mode end as prompt_mode, {_PROMPT} as prompt
+     from f where case_id % 5 <> 0 and run_id <> 'run_2'""",
+)
+def _(spark, sf):
+    return one_sided(spark, sf).templates.withColumn("prompt", F.to_json("prompt"))
+
+
+@register(
+    "metric_documents",
+    f"""select coalesce(x.run_id, y.run_id) as run_id, metric, value, n_evaluated, n_abstained, reason, n_input_records, batch_size
+     from (select * from ({_BUNDLE}) b where run_id <> 'run_3') x
+     full join ({EV} select run_id, count(*) as n_input_records, 8 as batch_size from f where run_id <> 'run_0' group by run_id) y on x.run_id = y.run_id""",
+)
+def _(spark, sf):
+    """Metric documents written and read back; run_3 has no metrics and run_0 no execution."""
+    _, scores, summary, _ = _documents(spark, sf)
+    path = fresh_path(spark, "metric-documents")
+    saved = documents.metric_documents(scores.filter("run_id <> 'run_3'"), summary.filter("run_id <> 'run_0'"))
+    saved.select("run_id", "document").write.partitionBy("run_id").text(path)
+    read = spark.read.schema(documents.DOCUMENT + ", run_id string").json(path)
+    named = read.withColumns({"task": F.lit(None).cast("string"), "model": F.lit(None).cast("string"), "repeat": F.lit(1)})
+    rows = documents.document_scores(named).drop("task", "model", "repeat", "details", "breakdown")
+    execution = documents.document_execution(named).select("run_id", "n_input_records", "batch_size")
+    joined = execution.join(rows, "run_id", "left")
+    return joined.select(
+        "run_id", "metric", r9("value").alias("value"), "n_evaluated", "n_abstained", "reason", "n_input_records", "batch_size"
+    )
 
 
 @register("saved_run_scores", _BUNDLE)

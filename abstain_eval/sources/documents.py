@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abstain_eval.functions.joins import sized_side
 from abstain_eval.functions.numbers import finite_or_null
 from abstain_eval.functions.text import json_string
+from abstain_eval.operators.requests import MESSAGES
 from abstain_eval.operators.runs import metric_key
+from abstain_eval.session import cut_lineage
 
 SCORE = (
     "struct<name:string,value:double,breakdown:map<string,double>,n_evaluated:bigint,"
@@ -101,13 +105,11 @@ def _execution_json(summary: DataFrame) -> DataFrame:
 
 
 def metric_documents(scores: DataFrame, summary: DataFrame) -> DataFrame:
-    """Compact document per run with metrics and execution only."""
-    joined = _metrics_json(scores).join(_execution_json(summary), "run_id")
+    """Compact document per run with metrics and execution only; a run on one side has the other empty."""
+    joined = _metrics_json(scores).join(_execution_json(summary), "run_id", "full").filter("run_id is not null")
+    execution, metrics = (F.coalesce(c, F.lit("{}")) for c in ("execution_json", "metrics_json"))
     return joined.select(
-        "run_id",
-        F.concat(
-            F.lit('{"execution":'), F.col("execution_json"), F.lit(',"metrics":'), F.col("metrics_json"), F.lit("}")
-        ).alias("document"),
+        "run_id", F.concat(F.lit('{"execution":'), execution, F.lit(',"metrics":'), metrics, F.lit("}")).alias("document")
     )
 
 
@@ -121,13 +123,20 @@ ROW_FIELDS = [
 def _listed(df: DataFrame, section: int, position: str, text: Column) -> DataFrame:
     """Pieces of a JSON list: every entry but a run's first starts with a comma.
 
-    A run may hold most rows: its one-row side is broadcast when the runs are few.
+    Positions may repeat or be null (these come last), so the texts are written with an id of
+    their own, and the first entry is one id. A run may hold most rows: its one-row side is
+    broadcast when the runs are few.
     """
-    first = sized_side(df.groupBy("run_id").agg(F.min(position).alias("_first")))
-    comma = F.when(F.col(position) == F.col("_first"), F.lit("")).otherwise(F.lit(","))
-    return df.join(first, "run_id").select(
-        "run_id", F.lit(section).alias("section"), F.col(position).cast("bigint").alias("ord"),
-        F.concat(comma, text).alias("text"),
+    place = F.coalesce(F.col(position).cast("bigint") * 2 + 1, F.lit(2**62))
+    held = cut_lineage(
+        df.filter("run_id is not null")
+        .select("run_id", place.alias("ord"), text.alias("text"), F.monotonically_increasing_id().alias("_id"))
+    )
+    first = sized_side(held.groupBy("run_id").agg(F.min(F.struct("ord", "_id")).alias("_first")))
+    opens = (F.col("ord") == F.col("_first.ord")) & (F.col("_id") == F.col("_first._id"))
+    return held.join(first, "run_id").select(
+        "run_id", F.lit(section).alias("section"), F.when(opens, F.col("ord") - 1).otherwise(F.col("ord")).alias("ord"),
+        F.concat(F.when(opens, F.lit("")).otherwise(F.lit(",")), "text").alias("text"),
     )
 
 
@@ -142,21 +151,27 @@ def full_documents(
 
     A run can hold any number of rows, so its document is never put together in one task:
     the pieces of a run joined in (section, ord) order are one JSON document. ``runs`` has
-    run_id, model and suite (a JSON object as text); ``templates`` are the distinct prompts.
+    run_id, model and suite (a JSON object as text); ``templates`` are the distinct prompts. Every
+    run that any of these tables names has a document; what a table lacks of it is empty.
     """
+    if evaluations is None:
+        sizes = scores.groupBy("run_id").agg(F.max("n_evaluated").alias("_listed"))
+    else:
+        sizes = evaluations.groupBy("run_id").agg(F.count(F.lit(1)).alias("_listed"))
     joined = (
-        runs.select("run_id", "model", "suite").join(_metrics_json(scores), "run_id")
-        .join(_execution_json(summary), "run_id")
-        .join(summary.select("run_id", "n_input_records"), "run_id")
+        runs.select("run_id", "model", "suite").join(_metrics_json(scores), "run_id", "full")
+        .join(_execution_json(summary), "run_id", "full").join(sizes, "run_id", "full").filter("run_id is not null")
+        .fillna({"model": "", "suite": "{}", "metrics_json": "{}", "execution_json": "{}"}).fillna({"_listed": 0})
     )
     extras = F.col("execution_json")
     open_extras = F.concat(
-        F.substring(extras, F.lit(1), F.length(extras) - 1), F.lit(',"prompt_templates":[')
+        F.substring(extras, F.lit(1), F.length(extras) - 1),
+        F.when(extras == "{}", F.lit('"prompt_templates":[')).otherwise(F.lit(',"prompt_templates":[')),
     )
     with_rows, with_templates = evaluations is not None, templates is not None
     fixed = [
         (0, F.concat(
-            F.lit('{"backend_name":'), json_string(F.coalesce("model", F.lit(""))),
+            F.lit('{"backend_name":'), json_string(F.col("model")),
             F.lit(',"evaluation_results":[' if with_rows else ""),
         )),
         (2, F.concat(
@@ -164,7 +179,7 @@ def full_documents(
         )),
         (4, F.concat(
             F.lit("]}" if with_templates else ""), F.lit(',"metrics":'), F.col("metrics_json"),
-            F.lit(',"n_evaluation_results":'), F.col("n_input_records").cast("string"),
+            F.lit(',"n_evaluation_results":'), F.col("_listed").cast("string"),
             F.lit(',"suite":'), F.col("suite"), F.lit("}"),
         )),
     ]
@@ -195,6 +210,62 @@ def write_documents(pieces: DataFrame, path: str) -> None:
     ordered.select("run_id", "text").write.partitionBy("run_id").text(path)
 
 
+ROW = (
+    "case_id bigint, task string, ckd_stage int, ground_truth string, prediction string, abstained boolean, confidence double, "
+    f"should_abstain boolean, raw_response string, prompt {MESSAGES}, prompt_mode string, input_tokens double, "
+    "output_tokens double, total_tokens double"
+)
+EXTRAS, METRICS = r'^\]?,"extras":', r'^(\]\})?,"metrics":'
+OPEN_TEMPLATES = '"prompt_templates":['
+
+
+@dataclass
+class SavedRuns:
+    """Full documents as tables: heads (run_id, backend_name, suite, n_evaluation_results), rows, templates, scores, execution."""
+
+    heads: DataFrame
+    rows: DataFrame
+    templates: DataFrame
+    scores: DataFrame
+    execution: DataFrame
+
+
+def read_full_documents(spark: SparkSession, path: str) -> SavedRuns:
+    """Read what ``write_documents`` wrote.
+
+    A document is never read as a whole: each line is a piece, and how it begins says which
+    section it is of. So a document of any length is split over tasks like any text file.
+    """
+    lines = spark.read.schema("value string, run_id string").text(path)
+    value = F.col("value")
+    kind = (
+        F.when(value.startswith('{"backend_name":'), "head").when(value.rlike(EXTRAS), "extras").when(value.rlike(METRICS), "end")
+        .when(value.rlike(r'^,?\{"prompt_mode":'), "template").otherwise("row")
+    )
+    named = lines.withColumn("kind", kind)
+    entry = F.regexp_replace("value", "^,", "")
+
+    def part(of: str, text: Column, schema: str) -> DataFrame:
+        return named.filter(F.col("kind") == of).select("run_id", F.from_json(text, schema).alias("p"))
+
+    opened = F.concat(F.regexp_replace("value", r',"evaluation_results":\[$', ""), F.lit("}"))
+    heads = part("head", opened, "backend_name string").select("run_id", "p.*")
+    ended = F.concat(F.lit('{"metrics":'), F.regexp_replace("value", METRICS, ""))
+    ends = part("end", ended, f"metrics map<string,{SCORE}>, n_evaluation_results bigint, suite variant")
+    given = F.regexp_replace("value", EXTRAS, "")
+    extras = F.when(given.endswith(OPEN_TEMPLATES), F.concat(given, F.lit("]}"))).otherwise(given)
+    execution = part("extras", F.concat(F.lit('{"execution":'), extras, F.lit("}")), f"execution {EXECUTION}").select("run_id", "p.execution.*")
+    plain = ends.select("run_id", F.lit(None).cast("string").alias("task"), F.lit(None).cast("string").alias("model"), F.lit(1).alias("repeat"), "p.metrics")
+    facts = ends.select("run_id", F.to_json("p.suite").alias("suite"), "p.n_evaluation_results")
+    return SavedRuns(
+        heads.join(facts, "run_id", "full"),
+        part("row", entry, ROW).select("run_id", "p.*"),
+        part("template", entry, f"prompt_mode string, prompt {MESSAGES}").select("run_id", "p.*"),
+        document_scores(plain).drop("task", "model", "repeat"),
+        execution,
+    )
+
+
 def write_request_file(payloads: DataFrame, path: str) -> None:
     """JSON lines for an offline batch service: one request with its id per line."""
     custom_id = F.concat_ws("-", "run_id", F.col("batch_id").cast("string"))

@@ -86,3 +86,51 @@ def test_number_text_and_rounding(spark):
     assert [r[0] for r in df.select(number_text("v")).collect()] == [str(v) for v in values]
     half = spark.createDataFrame([(2.675,), (-2.675,), (None,)], "v double")
     assert [r[0] for r in half.select(round_half_up("v", 2)).collect()] == [2.68, -2.68, None]
+
+
+def joined(pieces, run):
+    rows = sorted(pieces.filter(F.col("run_id") == run).collect(), key=lambda r: (r.section, r.ord))
+    return json.loads("".join(r.text for r in rows))
+
+
+def test_rows_with_equal_or_null_places_make_one_list(spark, tables):
+    e, scores, summary, table = tables
+    odd = F.when(F.col("case_id") % 3 == 0, None).when(F.col("case_id") % 3 == 1, 5).otherwise(F.col("row_idx"))
+    for position in (odd, F.lit(7), F.lit(None).cast("bigint")):
+        pieces = documents.full_documents(scores, summary, table, e.withColumn("row_idx", position.cast("bigint")))
+        rows = joined(pieces, "run_0")["evaluation_results"]
+        assert len(rows) == 250 and len({r["case_id"] for r in rows}) == 250
+
+
+def test_every_named_run_has_a_document(spark, tables):
+    e, scores, summary, table = tables
+    some = e.filter("run_id <> 'run_1'")
+    pieces = documents.full_documents(
+        m.score_runs(some), runs.execution_summary(some, table).filter("run_id <> 'run_3'"), table.filter("run_id <> 'run_2'"), some,
+        runs.prompt_templates(some),
+    )
+    empty, unlisted, unsummed = (joined(pieces, r) for r in ("run_1", "run_2", "run_3"))
+    assert empty["evaluation_results"] == [] and empty["n_evaluation_results"] == 0 and empty["metrics"] == {}
+    assert unlisted["backend_name"] == "" and unlisted["suite"] == {} and len(unlisted["evaluation_results"]) == 250
+    assert set(unsummed["extras"]) == {"prompt_templates"} and unsummed["n_evaluation_results"] == 250
+    compact = documents.metric_documents(scores.filter("run_id <> 'run_1'"), summary.filter("run_id <> 'run_2'"))
+    found = {r.run_id: json.loads(r.document) for r in compact.collect()}
+    assert found["run_1"]["metrics"] == {} and found["run_2"]["execution"] == {} and len(found) == 6
+
+
+def test_documents_are_read_back_piece_by_piece(spark, tables):
+    e, scores, summary, table = tables
+    awkward = e.filter("run_id = 'run_0'").withColumn("raw_response", F.lit('a "quoted"\nline, ,{"prompt_mode": 1}'))
+    path = fresh_path(spark, "documents")
+    own = lambda df: df.filter("run_id = 'run_0'")
+    documents.write_documents(documents.full_documents(own(scores), own(summary), own(table), awkward, runs.prompt_templates(awkward)), path)
+    saved = documents.read_full_documents(spark, path)
+    assert saved.rows.count() == 250 and {r[0] for r in saved.rows.select("raw_response").collect()} == {'a "quoted"\nline, ,{"prompt_mode": 1}'}
+    head = saved.heads.first()
+    assert (head.run_id, head.n_evaluation_results, json.loads(head.suite)) == ("run_0", 250, {"task": "x"})
+    assert saved.scores.count() == len(m.METRICS) and saved.execution.first().n_input_records == 250
+    bare = fresh_path(spark, "documents")
+    documents.write_documents(documents.full_documents(own(scores), own(summary), own(table)), bare)
+    again = documents.read_full_documents(spark, bare)
+    assert again.rows.count() == again.templates.count() == 0 and again.heads.first().backend_name == head.backend_name
+    assert again.execution.first().batch_size == 8 and again.scores.count() == len(m.METRICS)
