@@ -16,7 +16,7 @@ from abstain_eval.operators import encode, impute, order, synthesize, validate
 from abstain_eval.plans import derived as d
 from abstain_eval.plans.domain import Domain
 from abstain_eval.plans.fitted import FittedPreparation
-from abstain_eval.plans.prepare import prepare
+from abstain_eval.plans.prepare import impute_frame, prepare
 from abstain_eval.session import cut_lineage, fresh_path
 from abstain_eval.sources.cases import header_names, read_cases
 
@@ -340,6 +340,20 @@ def _stacked(prefix: str) -> str:
     return " union all ".join(f"select id, {i} as place, cast({prefix}{c} as double) as v from m" for i, c in enumerate(IMPUTED))
 
 
+@register(
+    "imputed_frame",
+    f"with {FRAME} select id, {', '.join(IMPUTED)}, 0 as n_missing from fr",
+)
+def _(spark, sf):
+    """The frame before scaling, in the units of the raw table: known cells stay, and no cell is missing."""
+    held = frame(spark, sf)
+    _, done = impute_frame(held, k.PrepConfig(estimator="linear", rounds=2))
+    known = held.select("id", *[F.col(c).isNotNull().alias(f"has_{c}") for c in IMPUTED])
+    missing = reduce(lambda x, y: x + y, [F.col(c).isNull().cast("int") for c in IMPUTED])
+    both = done.join(known, "id").withColumn("n_missing", missing)
+    return both.select("id", *[F.when(F.col(f"has_{c}"), F.col(c)).alias(c) for c in IMPUTED], "n_missing")
+
+
 @register(
     "boosted_first_splits",
     f"""with {FRAME}, m as materialized (select id, {', '.join(IMPUTED)}, {', '.join(f'coalesce({c}, avg({c}) over ()) as f_{c}' for c in IMPUTED)} from fr),

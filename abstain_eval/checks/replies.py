@@ -507,6 +507,26 @@ def _(spark, sf):
     return a.classify_errors(errors, 3, 1.5, 5.0).select("k", "retryable", "will_retry", "next_delay")
 
 
+@register(
+    "call_times",
+    """with b as (select distinct 'run_' || cast((o_orderkey // 8) % 5 as varchar) as run_id, o_orderkey // 8 as batch_id from orders),
+     p as (select *, case when batch_id % 3 = 0 then 'one' else 'other' end as provider from b)
+     select run_id, batch_id, provider, greatest(100.0::double + (row_number() over (partition by provider order by batch_id, run_id) - 1) / 4.0::double,
+      case when batch_id % 7 = 0 then 130.0::double + batch_id % 5 else 0 end) as due_at from p""",
+)
+def _(spark, sf):
+    """Four calls a second and provider from second 100 on; repeats wait for their time."""
+    batch = F.floor(F.col("k") / 8).cast("bigint")
+    asked = orders(spark, sf).select(F.concat(F.lit("run_"), (batch % 5).cast("string")).alias("run_id"), batch.alias("batch_id")).distinct()
+    named = asked.withColumns(
+        {
+            "provider": F.when(F.col("batch_id") % 3 == 0, "one").otherwise("other"),
+            "not_before": F.when(F.col("batch_id") % 7 == 0, 130.0 + F.col("batch_id") % 5),
+        }
+    )
+    return r.call_times(named, 100.0, 4.0, "provider").select("run_id", "batch_id", "provider", "due_at")
+
+
 @register(
     "empty_answers",
     f"""with a as ({d.KEYS}) select k, 'empty_response' as reason, 'svc sent no text in its ' || case when k % 2 = 0 then 'batch answer. Raise max_tokens or use smaller batches' else 'answer. Raise max_tokens' end

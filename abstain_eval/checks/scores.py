@@ -582,9 +582,7 @@ _REPORT_METRICS = _BUNDLE.replace("select run_id, 'accuracy' as metric", ", sc a
 _LABEL_SQL = "case metric " + " ".join(f"when '{key}' then '{label}'" for key, label in sorted(k.METRIC_NAMES.items())) + " end"
 
 
-@register(
-    "report_metric_lines",
-    f"""{_REPORT_METRICS.replace('t as (', 't as (')} select run_id, cast(2 as int) as section, metric as ord,
+_METRIC_LINES = f"""{_REPORT_METRICS.replace('t as (', 't as (')} select run_id, cast(2 as int) as section, metric as ord,
     '  ' || {_LABEL_SQL} || ': ' || case when value is null then 'nan' else printf('%.4f', floor(value * 1e4 + 0.5) / 1e4) end
     || ' (n_evaluated=' || n_evaluated || ', n_abstained=' || n_abstained || ')' as line from sc
     union all select distinct run_id, 1, 'seed', '  seed: 42' from f union all select distinct run_id, 1, 'task', '  task: ' || task from f
@@ -592,22 +590,37 @@ _LABEL_SQL = "case metric " + " ".join(f"when '{key}' then '{label}'" for key, l
     union all select distinct run_id, 0, '3', 'Backend: ' || model from f
     union all select run_id, 4, '2', 'Total patient rows: ' || n from t
     union all select run_id, 4, '1', '' from t
-    union all select run_id, s.n, s.o, s.t from t, (values (1, '', ''), (1, ' 1', 'Suite'), (1, ' 2', '-----'), (2, '', ''), (2, ' 1', 'Metrics'), (2, ' 2', '-------')) s(n, o, t)""",
-)
-def _(spark, sf):
+    union all select run_id, s.n, s.o, s.t from t, (values (1, '', ''), (1, ' 1', 'Suite'), (1, ' 2', '-----'), (2, '', ''), (2, ' 1', 'Metrics'), (2, ' 2', '-------')) s(n, o, t)"""
+_EXECUTION = {
+    "input_tokens": "printf('%.4f', input_tokens)", "output_tokens": "printf('%.4f', output_tokens)", "token_total": "printf('%.4f', token_total)",
+    "elapsed_seconds": "printf('%.4f', elapsed_seconds)", "records_per_second": "printf('%.4f', n_input_records / nullif(elapsed_seconds, 0))",
+    "max_concurrency": "'4'", "batch_size": "'8'", "n_api_batches": "n_api_batches::varchar", "n_input_records": "n_input_records::varchar",
+    "n_prompts_captured": "n_prompts_captured::varchar", "prompt_templates_count": "prompt_templates_count::varchar", "prompt_modes": "prompt_modes",
+    "prompt_capture": f"'{k.PROMPT_CAPTURE}'", "prompt_data_policy": f"'{k.PROMPT_POLICY}'",
+    "prompt_templates": "prompt_templates_count || ' redacted template(s)'",
+}
+_EXECUTION_LINES = f"{_SUMMARY} " + " union all ".join(
+    [f"select run_id, 3 as section, '{o}' as ord, '{t}' as line from s" for o, t in (("", ""), (" 1", "Execution"), (" 2", "-" * 9))]
+    + [f"select run_id, 3, '{name}', '  {name}: ' || coalesce({text}, 'None') from s" for name, text in _EXECUTION.items()]
+)
+
+
+def _report(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole report; its metrics are rounded as the check rounds them."""
     e = with_prompts(spark, sf)
     table = run_table(e)
-    # The report rounds what the check rounds; execution lines have their own query.
     scores = rounded(m.score_runs(e), "value").withColumn("value", F.floor(F.col("value") * 1e4 + 0.5) / 1e4)
-    lines = runs.report_lines(scores, runs.execution_summary(e, table), _suite(e), table)
-    return lines.filter("section <> 3")
+    return runs.report_lines(scores, runs.execution_summary(e, table), _suite(e), table)
 
 
-@register("report_lines")
+@register("report_metric_lines", _METRIC_LINES)
 def _(spark, sf):
-    e = with_prompts(spark, sf)
-    table = run_table(e)
-    return runs.report_lines(m.score_runs(e), runs.execution_summary(e, table), _suite(e), table)
+    return _report(spark, sf).filter("section <> 3")
+
+
+@register("report_lines", f"select * from ({_METRIC_LINES}) a union all select * from ({_EXECUTION_LINES}) b")
+def _(spark, sf):
+    return _report(spark, sf)
 
 
 def _documents(spark, sf):

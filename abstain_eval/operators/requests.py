@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abstain_eval import contracts as k
 from abstain_eval.functions.numbers import number_text
+from abstain_eval.operators.order import dense_positions
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -265,11 +268,47 @@ ANSWER_SCHEMA = (
 CALL_SCHEMA = ANSWER_SCHEMA + ", status int, error_name string"
 
 
-def guarded(answer: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+@dataclass(frozen=True)
+class Pacing:
+    """When calls go out: no more than ``per_second`` in all, and repeats after a growing pause.
+
+    A repeat waits ``base_delay`` seconds, twice as long after each failure, ``max_delay`` at most.
+    ``clock`` and ``wait`` run on the driver and in the tasks.
+    """
+
+    per_second: float | None = None
+    base_delay: float = 1.0
+    max_delay: float = 30.0
+    clock: Callable[[], float] = time.time
+    wait: Callable[[float], None] = time.sleep
+
+    def __post_init__(self) -> None:
+        if self.per_second is not None and self.per_second <= 0:
+            raise ValueError("per_second must be positive")
+
+
+def call_times(requests: DataFrame, start: float, per_second: float | None = None, group: str | None = None) -> DataFrame:
+    """Add ``due_at``, the time in seconds at which each request may go out.
+
+    Requests of one ``group`` (a provider, say; all, if none is given) are spaced evenly from
+    ``start`` on in the order of their batches. A request with ``not_before`` isn't due before it.
+    Times are given out once for all tasks, so the rate holds whatever their number.
+    """
+    earliest = F.coalesce(F.col("not_before"), F.lit(0.0)) if "not_before" in requests.columns else F.lit(0.0)
+    if per_second is None:
+        return requests.withColumn("due_at", F.greatest(F.lit(float(start)), earliest))
+    grouped = requests.withColumn("_group", F.col(group) if group else F.lit(0))
+    placed = dense_positions(grouped, "_group", "batch_id", ["run_id"], index="_place")
+    spaced = F.lit(float(start)) + F.col("_place") / F.lit(float(per_second))
+    return placed.withColumn("due_at", F.greatest(spaced, earliest)).drop("_group", "_place")
+
+
+def guarded(answer: Callable[[Iterator], Iterator], pacing: Pacing | None = None) -> Callable[[Iterator], Iterator]:
     """``answer`` fed one request at a time; a call that raises becomes a row with its error.
 
     The function is started anew with the requests that follow, so one failing call costs
-    neither the answers before it nor those after it.
+    neither the answers before it nor those after it. With ``pacing`` a request is handed out
+    when it is due.
     """
 
     def run(frames: Iterator) -> Iterator:
@@ -282,6 +321,8 @@ def guarded(answer: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iter
         def hand_out():
             for row in rows:
                 open_rows[:] = [row]
+                if pacing and (pause := float(row["due_at"].iloc[0]) - pacing.clock()) > 0:
+                    pacing.wait(pause)
                 yield row
 
         while True:
@@ -305,15 +346,17 @@ def guarded(answer: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iter
 
 
 def answer_requests(
-    requests: DataFrame, answer: Callable[[Iterator], Iterator], max_concurrency: int = 8
+    requests: DataFrame, answer: Callable[[Iterator], Iterator], max_concurrency: int = 8, pacing: Pacing | None = None
 ) -> DataFrame:
     """Run a user's answering function over the request table, at most so many calls at a time.
 
     ``answer`` maps an iterator of pandas frames to frames with the columns of ANSWER_SCHEMA, and
     may add status and error_name. The number of partitions is set outright: prompts are small,
-    and adaptive execution would put all calls in one task.
+    and adaptive execution would put all calls in one task. With ``pacing`` requests have ``due_at``.
     """
     if max_concurrency < 1:
         raise ValueError("max_concurrency must be at least 1")
     spread = requests.repartition(max_concurrency, "run_id", "batch_id")
-    return spread.mapInPandas(guarded(answer), CALL_SCHEMA)
+    if pacing:
+        spread = spread.sortWithinPartitions("due_at")
+    return spread.mapInPandas(guarded(answer, pacing), CALL_SCHEMA)

@@ -61,21 +61,25 @@ def ask(
     max_retries: int,
     ledger: CallLedger | None = None,
     job: str = "",
+    pacing: requests.Pacing | None = None,
 ) -> DataFrame:
     """Every request of ``sent`` with its reply and ``outcome``: answered, no_reply, retry or call_failed.
 
-    What ``ledger`` has on record is not asked again.
+    What ``ledger`` has on record is not asked again. With ``pacing`` calls go out when they are
+    due, and ``next_delay`` says how long a repeat has to wait.
     """
+    delays = (pacing.base_delay, pacing.max_delay) if pacing else (0.0, 0.0)
 
     def call(some: DataFrame) -> DataFrame:
-        replies = cut_lineage(requests.answer_requests(some, answer, max_concurrency))
+        timed = requests.call_times(some, pacing.clock(), pacing.per_second) if pacing else some
+        replies = cut_lineage(requests.answer_requests(timed, answer, max_concurrency, pacing))
         _refuse_repeats(replies)
         return replies
 
     calls = ledger.calls(sent, call, job) if ledger else call(sent)
     calls = calls.drop("task", "mode").withColumn("_replied", F.lit(True))
     facts = sent.select("run_id", "batch_id", "task", "mode", "size", "round", "attempt")
-    judged = answers.classify_errors(facts.join(calls, ["run_id", "batch_id"], "left"), max_retries)
+    judged = answers.classify_errors(facts.join(calls, ["run_id", "batch_id"], "left"), max_retries, *delays)
     failed = F.col("error_name").isNotNull() | F.coalesce(F.col("status") >= 400, F.lit(False))
     outcome = (
         F.when(F.col("_replied").isNull(), "no_reply")
@@ -83,7 +87,7 @@ def ask(
         .when(failed, "call_failed")
         .otherwise("answered")
     )
-    return cut_lineage(judged.withColumn("outcome", outcome).drop("_replied", "retryable", "will_retry", "next_delay"))
+    return cut_lineage(judged.withColumn("outcome", outcome).drop("_replied", "retryable", "will_retry"))
 
 
 def run_rounds(
@@ -95,6 +99,7 @@ def run_rounds(
     max_retries: int = 2,
     ledger: CallLedger | None = None,
     pause_after: int | None = None,
+    pacing: requests.Pacing | None = None,
 ) -> Evaluated:
     """Ask, read, and ask rejected batches again in halves, down to single cases.
 
@@ -106,7 +111,7 @@ def run_rounds(
 
     With a ``ledger`` every call is on record once it is answered: a job that is started again
     with the same records and ledger asks only what is not. ``pause_after`` ends the job after so
-    many rounds.
+    many rounds. With ``pacing`` calls keep to a rate, and a repeated call waits for its time.
 
     Requests and replies of a round are written to the shared folder once: they feed several
     tables, and a lost executor must not ask a model twice. Rounds go on until nothing is open;
@@ -118,7 +123,7 @@ def run_rounds(
     batched = requests.assign_batches(placed_records.withColumn("row_idx", F.col("position")).drop("position"), batch_size)
     one_batch = Window.partitionBy("run_id", "batch_id")
     first = batched.withColumn("size", F.count(F.lit(1)).over(one_batch).cast("int"))
-    current = cut_lineage(first.withColumns({"round": F.lit(0), "mode": F.lit("batch"), "attempt": F.lit(0)}))
+    current = cut_lineage(first.withColumns({"round": F.lit(0), "mode": F.lit("batch"), "attempt": F.lit(0), "not_before": F.lit(0.0)}))
     rows, quarantined, asked = [], [refused], []
     while pause_after is None or len(asked) < pause_after:
         # At most two values.
@@ -127,8 +132,11 @@ def run_rounds(
             break
         sent = cut_lineage(plan_requests(current))
         asked.append(sent.select("run_id", "batch_id", "mode", "size", "round"))
-        replies = ask(sent, answer, max_concurrency, max_retries, ledger, job)
-        answered = replies.filter("outcome = 'answered'").drop("outcome", "status", "error_name", "attempt")
+        waits = current.select("run_id", "batch_id", "not_before").distinct()
+        timed = sent.join(waits, ["run_id", "batch_id"]) if pacing else sent
+        replies = ask(timed, answer, max_concurrency, max_retries, ledger, job, pacing)
+        failed_at = pacing.clock() if pacing else 0.0
+        answered = replies.filter("outcome = 'answered'").drop("outcome", "status", "error_name", "attempt", "next_delay")
         tokens = answers.with_usage(answered).drop("usage", "provider", "finish_reason")
         places = current.select("run_id", "batch_id", "slot", "case_id")
 
@@ -157,13 +165,15 @@ def run_rounds(
         rows.append(answers.attach_prompts(placed, sent).drop("batch_id", "slot"))
         plan = answers.next_round(
             current.select("run_id", "batch_id", "slot", "round", "mode", "case_id"), rejected
-        ).withColumn("attempt", F.lit(0))
-        repeated = replies.filter("outcome = 'retry'").select("run_id", "batch_id", (F.col("attempt") + 1).alias("attempt"))
-        same = current.drop("attempt").join(repeated, ["run_id", "batch_id"]).select(
+        ).withColumns({"attempt": F.lit(0), "not_before": F.lit(0.0)})
+        repeated = replies.filter("outcome = 'retry'").select(
+            "run_id", "batch_id", (F.col("attempt") + 1).alias("attempt"), (F.lit(failed_at) + F.col("next_delay")).alias("not_before")
+        )
+        same = current.drop("attempt", "not_before").join(repeated, ["run_id", "batch_id"]).select(
             "run_id", "case_id", (F.col("batch_id") * 2).alias("batch_id"), "slot", "size",
-            (F.col("round") + 1).cast("int").alias("round"), "mode", "attempt",
+            (F.col("round") + 1).cast("int").alias("round"), "mode", "attempt", "not_before",
         )
-        kept_facts = current.drop("batch_id", "slot", "size", "round", "mode", "attempt", "case_ref")
+        kept_facts = current.drop("batch_id", "slot", "size", "round", "mode", "attempt", "not_before", "case_ref")
         again = kept_facts.join(plan.unionByName(same), ["run_id", "case_id"])
         current = cut_lineage(
             again.withColumn("case_ref", F.concat(F.lit("case_"), F.col("slot").cast("string")))

@@ -291,3 +291,37 @@ def test_records_that_cannot_be_told_apart_are_refused(spark):
     assert none.evaluations.count() == none.requests.count() == 0 and none.quarantine.count() == 6
     with pytest.raises(ValueError, match="no records"):
         evaluate.run_rounds(held.limit(0), echo_model(9), 2)
+
+
+def stepping_clock(folder):
+    """A clock in a file: waiting moves it, and every wait is noted."""
+    import os
+
+    place = os.path.join(folder, "now")
+
+    def now():
+        with open(place) as f:
+            return float(f.read())
+
+    def wait(seconds):
+        later = now() + seconds
+        with open(place, "w") as f:
+            f.write(repr(later))
+        with open(os.path.join(folder, "waits"), "a") as f:
+            f.write(f"{seconds}\n")
+
+    with open(place, "w") as f:
+        f.write("1000.0")
+    return now, wait
+
+
+def test_calls_keep_to_their_times(spark, tmp_path):
+    now, wait = stepping_clock(str(tmp_path))
+    pacing = r.Pacing(per_second=2.0, base_delay=8.0, clock=now, wait=wait)
+    once = failing(echo_model(9), ConnectionError, lambda q: q.attempt == 0 and q.batch_id == 1)
+    done = evaluate.run_rounds(records(spark, 6), once, 2, max_concurrency=1, pacing=pacing)
+    assert done.evaluations.count() == 6
+    waits = [float(w) for w in (tmp_path / "waits").read_text().split()]
+    assert waits == [0.5, 0.5, 8.0]  # three batches, two a second, and the repeat
+    with pytest.raises(ValueError, match="positive"):
+        r.Pacing(per_second=0)
