@@ -167,7 +167,14 @@ def languages(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "p.lang_pred", "p.score")
 
 
-def in_known_language(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that have a language, with all their columns."""
+def in_known_language(docs: DataFrame, languages: list[str] | None = None, least_score: float = 0.0) -> DataFrame:
+    """The rows of `docs` in a language, with all their columns; a null `lang` takes what was found.
+
+    Texts without letters go, and those whose predicted language is not among `languages` (all, if
+    none are given) or scores below `least_score`.
+    """
     found = docs.select(F.struct("*").alias("row"), language_column(fit(docs), docs, F.col("text")).alias("p"))
-    return found.filter(F.col("p.lang_pred") != UNKNOWN).select("row.*")
+    kept = (F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least_score)
+    if languages is not None:
+        kept &= F.col("p.lang_pred").isin(languages)
+    return found.filter(kept).select(F.col("row").withField("lang", F.coalesce("row.lang", "p.lang_pred")).alias("row")).select("row.*")

@@ -110,16 +110,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def row_key(id_column: str, text_column: str) -> Column:
-    """Text that names a document: its id, or a digest of its text if it has none."""
-    digest = F.concat(F.lit("text "), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).cast("string"))
-    return F.coalesce(F.col(id_column).cast("string"), digest)
+    """Text that names a document: its id, if it has one, and a digest of its text."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    return F.concat_ws(" ", F.col(id_column).cast("string"), F.lit("text"), F.xxhash64(text), F.xxhash64(F.lit(1), text))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each row's doc_id, key, fingerprint (long), component_id (the least id reachable) and kept_key.
 
-    kept_key is the key of the document that stays of the component: the one with the least id,
-    or the one with the least key if none has an id.
+    kept_key is the key of the document that stays of the component: of those with the least id,
+    or of all if none has an id, the one with the least key.
     """
     marked = cut_lineage(
         docs.select(
@@ -127,19 +127,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             simhash_column(F.col(text_column)).alias("f"),
         )
     )
-    classes = cut_lineage(marked.groupBy("f").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("least_key")))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
+    classes = cut_lineage(marked.groupBy("f").agg(F.min(place).alias("least")))
     roots = components(close_pairs(classes.select("f")))
     rooted = classes.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("least_key").alias("least_key"))
-    kept_key = F.coalesce(F.col("component_id").cast("string"), "least_key")
-    found = rooted.select("f", "root").join(least, "root").select("f", "component_id", kept_key.alias("kept_key"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    found = rooted.select("f", "root").join(least, "root").select(
+        "f", F.col("least.id").alias("component_id"), F.col("least.key").alias("kept_key")
+    )
     return marked.join(found, "f").select("doc_id", "key", F.col("f").alias("fingerprint"), "component_id", "kept_key")
 
 
 def first_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of `docs` that stay: one of each component, as `near_duplicates` chooses it.
 
-    Rows with equal ids are one document; of these the row with the least text stays.
+    Rows with equal ids and different texts are different documents; rows equal in both are one,
+    and one of them stays.
     """
     found = near_duplicates(docs, id_column, text_column)
     keep = found.filter(F.col("key") == F.col("kept_key")).select("key").distinct()

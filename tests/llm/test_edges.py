@@ -79,3 +79,19 @@ def test_language_of_nothing_is_unknown(spark):
     found = {r["doc_id"]: r for r in language.languages(odd.documents(spark)).filter(F.col("doc_id").isNotNull()).collect()}
     for i in (4, 5, 6, 10):
         assert found[i]["lang_pred"] == "und" and found[i]["score"] == 0
+
+
+def test_near_dedup_tells_texts_of_one_id_apart(spark):
+    docs = spark.createDataFrame([(0, odd.PLAIN), (1, odd.PLAIN), (1, "Quite another text about nothing else at all."), (1, odd.PLAIN)], "doc_id long, text string")
+    kept = sorted(tuple(r) for r in simhash.first_of_each(docs).collect())
+    assert kept == [(0, odd.PLAIN), (1, "Quite another text about nothing else at all.")]
+
+
+def test_language_stage_fills_in_what_it_finds(spark):
+    texts = {"en": "the river runs to the sea and the road follows it", "de": "der Fluss fliesst zum Meer und die Strasse folgt ihm"}
+    rows = [(i, texts[lang], lang if i < 40 else None) for i in range(44) for lang in texts]
+    docs = spark.createDataFrame([*rows, (99, "12 34", None)], "doc_id long, text string, lang string")
+    kept = language.in_known_language(docs).collect()
+    assert len(kept) == 88 and all(r["text"] == texts[r["lang"]] for r in kept)
+    assert {r["lang"] for r in language.in_known_language(docs, ["de"]).collect()} == {"de"}
+    assert language.in_known_language(docs, least_score=1.1).collect() == []
