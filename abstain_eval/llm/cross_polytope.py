@@ -5,8 +5,11 @@ to the signed axis nearest to it. Each of `TABLES` tables has its own signs. All
 indexed in every table under their nearest axis; a query looks up the `PROBES` axes nearest to
 it in each. What shares a cell is compared exactly, in double precision, on original vectors.
 
-Equal vectors are indexed once, with the few least ids that can be among the nearest; ties go
-to lesser ids, so no other copy can matter. Cells are cut into blocks of about `BLOCK` vectors
+Vectors are divided by their largest component, so that multiples of a vector are equal; equal ones
+are indexed once, with the few least ids that can be among the nearest. Ties go to lesser ids,
+so no other copy can matter. Products of a block only choose candidates, with a margin for their
+rounding; scores are computed for each pair alike. A query that meets fewer vectors than it is
+to find is compared with all blocks of the index. Cells are cut into blocks of about `BLOCK` vectors
 and `BLOCK` queries by digests of the vectors, so a crowded cell is many small tasks and every
 pair in it is still compared. Measured recall is in the README.
 
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,35 +116,77 @@ CELL = ["width", "table", "axis"]
 
 
 def cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Cosine of each pair of rows, summed alike wherever a pair stands."""
-    scale_l = np.abs(left).max(1, keepdims=True)
-    scale_r = np.abs(right).max(1, keepdims=True)
-    left, right = left / scale_l, right / scale_r
-    dot = (left * right).sum(1)
-    return dot / (np.sqrt((left * left).sum(1)) * np.sqrt((right * right).sum(1)))
+    """Cosine of each pair of rows, summed alike wherever a pair stands; the largest component of a row is 1 or -1."""
+    out = np.empty(len(left))
+    for a in range(0, len(left), 65_536):
+        x, y = left[a : a + 65_536], right[a : a + 65_536]
+        out[a : a + 65_536] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+    return np.clip(out, -1.0, 1.0)
+
+
+FOUND = "id long, code long, ids array<long>, score double"
+MARGIN = 1e-9  # far beyond the rounding of a product of unit vectors
 
 
 def nearest_in_block(nearest: int):
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64())
+
     def compare(queries: pa.Table, index: pa.Table) -> pa.Table:
+        names = [c.split()[0] for c in FOUND.split(", ")]
         if not queries.num_rows or not index.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "code": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
+            return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
         q, x = (np.array(t["x"].combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (queries, index))
-        unit = x / np.abs(x).max(1, keepdims=True)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        ids = index["ids"].combine_chunks()
+        least = pc.list_element(ids, 0).to_numpy()
         keep = min(nearest + 1, len(x))
-        rows, best = [], []
+        rows, best, scores = [], [], []
         for a in range(0, len(q), 512):
-            part = q[a : a + 512] / np.abs(q[a : a + 512]).max(1, keepdims=True)
-            near = np.argpartition(-(part @ unit.T), keep - 1, axis=1)[:, :keep]
-            rows.append(np.repeat(np.arange(a, a + len(part)), keep))
-            best.append(near.ravel())
-        row, at = np.concatenate(rows), np.concatenate(best)
-        ids = queries["id"].take(pa.array(row))
-        return pa.table({"id": ids, "code": index["code"].take(pa.array(at)), "ids": index["ids"].take(pa.array(at)), "score": cosines(q[row], x[at])})
+            part = q[a : a + 512]
+            products = (part / np.linalg.norm(part, axis=1, keepdims=True)) @ unit.T
+            last = np.partition(products, len(x) - keep, axis=1)[:, len(x) - keep, None]
+            row, at = np.nonzero(products >= last - MARGIN)
+            score = cosines(part[row], x[at])
+            order = np.lexsort((least[at], -score, row))
+            row, at, score = row[order], at[order], score[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            first = rank < keep
+            rows.append(row[first] + a)
+            best.append(at[first])
+            scores.append(score[first])
+        row, at = np.concatenate(rows), pa.array(np.concatenate(best))
+        return pa.table({"id": queries["id"].take(pa.array(row)), "code": index["code"].take(at), "ids": ids.take(at).cast(kinds[2]), "score": np.concatenate(scores)})
 
     return compare
 
 
+def scores_by_id(found: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score) without a query's own id."""
+    pairs = found.groupBy("id", "code", "ids").agg(F.max("score").alias("score"))
+    pairs = pairs.select(F.col("id").alias("query_id"), F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
+    return pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
+def short_queries(asked: DataFrame, once: DataFrame, distinct: DataFrame, nearest: int) -> DataFrame:
+    """Queries (id, x, width) that have found fewer vectors than there are to find."""
+    there = distinct.groupBy(F.size("x").alias("width")).agg(F.sum(F.size("ids")).alias("n_there"))
+    found = once.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n_found"))
+    sized = asked.select("id", "x", F.size("x").alias("width")).join(found, "id", "left").join(there, "width")
+    few = F.coalesce("n_found", F.lit(0)) < F.least(F.lit(nearest), F.col("n_there") - 1)
+    return sized.filter(few).select("id", "x", "width")
+
+
+def against_all(short: DataFrame, distinct: DataFrame, nearest: int) -> DataFrame:
+    """Every given query against the whole index, block by block."""
+    query_blocks, blocks = (max(1, -(-df.count() // BLOCK)) for df in (short, distinct))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = distinct.select("code", "x", "ids", F.size("x").alias("width"), F.pmod(F.xxhash64("code", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    right = short.withColumn("query_block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(query_blocks)).cast("int"))
+    key = ["width", "block", "query_block"]
+    left, right = left.withColumn("query_block", every(query_blocks)), right.withColumn("block", every(blocks))
+    return right.groupBy(key).cogroup(left.groupBy(key)).applyInArrow(nearest_in_block(nearest), FOUND)
+
+
 def nearest_neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, nearest: int = NEAREST, tables_probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score of the nearest rows found, for ids divisible by `query_step`.
 
@@ -148,6 +194,8 @@ def nearest_neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, nearest
     """
     x = F.transform(F.col("embedding"), lambda v: v.cast("double"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), x.alias("x")).filter(F.col("id").isNotNull() & usable(F.col("x")))
+    largest = F.array_max(F.transform("x", F.abs))
+    rows = rows.withColumn("largest", largest).select("id", F.transform("x", lambda v: v / F.col("largest") + F.lit(0.0)).alias("x"))
     distinct = cut_lineage(classes(rows, nearest))
     index = celled(distinct, 1)
     asked = rows.filter(F.col("id") % query_step == 0).select("id", "x").dropDuplicates()
@@ -169,10 +217,10 @@ def nearest_neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, nearest
         probes.join(crowds, CELL).withColumn("query_block", own)
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("ids")[0].alias("id"), "x", *key)
     )
-    schema = "id long, code long, ids array<long>, score double"
-    found = right.groupBy(key).cogroup(left.groupBy(key)).applyInArrow(nearest_in_block(nearest), schema)
-    pairs = found.groupBy("id", "code", "ids").agg(F.max("score").alias("score"))
-    pairs = pairs.select(F.col("id").alias("query_id"), F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
+    found = right.groupBy(key).cogroup(left.groupBy(key)).applyInArrow(nearest_in_block(nearest), FOUND)
+    once = written(scores_by_id(found), "found")
+    short = written(short_queries(asked, once, distinct, nearest), "short")
+    if short.take(1):
+        once = once.unionByName(scores_by_id(against_all(short, distinct, nearest))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
