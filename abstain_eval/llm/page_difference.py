@@ -2,9 +2,11 @@
 
 A page is cut into lines, one for each block of text. Lines inside elements that never hold
 main text (menus, headers, footers, sidebars, forms, notices, adverts, comments of readers) go
-at once, by the element's name, role, class or id. Words in a class or id frame nothing that
-holds an article or main element, nor anything inside an article. Of the rest, lines inside an article or main
-element stay. All others are compared: within a host pages are ordered by the path of their
+at once, by the element's name, role, class or id, or since they are hidden. Words in a class or
+id frame nothing that holds an article or main element. Inside an article only a class or id that
+is such a word as a whole frames, and only if the element holds neither a headline nor half of
+the page's marked text. An article that is marked as a comment or an advert is no main element
+but a frame. Of the rest, lines inside an article or main element stay. All others are compared: within a host pages are ordered by the path of their
 address, each is paired with the neighbour whose path has the longer common beginning (the one
 before on a tie), their lines are aligned by a longest common subsequence, and shared lines are
 deleted as the site's frame. A page that would lose all its lines keeps them: a copy of a whole
@@ -58,68 +60,136 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S
 )
 RAW_END = {name: re.compile(rf"</{name}\s*>|$", re.I) for name in RAW}
-ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 MAIN_TAG = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+INVISIBLE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+#: Whole classes or ids that frame inside an article, and those that make an article itself a frame.
+COMMENTS = set("comment comments comment-list commentlist comment-body comments-area reply replies disqus disqus_thread respond".split())
+ADVERTS = set("ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsored-content promo promotion".split())
+ASIDES = set(
+    "banner cookie cookies cookie-notice cookie-banner consent popup modal newsletter newsletter-signup subscribe signup login menu nav navbar navigation "
+    "breadcrumb breadcrumbs sidebar share sharing share-buttons social social-share related related-posts related-articles recommended pagination pager toolbar search".split()
+)
 #: Elements that a start tag of the same kind closes.
 SELF_CLOSING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
 
-def is_frame(name: str, attributes: str, inside: str = "", holds_main: bool = False) -> bool:
-    """Whether an element frames; `inside`: "article" or "main" if it stands in one, `holds_main`: if one stands in it."""
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes by lower-case name; one without a value is empty, and the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def labels_of(attributes: dict[str, str]) -> set[str]:
+    """The classes and the id of an element, whole and in lower case."""
+    return {*attributes.get("class", "").lower().split(), attributes.get("id", "").strip().lower()}
+
+
+def is_main(name: str, attributes: str) -> bool:
+    """An article or main element, unless it is marked as a reader's comment or an advert."""
+    if name not in MAIN:
+        return False
+    return not attributes or labels_of(attributes_of(attributes)).isdisjoint(COMMENTS | ADVERTS)
+
+
+def is_frame(name: str, attributes: str, inside: str = "", holds_main: bool = False, holds_text: bool = False) -> bool:
+    """Whether an element frames.
+
+    `inside`: "article" or "main" if it stands in one; `holds_main`: if one stands in it;
+    `holds_text`: if it holds a headline or half of the page's marked text.
+    """
     if name in FRAME and not (name == "header" and inside) and not (name == "form" and holds_main):
         return True
-    if not attributes or attributes.isspace() or name in ("body", "html", "article", "main"):
+    if not attributes or attributes.isspace() or name in ("body", "html"):
         return False
-    if HIDDEN.search(attributes):
+    found = attributes_of(attributes)
+    if "hidden" in found or INVISIBLE.search(found.get("style", "")):
         return True
-    for found in ATTRIBUTE.finditer(attributes):
-        key, value = found[1].lower(), found[2] or found[3] or found[4] or ""
-        if key == "role" and value.strip().lower() in FRAME_ROLES:
-            return True
-        if key in ("class", "id") and not holds_main and inside != "article":
-            if FRAME_WORDS.search(HEADER_WORDS.sub("", value) if inside else value):
-                return True
-    return False
-
-
-def holders(source: str) -> set[int]:
-    """Where the start tags of the elements end that hold an article or main element."""
-    out: set[int] = set()
-    open_elements: list[tuple[str, bool, bool, int]] = []  # name, no frame, main, place
-    at = 0
-    while found := TOKEN.search(source, at):
-        at = found.end()
-        if found[2] is None:
-            continue
-        name = found[2].lower()
-        if found[1]:
-            if any(e[0] == name for e in open_elements):
-                while open_elements.pop()[0] != name:
-                    pass
-            continue
-        if name in RAW_END and not found[3].rstrip().endswith("/"):
-            at = RAW_END[name].search(source, at).end()
-            continue
-        if name in VOID:
-            continue
-        if name in SELF_CLOSING:
-            _close_same(open_elements, name)
-        if name in MAIN:
-            out.update(e[3] for e in open_elements)
-        open_elements.append((name, False, name in MAIN, at))
-    return out
+    if name in MAIN:
+        return not is_main(name, attributes)
+    if found.get("role", "").strip().lower() in FRAME_ROLES:
+        return True
+    if holds_main:
+        return False
+    if inside == "article":
+        return not holds_text and not labels_of(found).isdisjoint(COMMENTS | ADVERTS | ASIDES)
+    values = [HEADER_WORDS.sub("", v) if inside else v for v in (found.get("class", ""), found.get("id", ""))]
+    return any(FRAME_WORDS.search(v) for v in values)
+
+
+class Holdings:
+    """By the end of its start tag, what each element of a page holds; found in one pass over the page."""
+
+    def __init__(self, source: str):
+        self.main: set[int] = set()
+        self.headline: set[int] = set()
+        self.text: dict[int, int] = {}  # characters of marked text
+        self.marked = 0
+        open_elements: list[tuple[str, bool, bool, int, int]] = []  # name, no frame, main, place, marked text before it
+        names: dict[str, int] = {}
+        mains = at = 0
+
+        def leave() -> str:
+            nonlocal mains
+            name, _, main, place, before = open_elements.pop()
+            self.text[place] = self.marked - before
+            mains -= main
+            names[name] -= 1
+            return name
+
+        while found := TOKEN.search(source, at):
+            if mains:
+                self.marked += found.start() - at
+            at = found.end()
+            if found[2] is None:
+                continue
+            name = found[2].lower()
+            if found[1]:
+                if names.get(name):
+                    while leave() != name:
+                        pass
+                continue
+            if name in RAW_END and not found[3].rstrip().endswith("/"):
+                at = RAW_END[name].search(source, at).end()
+                continue
+            if name in VOID:
+                continue
+            if name in SELF_CLOSING and (gone := _same_open(open_elements, name)) is not None:
+                _, _, _, place, before = open_elements.pop(gone)
+                self.text[place] = self.marked - before
+                names[name] -= 1
+            main = is_main(name, found[3])
+            # What holds a holder is known already.
+            for holders, holds in ((self.main, main), (self.headline, name == "h1")):
+                if holds:
+                    for element in reversed(open_elements):
+                        if element[3] in holders:
+                            break
+                        holders.add(element[3])
+            open_elements.append((name, False, main, at, self.marked))
+            names[name] = names.get(name, 0) + 1
+            mains += main
+        while open_elements:
+            leave()
+
+    def substance(self, place: int) -> bool:
+        """Whether an element holds a headline or half of the marked text."""
+        return place in self.headline or 2 * self.text.get(place, 0) >= max(self.marked, 1)
 
 
 def lines(page: str | None) -> list[tuple[str, bool]]:
     """(text, whether it stands in a marked article) of the page's blocks outside frames."""
     out: list[tuple[str, bool]] = []
     open_elements: list[tuple[str, bool, bool]] = []  # name, frame, main
+    names: dict[str, int] = {}
     frames = mains = articles = 0
-    holding: set[int] | None = None  # found when the first element that may frame comes before an article
+    holdings: Holdings | None = None  # found when the first element that may frame comes before or in an article
     buffer: list[str] = []
     source = page or ""
+    last_main = max((found.start() for found in MAIN_TAG.finditer(source)), default=-1)
 
     def close_block() -> None:
         if buffer:
@@ -142,14 +212,15 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
             continue
         name = found[2].lower()
         if found[1]:
-            if any(e[0] == name for e in open_elements):
+            if names.get(name):
                 if name not in INLINE:
                     close_block()
                 while open_elements:
                     other, frame, main = open_elements.pop()
+                    names[other] -= 1
                     frames -= frame
                     mains -= main
-                    articles -= other == "article"
+                    articles -= main and other == "article"
                     if other == name:
                         break
             continue
@@ -162,32 +233,34 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
             continue
         if name in VOID:
             continue
-        if name in SELF_CLOSING:
-            _close_same(open_elements, name)
-        frame, main = is_frame(name, found[3], "article" if articles else "main" if mains else ""), name in MAIN
-        if frame and MAIN_TAG.search(source, at):
-            holding = holders(source) if holding is None else holding
-            if at in holding:
-                frame = is_frame(name, found[3], "article" if articles else "main" if mains else "", True)
+        if name in SELF_CLOSING and (gone := _same_open(open_elements, name)) is not None:
+            del open_elements[gone]
+            names[name] -= 1
+        main, inside = is_main(name, found[3]), "article" if articles else "main" if mains else ""
+        frame = is_frame(name, found[3], inside)
+        if frame and (at <= last_main or articles):
+            holdings = holdings or Holdings(source)
+            frame = is_frame(name, found[3], inside, at in holdings.main, holdings.substance(at))
         open_elements.append((name, frame, main))
+        names[name] = names.get(name, 0) + 1
         frames += frame
         mains += main
-        articles += name == "article"
+        articles += main and name == "article"
     close_block()
     return out
 
 
-def _close_same(open_elements: list[tuple], name: str) -> None:
-    """Drop an open element of that kind if only inline elements stand inside it. Neither is a frame or an article."""
+def _same_open(open_elements: list[tuple], name: str) -> int | None:
+    """Place of an open element of that kind if only inline elements stand inside it. Neither is a frame or main."""
     for i in range(len(open_elements) - 1, -1, -1):
         other, frame, main = open_elements[i][:3]
         if frame or main:
-            return
+            return None
         if other == name:
-            del open_elements[i]
-            return
+            return i
         if other not in INLINE:
-            return
+            return None
+    return None
 
 
 def shared_lines(own: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -323,7 +396,7 @@ def frame_lines(parsed: DataFrame) -> DataFrame:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    parsed = page_lines(pages)
+    parsed = written(page_lines(pages), "lines")  # pages are parsed once
     frames = written(frame_lines(parsed), "frame-lines")
     joined = parsed.join(frames, "code", "left")
     kept = F.filter("texts", lambda t, i: ~F.coalesce(F.get("dropped", i), F.lit(False)))

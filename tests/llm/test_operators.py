@@ -474,10 +474,43 @@ def test_names_of_wrappers_lose_no_article(wrapper, marked):
     assert page_difference.lines(page) == [("Title", True), ("Text", True)]
 
 
-def test_names_inside_articles_frame_nothing():
-    page = "<article><div class='related'>A</div><p class='tags'>B <span class='share'>C</span> <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><nav>N</nav></article><div class='tags'>T</div>"
-    assert page_difference.lines(page) == [("A", True), ("B C x=1", True)]
+def texts(page):
+    return [t for t, _ in page_difference.lines(page)]
+
+
+def test_whole_names_frame_inside_articles():
+    page = "<article><p class='tags'>B <span class='shared'>C</span> <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><nav>N</nav></article><div class='tags'>T</div>"
+    assert page_difference.lines(page) == [("B C x=1", True)]
     assert page_difference.lines("<main><div id='comments'>R</div><p>P</p></main>") == [("P", True)]
+    assert texts("<article><p>Main.</p><div class='advert'>Buy now</div><div id='comments'>First!</div><p class='post-comment-rules'>Last.</p></article>") == ["Main.", "Last."]
+    # Not if they hold the headline or most of the text.
+    assert texts("<article><div class='related'><h1>Title</h1></div><p>Text that goes on.</p></article>") == ["Title", "Text that goes on."]
+    assert texts("<article><h1>T</h1><div class='promo'>Nearly all of the text stands here.</div><p>End.</p></article>") == ["T", "Nearly all of the text stands here.", "End."]
+
+
+def test_articles_of_readers_are_comments():
+    page = "<article><h1>T</h1><p>Text.</p></article><section class='comments'><article class='comment'><p>Me too.</p></article></section><article class='reply'>So?</article>"
+    assert texts(page) == ["T", "Text."]
+    assert texts("<main><p>Text.</p><article class='comment'>No!</article></main>") == ["Text."]
+
+
+def test_only_hidden_elements_are_hidden():
+    assert texts("<article><p title='a hidden gem'>A</p><p class='md hidden lg'>B</p><p><span aria-hidden='true'>*</span>C</p><p data-x=hidden>D</p></article>") == ["A", "B", "*C", "D"]
+    assert texts("<article><p hidden>A</p><p hidden=''>B</p><p style='color:red; display: none'>C</p><p HIDDEN class=x>D</p><p>E</p></article>") == ["E"]
+
+
+@pytest.mark.parametrize("unit", ["<li class='menu-item menu'>a", "<div class='ad'>b</div>", "</b>", "<b>x", "<article class='comment'>c</article>"])
+@pytest.mark.parametrize("end", ["", "<article><p>Text</p></article>"])
+def test_long_pages_take_linear_time(unit, end):
+    import time
+
+    times = []
+    for size in (250_000, 2_000_000):
+        page = unit * (size // len(unit)) + end
+        began = time.perf_counter()
+        page_difference.lines(page)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 8 * 3 * max(times[0], 0.1)
 
 
 # Pipeline
