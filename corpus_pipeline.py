@@ -8,7 +8,12 @@ packing       token pieces packed into sequences
 
 All stages but the last return the columns of the documents they get. Documents are taken by
 rows: what a stage does with nulls, empty texts, repeated rows and extra columns is said in its
-operator. Mixing repeats documents, so the packed pieces of a document come once for each copy.
+operator: rows equal in id and text are one document to near_dedup, and a null `lang` takes the
+predicted language. Mixing repeats documents, so the packed pieces of a document come once for
+each copy. An empty table of documents gives empty tables in every stage.
+
+Texts go to Python in batches of at most `BATCH_ROWS` rows: whole texts make the default of 10,000
+rows large, once in the executor and once in each of its workers.
 """
 
 from __future__ import annotations
@@ -23,16 +28,28 @@ from abstain_eval.session import fresh_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+BATCH_ROWS = 2000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size to BATCH_ROWS, unless it is lower."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def documents_in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language.in_known_language(docs)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.first_of_each(docs)
 
 
@@ -41,6 +58,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs)
 
 
