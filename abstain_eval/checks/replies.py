@@ -541,44 +541,35 @@ def _(spark, sf):
     return a.empty_answers(replies, "svc").select("k", "reason", "message")
 
 
-def parity_model():
+def parity_reply():
     """Stand-in for a model: answers the parity of the case id, and fails on some batches.
 
     A nested function travels to the workers by value.
     """
 
-    def answer(batches):
+    def reply(request):
         import json
 
-        import pandas as pd
-
-        columns = [
-            "run_id", "batch_id", "task", "mode", "raw_response", "finish_reason", "usage", "provider",
-        ]
-        for frame in batches:
-            replies = []
-            for request in frame.itertuples():
-                ids = [int(i) for i in request.case_ids]
-                if request.mode == "batch" and request.size > 1 and ids[0] % 24 == 0:
-                    reply = "cannot produce json"
-                elif request.mode == "batch":
-                    items = []
-                    for i, case in enumerate(ids):
-                        unsure = case % 5 == 0
-                        label = None if unsure else case % 2
-                        items.append(
-                            {"id": f"case_{i}", "abstained": unsure, "confidence": 0.75, "prediction": label}
-                        )
-                    reply = json.dumps({"results": items})
-                else:
-                    reply = json.dumps({"abstained": False, "confidence": 0.5, "prediction": ids[0] % 2})
-                usage = json.dumps({"usage": {"prompt_tokens": 10 * request.size}})
-                replies.append(
-                    (request.run_id, request.batch_id, request.task, request.mode, reply, "stop", usage, "openai")
-                )
-            yield pd.DataFrame(replies, columns=columns)
-
-    return answer
+        ids = [int(i) for i in request.case_ids]
+        if request.mode == "batch" and request.size > 1 and ids[0] % 24 == 0:
+            text = "cannot produce json"
+        elif request.mode == "batch":
+            items = []
+            for i, case in enumerate(ids):
+                unsure = case % 5 == 0
+                label = None if unsure else case % 2
+                items.append({"id": f"case_{i}", "abstained": unsure, "confidence": 0.75, "prediction": label})
+            text = json.dumps({"results": items})
+        else:
+            text = json.dumps({"abstained": False, "confidence": 0.5, "prediction": ids[0] % 2})
+        usage = json.dumps({"usage": {"prompt_tokens": 10 * int(request.size)}})
+        return {"raw_response": text, "finish_reason": "stop", "usage": usage, "provider": "openai"}
+
+    return reply
+
+
+def parity_model():
+    return r.each_request(parity_reply())
 
 
 @register(
@@ -621,30 +612,27 @@ def outcomes(done: evaluate.Evaluated) -> DataFrame:
 
 def unreliable_model():
     """Leaves requests unanswered that hold a case divisible by 17."""
-    model = parity_model()
+    known = parity_reply()
 
-    def answer(batches):
-        for frame in batches:
-            silent = [any(int(c) % 17 == 0 for c in ids) for ids in frame["case_ids"]]
-            yield from model(iter([frame[[not s for s in silent]]]))
+    def reply(request):
+        return None if any(int(c) % 17 == 0 for c in request.case_ids) else known(request)
 
-    return answer
+    return r.each_request(reply)
 
 
 def failing_model():
     """Raises at the first attempt of some requests, and always where a case is divisible by 19."""
-    model = parity_model()
-
-    def answer(batches):
-        for frame in batches:
-            ids = [int(c) for c in frame["case_ids"].iloc[0]]
-            if any(i % 19 == 0 for i in ids):
-                raise ValueError("refused")
-            if frame["attempt"].iloc[0] == 0 and ids[0] % 4 == 0:
-                raise ConnectionError("lost")
-            yield from model(iter([frame]))
-
-    return answer
+    known = parity_reply()
+
+    def reply(request):
+        ids = [int(c) for c in request.case_ids]
+        if any(i % 19 == 0 for i in ids):
+            raise ValueError("refused")
+        if request.attempt == 0 and ids[0] % 4 == 0:
+            raise ConnectionError("lost")
+        return known(request)
+
+    return r.each_request(reply)
 
 
 _PARITY = "case when k % 5 <> 0 then cast(k % 2 as varchar) end as prediction, k % 5 = 0 as abstained"

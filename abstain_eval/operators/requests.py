@@ -303,44 +303,101 @@ def call_times(requests: DataFrame, start: float, per_second: float | None = Non
     return placed.withColumn("due_at", F.greatest(spaced, earliest)).drop("_group", "_place")
 
 
+REPLY_COLUMNS = tuple(part.split()[0] for part in CALL_SCHEMA.split(", "))
+REPLIES_AT_ONCE = 1000  # replies that a calling task hands on together
+
+
+def each_request(reply: Callable) -> Callable[[Iterator], Iterator]:
+    """An answering function out of a function of one request.
+
+    ``reply`` gets a request as a named tuple and returns a dict of what came back (raw_response,
+    finish_reason, usage, provider, status, error_name), or None if nothing did; it may raise.
+    """
+    columns = REPLY_COLUMNS
+
+    def answer(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for frame in frames:
+            for request in frame.itertuples(index=False):
+                if (found := reply(request)) is not None:
+                    keys = {c: getattr(request, c) for c in ("run_id", "batch_id", "task", "mode")}
+                    yield pd.DataFrame([keys | found], columns=columns, dtype=object)
+
+    answer.reply = reply
+    return answer
+
+
 def guarded(answer: Callable[[Iterator], Iterator], pacing: Pacing | None = None) -> Callable[[Iterator], Iterator]:
     """``answer`` fed one request at a time; a call that raises becomes a row with its error.
 
     The function is started anew with the requests that follow, so one failing call costs
     neither the answers before it nor those after it. With ``pacing`` a request is handed out
-    when it is due.
+    when it is due. Replies are gathered and handed on ``REPLIES_AT_ONCE`` at a time, since a frame
+    for each costs more than many a call; for the same reason a function of ``each_request`` gets
+    its requests without frames.
     """
-
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        rows = (frame.iloc[[i]] for frame in frames for i in range(len(frame)))
-        columns = [part.split()[0] for part in CALL_SCHEMA.split(", ")]
+    columns, most, reply = REPLY_COLUMNS, REPLIES_AT_ONCE, getattr(answer, "reply", None)
+    keys = ("run_id", "batch_id", "task", "mode")
+
+    def wait_for(due_at) -> None:
+        if pacing and (pause := float(due_at) - pacing.clock()) > 0:
+            pacing.wait(pause)
+
+    def failure(request, error: Exception) -> tuple:
+        status = getattr(error, "status_code", getattr(error, "status", None))
+        found = {c: getattr(request, c) for c in keys} | {"status": status, "error_name": type(error).__name__}
+        return tuple(found.get(c) for c in columns)
+
+    def by_request(frames: Iterator) -> Iterator[list[tuple]]:
+        for frame in frames:
+            for request in frame.itertuples(index=False):
+                if pacing:
+                    wait_for(request.due_at)
+                try:
+                    found = reply(request)
+                    if found is not None:
+                        found = {c: getattr(request, c) for c in keys} | found
+                        found = tuple(found.get(c) for c in columns)
+                except Exception as error:
+                    found = failure(request, error)
+                if found is not None:
+                    yield [found]
+
+    def by_frame(frames: Iterator) -> Iterator[list[tuple]]:
+        rows = (frame.iloc[i : i + 1] for frame in frames for i in range(len(frame)))
         open_rows = []
 
         def hand_out():
             for row in rows:
                 open_rows[:] = [row]
-                if pacing and (pause := float(row["due_at"].iloc[0]) - pacing.clock()) > 0:
-                    pacing.wait(pause)
+                if pacing:
+                    wait_for(row["due_at"].iloc[0])
                 yield row
 
         while True:
             open_rows.clear()
             try:
                 for found in answer(hand_out()):
-                    yield found.reindex(columns=columns).astype(object)
+                    none = [None] * len(found)
+                    yield list(zip(*(found[c].tolist() if c in found.columns else none for c in columns), strict=True))
                 return
             except Exception as error:
                 if not open_rows:
                     raise
-                request = open_rows[0].iloc[0]
-                status = getattr(error, "status_code", getattr(error, "status", None))
-                failed = {
-                    "run_id": request["run_id"], "batch_id": request["batch_id"], "task": request["task"],
-                    "mode": request["mode"], "status": status, "error_name": type(error).__name__,
-                }
-                yield pd.DataFrame([failed], columns=columns, dtype=object)
+                yield [failure(next(open_rows[0].itertuples(index=False)), error)]
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        held = []
+        for some in by_frame(frames) if reply is None else by_request(frames):
+            held += some
+            if len(held) >= most:
+                yield pd.DataFrame(held, columns=columns, dtype=object)
+                held = []
+        if held:
+            yield pd.DataFrame(held, columns=columns, dtype=object)
 
     return run
 

@@ -87,7 +87,10 @@ def ask(
         .when(failed, "call_failed")
         .otherwise("answered")
     )
-    return cut_lineage(judged.withColumn("outcome", outcome).drop("_replied", "retryable", "will_retry"))
+    # Replies are small and slow to read: adaptive execution would put them in one task.
+    tasks = 2 * sent.sparkSession.sparkContext.defaultParallelism
+    told = judged.withColumn("outcome", outcome).drop("_replied", "retryable", "will_retry")
+    return cut_lineage(told.repartition(tasks, "run_id", "batch_id"))
 
 
 def run_rounds(

@@ -325,3 +325,21 @@ def test_calls_keep_to_their_times(spark, tmp_path):
     assert waits == [0.5, 0.5, 8.0]  # three batches, two a second, and the repeat
     with pytest.raises(ValueError, match="positive"):
         r.Pacing(per_second=0)
+
+
+@pytest.mark.parametrize("by_request", [True, False])
+def test_replies_are_handed_on_together(by_request):
+    import pandas as pd
+
+    def reply(request):
+        if request.batch_id % 7 == 0:
+            raise ConnectionError("lost")
+        return None if request.batch_id % 5 == 0 else {"raw_response": f"text {request.batch_id}"}
+
+    each = r.each_request(reply)
+    ids = range(2 * r.REPLIES_AT_ONCE + 500)
+    frame = pd.DataFrame({"run_id": "a", "batch_id": ids, "task": "detection", "mode": "single"})
+    got = list(r.guarded(each if by_request else lambda frames: each(frames))(iter([frame])))
+    assert len(got) == 3
+    found = {row.batch_id: row.error_name if isinstance(row.error_name, str) else row.raw_response for part in got for row in part.itertuples()}
+    assert found == {i: "ConnectionError" if i % 7 == 0 else f"text {i}" for i in ids if i % 7 == 0 or i % 5}
