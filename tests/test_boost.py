@@ -98,3 +98,14 @@ def test_sample_is_bounded_and_hangs_on_rows_alone(spark):
 def test_unknown_estimator(spark):
     with pytest.raises(ValueError, match="unknown estimator"):
         impute.fit_imputation(gapped(spark)[0], ["a"], "forest")
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_values_by_codes_equal_those_by_levels(depth):
+    rng = np.random.default_rng(depth)
+    rows = np.round(rng.normal(size=(3000, 6)), 1)
+    forest = boost.grown(rows[:500], [1, 2, 3, 4, 5], rows[:500, 0] + rows[:500, 1] * rows[:500, 2], 20, depth, 0.1)
+    forest.features[3, -1], forest.thresholds[3, -1] = boost.NO_SPLIT, np.inf
+    rows[::7, 2] = np.nan
+    assert (forest._predict_by_code(rows) == forest._predict_by_level(rows)).all()
+    assert (forest.predict(rows) == forest._predict_by_level(rows)).all() and len(forest.predict(rows[:0])) == 0
