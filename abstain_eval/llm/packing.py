@@ -34,6 +34,8 @@ TOKENIZER = "word_bpe_49k.json"
 NUMBERING_BUCKETS = 64
 CACHED_WORDS = 450_000  # of each worker, about 90 MB
 BATCH_CHARACTERS = 8_000_000
+LEAN_WORDS = 100_000  # the same where other stages run in the same workers
+LEAN_CHARACTERS = 1_500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -52,6 +54,7 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.most = CACHED_WORDS
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.find = regex.compile(self.PATTERN).findall
@@ -65,7 +68,7 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
 
     def keep(self, word: str, ids: bytes) -> bytes:
-        if len(self.known) >= CACHED_WORDS:
+        if len(self.known) >= self.most:
             self.known.clear()
         self.known[word] = ids
         return ids
@@ -123,15 +126,27 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32. Each machine finds its own tokenizer file."""
+def pieces(
+    docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID, lean: bool = False
+) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32. Each machine finds its own tokenizer file.
+
+    With ``lean`` workers keep fewer words, none of them after a task, and take fewer characters at once.
+    """
+    most, at_once = (LEAN_WORDS, LEAN_CHARACTERS) if lean else (CACHED_WORDS, BATCH_CHARACTERS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(tokenizer_path(tokenizer))
+        encode.most = most
+        yield from cut_with(encode, batches)
+        if lean:
+            encode.known = {}
+
+    def cut_with(encode: WordTokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
-            for a, b in chunks(texts, BATCH_CHARACTERS):
+            for a, b in chunks(texts, at_once):
                 for key, ids in zip(keys[a:b], encode(texts[a:b]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for n, start in enumerate(range(0, len(ids), capacity)):
@@ -236,10 +251,12 @@ def numbered(rows: DataFrame) -> DataFrame:
     return ranked.join(firsts, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("place"))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
+def pack(
+    docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID, lean: bool = False
+) -> DataFrame:
     """One row per piece with sequence_id and offset; every sequence is gapless from 0."""
     spark: SparkSession = docs.sparkSession
-    rows = cut_lineage(pieces(docs, capacity, tokenizer, end_id))
+    rows = cut_lineage(pieces(docs, capacity, tokenizer, end_id, lean))
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = [(length, *run) for length, of in plan_runs(plan_patterns(counts, capacity)).items() for run in of]
     schema = "length long, run_first long, sequence long, copies long, run_offset long"

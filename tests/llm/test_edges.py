@@ -95,3 +95,20 @@ def test_language_stage_fills_in_what_it_finds(spark):
     assert len(kept) == 88 and all(r["text"] == texts[r["lang"]] for r in kept)
     assert {r["lang"] for r in language.in_known_language(docs, ["de"]).collect()} == {"de"}
     assert language.in_known_language(docs, least_score=1.1).collect() == []
+
+
+def test_lean_workers_keep_few_words_and_give_the_same_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LEAN_WORDS", 5)
+    texts = [" ".join(f"word{i * j % 97} Ünder ,x" for j in range(50)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    plain, lean = (sorted(map(tuple, packing.pieces(docs, 64, lean=x).collect())) for x in (False, True))
+    assert plain == lean
+
+    def kept(batches):
+        import pyarrow as pa
+
+        held = packing.word_tokenizer(packing.tokenizer_path()).known
+        yield from (pa.RecordBatch.from_arrays([pa.array([len(held)])], names=["n"]) for _ in batches)
+
+    packing.pieces(docs, 64, lean=True).write.format("noop").mode("overwrite").save()
+    assert max(x.n for x in docs.select("doc_id").mapInArrow(kept, "n long").collect()) == 0
