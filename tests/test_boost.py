@@ -109,3 +109,61 @@ def test_values_by_codes_equal_those_by_levels(depth):
     rows[::7, 2] = np.nan
     assert (forest._predict_by_code(rows) == forest._predict_by_level(rows)).all()
     assert (forest.predict(rows) == forest._predict_by_level(rows)).all() and len(forest.predict(rows[:0])) == 0
+
+
+def same_forests(one, two):
+    assert one.rounds == two.rounds and one.means == two.means
+    for a, b in zip(one.forests, two.forests, strict=True):
+        for c in a:
+            assert a[c].base == b[c].base and all(np.array_equal(getattr(a[c], x), getattr(b[c], x)) for x in ("features", "thresholds", "leaves"))
+
+
+def test_trees_are_fitted_on_all_rows(spark):
+    n = 12_000
+    rows = [(i, float(i % 5), None if i % 11 == 3 else float((i * i) % 97) + 40 * (i % 5 > 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    fitted, _ = impute.fit_imputation(df, ["a", "b"], impute.Boosting(trees=1, depth=1, step=1.0), rounds=1)
+    a, b = (np.array([np.nan if r[i] is None else r[i] for r in rows]) for i in (1, 2))
+    known, forest = ~np.isnan(b), fitted.forests[0]["b"]
+    assert (forest.features[0, 0], forest.thresholds[0, 0]) == (0, 1.5)
+    want = [b[known & side].mean() - b[known].mean() for side in (a < 1.5, a > 1.5)]
+    assert np.allclose(forest.leaves[0], want, atol=1e-5) and np.isclose(forest.base, b[known].mean(), atol=1e-5)
+
+
+def test_blocks_of_rows_grow_the_same_trees(spark, monkeypatch):
+    df, _, _ = gapped(spark, 1500)
+    df = df.selectExpr("*", "cast(id % 3 as double) as flag", "1.0D as same", "if(id % 50 = 0, null, id * 0.001D) as many")
+    columns, settings = ["a", "b", "c", "flag", "same", "many"], impute.Boosting(trees=7, step=0.3)
+    whole, filled = impute.fit_imputation(df, columns, settings, rounds=3)
+    monkeypatch.setattr(impute, "AT_ONCE", 100)
+    monkeypatch.setattr(impute, "BLOCK_ROWS", 150)
+    blocks, filled_in_blocks = impute.fit_imputation(df.repartition(3), columns, settings, rounds=3)
+    same_forests(whole, blocks)
+    assert sorted(filled.collect()) == sorted(filled_in_blocks.collect())
+    small = impute.Boosting(trees=2, fit_rows=300)
+    sampled, _ = impute.fit_imputation(df, columns, small, rounds=1)
+    monkeypatch.setattr(impute, "AT_ONCE", 1000)
+    same_forests(sampled, impute.fit_imputation(df, columns, small, rounds=1)[0])
+
+
+def test_a_column_is_summed_up_by_rank():
+    draw = np.random.default_rng(2)
+    cells = np.concatenate([draw.normal(size=40_000), np.zeros(20_000)])
+    parts = [boost.Summary.of(p).short(1000) for p in np.array_split(draw.permutation(cells), 7)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.merged(p).short(1000)
+    assert whole.weights.sum() == len(cells) and len(whole.values) <= 1000 and 0.0 in whole.values
+    exact = boost.Summary.of(cells)
+    assert np.array_equal(exact.bin_values(), np.unique(np.quantile(cells, np.arange(1, 513) / 512, method="lower")))
+    rank = np.searchsorted(np.sort(cells), whole.bin_values(), side="right") / len(cells)
+    rank_of_exact = np.searchsorted(np.sort(cells), exact.bin_values(), side="right") / len(cells)
+    assert abs(len(rank) - len(rank_of_exact)) <= 2
+    assert max(np.abs(rank_of_exact - r).min() for r in rank) < 0.005
+
+
+def test_residuals_beyond_32_bits_are_kept():
+    seen = np.array([[True, False, True]])
+    for residual in (np.array([[5.0, 0.0, -7.0]]), np.array([[2.0**40, 0.0, -(2.0**31)]])):
+        packed = impute._packed(residual, seen)
+        assert ((packed != np.iinfo(packed.dtype).min) == seen).all() and (packed[seen] == residual[seen]).all()
