@@ -111,13 +111,21 @@ class WordTokenizer:
             yield flat[place]
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, bool], WordTokenizer] = {}
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+def word_tokenizer(path: str, keeps: bool = False) -> WordTokenizer:
+    """A worker's tokenizer; one that ``keeps`` its words from task to task is another one."""
+    if (path, keeps) not in _TOKENIZERS:
+        _TOKENIZERS[path, keeps] = WordTokenizer(path)
+    return _TOKENIZERS[path, keeps]
+
+
+def forget_words(path: str) -> None:
+    """Drop all words that this worker holds, those of earlier tasks too."""
+    for keeps in (False, True):
+        if (path, keeps) in _TOKENIZERS:
+            _TOKENIZERS[path, keeps].known = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -136,11 +144,12 @@ def pieces(
     most, at_once = (LEAN_WORDS, LEAN_CHARACTERS) if lean else (CACHED_WORDS, BATCH_CHARACTERS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_tokenizer(tokenizer_path(tokenizer))
+        path = tokenizer_path(tokenizer)
+        encode = word_tokenizer(path, keeps=not lean)
         encode.most = most
         yield from cut_with(encode, batches)
         if lean:
-            encode.known = {}
+            forget_words(path)
 
     def cut_with(encode: WordTokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
